@@ -1,8 +1,8 @@
 """Toxicity by compression distance between two zstandard dictionaries.
 
-One dictionary is trained on ordinary text, the other on the passages of toxic text that ordinary text lacks, with the
-ordinary dictionary behind it. Every window of a text is compressed with both: a window that the toxic dictionary
-shortens by enough bytes is a hit, and the calibrated number of hits makes a text toxic.
+One dictionary is trained on ordinary text, the other on the passages of toxic text that ordinary text lacks, behind
+the ordinary dictionary. Every window of a text is compressed with both: a window that the toxic dictionary shortens by
+enough bytes is a hit, and the calibrated sum of the bytes saved on hits makes a text toxic.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ WINDOW = 64
 #: Windows are repeated up to this length before compression: zstandard stores shorter blocks as they are.
 FILL = 40
 GRAM = 6
+#: Shortest run shared with the toxic passages that can make a hit.
+SHARED = 5
 #: Distinct windows that a document of the training sample contributes at most, by smallest hash.
 SAMPLE_WINDOWS = 3000
 
@@ -39,12 +41,12 @@ def windows(text: bytes) -> list[bytes]:
 
 @dataclass
 class Gauge:
-    """The two dictionaries, the bytes that make a hit, and the hits that make a text toxic."""
+    """The two dictionaries, the bytes saved that make a hit, and the bytes saved on hits that make a text toxic."""
 
     ordinary: bytes
     toxic: bytes
-    hit: int = 3
-    enough: int = 2
+    hit: int = 4
+    enough: int = 6
     threshold: float = 0.7
     level: int = 12
     memo: dict = field(default_factory=dict)
@@ -52,18 +54,24 @@ class Gauge:
     MEMO = 600_000
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("memo", "_sizes")} | {"memo": {}}
+        return {k: v for k, v in self.__dict__.items() if k not in ("memo", "_sizes", "_shared")} | {"memo": {}}
 
     def sizes(self):
         if not hasattr(self, "_sizes"):
             self._sizes = []
-            for content in (self.ordinary, self.toxic + self.ordinary):
+            for content in (self.ordinary, self.ordinary + self.toxic):
                 params = zs.ZstdCompressionParameters.from_level(self.level, source_size=WINDOW, dict_size=len(content), min_match=3, write_content_size=False, write_checksum=False, write_dict_id=False)
                 d = zs.ZstdCompressionDict(content or b"\0" * 8, dict_type=zs.DICT_TYPE_RAWCONTENT)
                 d.precompute_compress(compression_params=params)
                 self._sizes.append(zs.ZstdCompressor(compression_params=params, dict_data=d).compress)
         return self._sizes
 
+    def shared(self) -> set[bytes]:
+        """The byte runs of the toxic passages: a window with none of them has nothing to gain and is not compressed."""
+        if not hasattr(self, "_shared"):
+            self._shared = {self.toxic[i : i + SHARED] for i in range(len(self.toxic) - SHARED + 1)}
+        return self._shared
+
     def gain(self, window: bytes) -> int:
         """Bytes that the toxic dictionary saves on a window."""
         known = self.memo.get(window)
@@ -71,25 +79,29 @@ class Gauge:
             if len(self.memo) >= self.MEMO:
                 self.memo.clear()
             w = b" " + window + b" "
-            w *= max(1, -(-FILL // len(w)))
-            a, b = self.sizes()
-            known = self.memo[window] = len(a(w)) - len(b(w))
+            if self.shared().isdisjoint([w[i : i + SHARED] for i in range(len(w) - SHARED + 1)]):
+                known = 0
+            else:
+                w *= max(1, -(-FILL // len(w)))
+                a, b = self.sizes()
+                known = len(a(w)) - len(b(w))
+            self.memo[window] = known
         return known
 
     def score(self, text: bytes) -> tuple[float, int, int]:
-        """(score, windows, hits); the score reaches ``threshold`` with ``enough`` hits."""
+        """(score, windows, hits); the score reaches ``threshold`` when hits save ``enough`` bytes."""
         ws = windows(text)
         memo, gain = self.memo, self.gain
         gains = [memo[w] if w in memo else gain(w) for w in ws]
-        hits = sum(g >= self.hit for g in gains)
-        return self.of(hits, sum(g == self.hit - 1 for g in gains), len(ws)), len(ws), hits
+        hits = [g for g in gains if g >= self.hit]
+        return self.of(sum(hits), sum(g == self.hit - 1 for g in gains), len(ws)), len(ws), len(hits)
 
-    def of(self, hits: int, near: int, n: int) -> float:
-        """Grows with hits; near misses only order texts with equally many."""
-        s = hits + 0.5 * (1 - math.exp(-near / (1 + 0.02 * n)))
-        if hits >= self.enough:
-            return 1 - (1 - self.threshold) * math.exp(-(s - self.enough) / 2)
-        return self.threshold * 0.98 * s / self.enough if s < self.enough else self.threshold * 0.99
+    def of(self, saved: int, near: int, n: int) -> float:
+        """Grows with the bytes saved; near misses only order texts with equally many."""
+        s = saved + 0.5 * (1 - math.exp(-near / (1 + 0.02 * n)))
+        if saved >= self.enough:
+            return 1 - (1 - self.threshold) * math.exp(-(s - self.enough) / 10)
+        return self.threshold * 0.98 * min(1.0, s / self.enough)
 
 
 def _grams(w: bytes) -> set[bytes]:
@@ -108,7 +120,7 @@ def _train(size: int, samples: list[bytes], k: int) -> bytes:
 def fit(bags: list[tuple[int, int, dict[bytes, int]]], shares: dict[int, float]) -> Gauge:
     """``bags``: (label, signature of the text, windows with counts). Copies are told by their signature and count once.
 
-    The dictionaries are trained on two thirds of the texts, the number of bytes and of hits is set on the rest.
+    The dictionaries are trained on two thirds of the texts, the two numbers of bytes are set on the rest.
     """
     first: dict[tuple[int, int], dict[bytes, int]] = {}
     for y, sig, bag in bags:
@@ -130,12 +142,12 @@ def fit(bags: list[tuple[int, int, dict[bytes, int]]], shares: dict[int, float])
     weight = {y: shares.get(y, 0.5) / max(1, sum(1 for v, _ in held if v == y)) for y in (0, 1)}
     gains = [(y, [(gauge.gain(w), n) for w, n in bag.items()]) for y, bag in held]
     best = None
-    for hit in range(2, 7):
-        hits = [(y, sum(n for g, n in own if g >= hit)) for y, own in gains]
-        for enough in range(1, 7):
-            tp = sum(weight[1] for y, h in hits if y == 1 and h >= enough)
-            fp = sum(weight[0] for y, h in hits if y == 0 and h >= enough)
-            fn = sum(weight[1] for y, h in hits if y == 1 and h < enough)
+    for hit in range(1, 7):
+        saved = [(y, sum(g * n for g, n in own if g >= hit)) for y, own in gains]
+        for enough in range(1, 31):
+            tp = sum(weight[1] for y, s in saved if y == 1 and s >= enough)
+            fp = sum(weight[0] for y, s in saved if y == 0 and s >= enough)
+            fn = sum(weight[1] for y, s in saved if y == 1 and s < enough)
             f1 = 2 * tp / (2 * tp + fp + fn) if tp else 0.0
             if best is None or f1 > best[0]:
                 best = f1, hit, enough
