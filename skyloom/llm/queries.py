@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import bpe, mixing, quality, simhash, toxicity, url_filter
+from skyloom.llm import bpe, embed_dedup, html_extract, mixing, quality, simhash, topk, toxicity, url_filter
 from skyloom.llm.common import is_fold, table
 
 RULES = [
@@ -34,11 +34,20 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held(toxicity.score_toxicity(docs, learnable(labels)), 3, 1)
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "times", "shard", "shard_order")
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return held(quality.score_quality(docs, learnable(labels)), 3, 1)
@@ -55,6 +64,10 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), *tokenizer(), keep=False)
 
 
+def op8_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), RULES).select("page_id", "host", "path", "rule", "verdict")
 
@@ -65,9 +78,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_topk": op2_topk,
     "op3_mixing": op3_mixing,
+    "op4_html": op4_html,
     "op5_quality": op5_quality,
     "op7_bpe": op7_bpe,
+    "op8_embed_dedup": op8_embed_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_simhash": op10_simhash,
 }
