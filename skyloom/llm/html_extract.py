@@ -148,6 +148,16 @@ LABELLED = [
     [3, 0.0, 40, 0.0, 40, 0.0, 0, 0, 1, 1, 0, 1],
     [1, 0.0, 12, 0.0, 30, 0.0, 0, 0, 1, 1, 0, 1],
     [12, 0.5, 50, 0.0, 50, 0.0, 0, 0, 1, 1, 0, 1],
+    [2, 0.0, 1, 1.0, 5, 0.0, 0, 0, 1, 1, 0, 1],
+    [4, 0.0, 4, 0.0, 4, 0.0, 0, 0, 1, 1, 0, 1],
+    [6, 0.0, 2, 0.0, 15, 0.0, 0, 0, 1, 1, 0, 1],
+    [5, 0.0, 14, 0.0, 3, 1.0, 0, 0, 1, 1, 0, 1],
+    [14, 0.0, 3, 0.0, 8, 0.2, 0, 0, 1, 1, 0, 1],
+    [14, 0.2, 6, 0.0, 90, 0.0, 0, 0, 1, 1, 0, 1],
+    [3, 0.0, 5, 0.2, 90, 0.0, 0, 0, 1, 1, 0, 1],
+    [3, 1.0, 10, 0.0, 4, 0.5, 0, 0, 1, 1, 0, 1],
+    [2, 1.0, 3, 1.0, 2, 1.0, 0, 0, 1, 1, 0, 1],
+    [30, 0.0, 8, 1.0, 2, 1.0, 0, 0, 1, 1, 0, 1],
     [7, 1.0, 60, 0.0, 80, 0.0, 0, 0, 1, 1, 0, 1],
     [11, 0.0, 1, 1.0, 150, 0.0, 0, 0, 1, 1, 1, 1],
     [4, 0.0, 100, 0.0, 90, 0.0, 0, 0, 1, 1, 1, 1],
@@ -182,6 +192,19 @@ LABELLED = [
     [40, 0.1, 1, 1.0, 0, 1.0, 0, 0, 0, 0, 0, 1],
     [16, 0.0, 0, 1.0, 0, 1.0, 0, 0, 0, 0, 0, 1],
     [11, 0.0, 0, 1.0, 0, 1.0, 0, 0, 0, 0, 0, 1],
+    [17, 0.0, 2, 1.0, 18, 0.0, 0, 0, 0, 0, 0, 1],
+    [18, 0.0, 17, 0.0, 1, 0.0, 0, 0, 0, 0, 0, 1],
+    [30, 0.1, 25, 0.0, 30, 0.0, 0, 0, 0, 0, 0, 1],
+    [15, 0.0, 40, 0.0, 20, 0.0, 0, 0, 0, 0, 0, 1],
+    [60, 0.0, 30, 0.0, 2, 1.0, 0, 0, 0, 0, 0, 1],
+    [22, 0.0, 3, 0.0, 25, 0.0, 0, 0, 0, 0, 0, 1],
+    [30, 0.0, 25, 0.0, 30, 0.0, 1, 0, 0, 0, 0, 0],
+    [18, 0.0, 17, 0.0, 20, 0.0, 1, 0, 0, 0, 0, 0],
+    [45, 0.0, 70, 0.0, 2, 1.0, 1, 0, 0, 0, 0, 0],
+    [20, 0.0, 1, 1.0, 18, 0.0, 0, 1, 0, 0, 0, 0],
+    [18, 0.9, 17, 0.2, 10, 1.0, 0, 0, 0, 0, 0, 0],
+    [30, 0.7, 40, 0.0, 20, 0.0, 0, 0, 0, 0, 0, 0],
+    [4, 0.0, 18, 0.0, 1, 1.0, 0, 0, 0, 0, 0, 0],
     [7, 0.0, 1, 1.0, 90, 0.0, 0, 0, 0, 0, 1, 1],
     [5, 0.0, 60, 0.0, 45, 0.0, 0, 0, 0, 0, 1, 1],
     [6, 0.0, 50, 0.0, 40, 0.0, 0, 0, 0, 0, 0, 1],
