@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import bpe, embed_dedup, html_extract, mixing, quality, simhash, topk, toxicity, url_filter
+from skyloom.llm import bpe, embed_dedup, html_extract, lm, mixing, quality, simhash, topk, toxicity, url_filter
 from skyloom.llm.common import is_fold, table
 
 RULES = [
@@ -53,6 +53,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held(quality.score_quality(docs, learnable(labels)), 3, 1)
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm.score_documents(table(spark, sf_dir, "documents"), ~is_fold(F.col("doc_id"), 7, 2))
+    return held(scored, 7, 2)
+
+
 def tokenizer() -> tuple[str, str]:
     """Where the rank file lies, and the pattern that goes with it."""
     import public_tokenizers
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_mixing": op3_mixing,
     "op4_html": op4_html,
     "op5_quality": op5_quality,
+    "op6_lm": op6_lm,
     "op7_bpe": op7_bpe,
     "op8_embed_dedup": op8_embed_dedup,
     "op9_url_filter": op9_url_filter,
