@@ -81,6 +81,20 @@ def map_rows(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.Recor
     return df.mapInArrow(run, schema)
 
 
+def map_scored(docs: DataFrame, key: str, text: str, carry: bool, schema: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+    """``map_rows`` over (key, bytes of the text); with ``carry`` each row of ``docs`` comes along as a struct named row."""
+    cols = [docs[key].alias(key), raw(docs[text]).alias("t")]
+    if not carry:
+        return map_rows(docs.select(*cols), schema, fn)
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        out = fn(b.select([0, 1]))
+        return pa.RecordBatch.from_arrays([*out.columns, b.column(2)], names=[*out.schema.names, "row"])
+
+    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row")).schema["row"].dataType.simpleString()
+    return map_rows(docs.select(*cols, F.struct(*[docs[c] for c in docs.columns]).alias("row")), f"{schema}, row {row}", run)
+
+
 def sample_ids(labels: DataFrame, label: str, key: str, per_class: int, seed: str) -> tuple[DataFrame | None, dict[int, int]]:
     """At most ``per_class`` ids of each of the labels 0 and 1, by smallest hash, and how many rows each label has.
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import Shipped, map_rows, raw, sample_ids
+from skyloom.llm.common import Shipped, map_rows, map_scored, raw, sample_ids
 
 CLASSES = 16
 GRAMS = CLASSES**3
@@ -95,13 +95,14 @@ def fit(bags: np.ndarray, y: np.ndarray, shares: dict[int, float], rank: int, k:
     return Voters(axes, unit(bags @ axes), weight / weight.mean(), y.astype(np.float64), k, sharpness)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1500, rank: int = 48, k: int = 15, sharpness: float = 16.0, threshold: float = 0.5, seed: str = "quality", key: str = "doc_id", text: str = "text") -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1500, rank: int = 48, k: int = 15, sharpness: float = 16.0, threshold: float = 0.5, seed: str = "quality", key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
     """One row per document: key, score (0 to 1), predicted (1 at ``threshold`` or more).
 
     Learns from at most ``per_class`` documents of each label among ``labels`` (rows with null id or label are left
     out; of several labels for an id the largest counts); votes are weighted so that each label has its true share.
     Without labelled documents every score is 0.5; with one label only, it is that label. Null and empty texts are
-    scored as empty texts. Repeated rows and null keys are returned as they are; other columns are not read.
+    scored as empty texts. Repeated rows and null keys are returned as they are; other
+    columns are not read, but for ``carry``, which returns every row whole in a struct named row.
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
@@ -129,4 +130,4 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", pe
             score = np.concatenate([m.score(np.stack([features(t.as_py()) for t in b.column(1).slice(i, 256)])) for i in range(0, b.num_rows, 256)])
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[key, "score", "predicted"])
 
-    return map_rows(docs.select(key, raw(docs[text]).alias("t")), f"`{key}` {kind}, score double, predicted int", run)
+    return map_scored(docs, key, text, carry, f"`{key}` {kind}, score double, predicted int", run)

@@ -19,7 +19,7 @@ import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import Shipped, map_rows, raw, sample_ids
+from skyloom.llm.common import Shipped, map_rows, map_scored, raw, sample_ids
 
 #: A window is a token, longer ones cut into pieces of so many bytes.
 WINDOW = 64
@@ -155,13 +155,14 @@ def fit(bags: list[tuple[int, int, dict[bytes, int]]], shares: dict[int, float])
     return gauge
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 2500, threshold: float = 0.7, seed: str = "toxicity", key: str = "doc_id", text: str = "text") -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 2500, threshold: float = 0.7, seed: str = "toxicity", key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
     """One row per document: key, score (0 to 1), predicted (1 at ``threshold`` or more), windows, hits.
 
     Learns from at most ``per_class`` documents of each label, each by at most SAMPLE_WINDOWS distinct windows; every
     window of every document is scored. Rows of ``labels`` with null id or label are left out; of several labels for
     an id the largest counts. Without toxic documents in the sample nothing is a hit. Null and empty texts have no
-    window and score 0. Repeated rows and null keys are returned as they are; other columns are not read.
+    window and score 0. Repeated rows and null keys are returned as they are; other
+    columns are not read, but for ``carry``, which returns every row whole in a struct named row.
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
@@ -194,4 +195,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per
         cols = [b.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array([n for _, n, _ in got], pa.int64()), pa.array([h for _, _, h in got], pa.int64())]
         return pa.RecordBatch.from_arrays(cols, names=[key, "score", "predicted", "windows", "hits"])
 
-    return map_rows(docs.select(key, raw(docs[text]).alias("t")), f"`{key}` {kind}, score double, predicted int, windows bigint, hits bigint", run)
+    return map_scored(docs, key, text, carry, f"`{key}` {kind}, score double, predicted int, windows bigint, hits bigint", run)
