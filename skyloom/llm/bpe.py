@@ -35,7 +35,7 @@ class Codec:
     """Encodes with ``ranks``, splitting by ``pattern`` first; every byte must be a token of its own."""
 
     #: Entries that each memo table holds before it starts afresh; tables only save work.
-    MEMO = 1_000_000
+    MEMO = 500_000
     #: Longer pieces are encoded anew each time.
     MEMO_PIECE = 48
 

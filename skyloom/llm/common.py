@@ -63,8 +63,7 @@ class Shipped:
 
     def get(self):
         if self.key not in _LOADED:
-            while len(_LOADED) >= 4:
-                _LOADED.pop(next(iter(_LOADED)))
+            _LOADED.clear()  # a worker serves one model at a time; older ones would only hold memory
             _LOADED[self.key] = pickle.loads(self.data.value)
         return _LOADED[self.key]
 

@@ -87,15 +87,23 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
+def _leading(x: np.ndarray, rank: int, spare: int = 16, rounds: int = 4) -> np.ndarray:
+    """The leading right singular vectors of x as columns, by subspace iteration from a fixed start."""
+    q = np.random.default_rng(11).standard_normal((x.shape[1], min(rank + spare, *x.shape))).astype(np.float32)
+    for _ in range(rounds):
+        q = np.linalg.qr(x.T @ (x @ q))[0]
+    _, _, vt = np.linalg.svd(x @ q, full_matrices=False)
+    return (q @ vt.T)[:, :rank]
+
+
 def fit(bags: np.ndarray, y: np.ndarray, shares: dict[int, float], rank: int, k: int, sharpness: float) -> Voters:
     idf = np.log((1 + len(bags)) / (1 + (bags > 0).sum(0))) + 0.1
-    _, _, vt = np.linalg.svd(bags * idf, full_matrices=False)
-    axes = (idf[:, None] * vt[:rank].T).astype(np.float32)
+    axes = (idf[:, None] * _leading(bags * idf.astype(np.float32), rank)).astype(np.float32)
     weight = np.array([shares.get(int(v), 0) / max(1, (y == v).sum()) for v in y])
     return Voters(axes, unit(bags @ axes), weight / weight.mean(), y.astype(np.float64), k, sharpness)
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1500, rank: int = 48, k: int = 15, sharpness: float = 16.0, threshold: float = 0.5, seed: str = "quality", key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
+def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = 1200, rank: int = 48, k: int = 15, sharpness: float = 16.0, threshold: float = 0.5, seed: str = "quality", key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
     """One row per document: key, score (0 to 1), predicted (1 at ``threshold`` or more).
 
     Learns from at most ``per_class`` documents of each label among ``labels`` (rows with null id or label are left
@@ -117,9 +125,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", pe
 
         rows = map_rows(picked, "y int, bag binary", bags).collect()
         if rows:
-            rows.sort(key=lambda r: (r["y"], bytes(r["bag"])))
-            x = np.stack([np.frombuffer(r["bag"], np.float16) for r in rows]).astype(np.float32)
-            model = fit(x, np.array([r["y"] for r in rows]), {y: n / sum(sizes.values()) for y, n in sizes.items()}, rank, k, sharpness)
+            found = sorted((r["y"], bytes(r["bag"])) for r in rows)
+            del rows
+            x = np.frombuffer(b"".join(b for _, b in found), np.float16).reshape(len(found), FEATURES).astype(np.float32)
+            model = fit(x, np.array([y for y, _ in found]), {y: n / sum(sizes.values()) for y, n in sizes.items()}, rank, k, sharpness)
     shipped = Shipped(spark, model)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:

@@ -29,7 +29,7 @@ GRAM = 6
 #: Shortest run shared with the toxic passages that can make a hit.
 SHARED = 5
 #: Distinct windows that a document of the training sample contributes at most, by smallest hash.
-SAMPLE_WINDOWS = 3000
+SAMPLE_WINDOWS = 1500
 
 
 def windows(text: bytes) -> list[bytes]:
@@ -51,7 +51,7 @@ class Gauge:
     level: int = 12
     memo: dict = field(default_factory=dict)
 
-    MEMO = 600_000
+    MEMO = 300_000
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("memo", "_sizes", "_shared")} | {"memo": {}}
@@ -117,30 +117,40 @@ def _train(size: int, samples: list[bytes], k: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def fit(bags: list[tuple[int, int, dict[bytes, int]]], shares: dict[int, float]) -> Gauge:
-    """``bags``: (label, signature of the text, windows with counts). Copies are told by their signature and count once.
+def fit(bags: list[tuple[int, int, bytes]], shares: dict[int, float]) -> Gauge:
+    """``bags``: (label, signature of the text, its windows with counts, pickled). Copies are told by their signature and count once.
 
     The dictionaries are trained on two thirds of the texts, the two numbers of bytes are set on the rest.
     """
-    first: dict[tuple[int, int], dict[bytes, int]] = {}
+    first: dict[tuple[int, int], bytes] = {}
     for y, sig, bag in bags:
         first.setdefault((sig, y), bag)
     texts = sorted(first.items(), key=lambda t: t[0])
     for_training = [(y, bag) for i, ((_, y), bag) in enumerate(texts) if i % 3 or len(texts) < 30]
     held = [(y, bag) for i, ((_, y), bag) in enumerate(texts) if not i % 3 or len(texts) < 30]
-    seen = {0: Counter(), 1: Counter()}
     number = Counter(y for y, _ in for_training)
-    for y, bag in for_training:
-        seen[y].update(set().union(*map(_grams, bag)) if bag else ())
     least = max(3, 0.008 * number[1])
-    apart = {g for g, c in seen[1].items() if c >= least and (c + 0.5) / (number[1] + 1) > 10 * (seen[0].get(g, 0) + 0.5) / (number[0] + 1)}
-    toxic = [x for y, bag in for_training if y == 1 and (x := b"".join(b" " + w + b" " for w, n in bag.items() if not apart.isdisjoint(_grams(w)) for _ in range(min(n, 3))))]
-    ordinary = [b"".join(b" " + w + b" " for w in bag) for y, bag in for_training if y == 0 and bag]
+    # The runs of toxic texts first: only those that are common there need counting in the others.
+    seen = {0: Counter(), 1: Counter()}
+    for y in (1, 0):
+        for v, bag in for_training:
+            if v == y:
+                runs = set().union(*map(_grams, pickle.loads(bag)))
+                seen[y].update(runs if y else runs & seen[1].keys())
+        seen[y] = Counter({g: c for g, c in seen[y].items() if not y or c >= least})
+    apart = {g for g, c in seen[1].items() if (c + 0.5) / (number[1] + 1) > 10 * (seen[0].get(g, 0) + 0.5) / (number[0] + 1)}
+    toxic, ordinary = [], []
+    for y, bag in for_training:
+        own = pickle.loads(bag)
+        if y == 0 and own:
+            ordinary.append(b"".join(b" " + w + b" " for w in own))
+        elif y == 1 and (x := b"".join(b" " + w + b" " for w, n in own.items() if not apart.isdisjoint(_grams(w)) for _ in range(min(n, 3)))):
+            toxic.append(x)
     common = Counter(w for x in toxic for w in x.split()).most_common(400)
     tail = b"".join(b" " + w + b" " for w, n in reversed(common) if n >= least)
     gauge = Gauge(_train(16384, ordinary, 64) if ordinary else b"", (_train(8192, toxic, 24) if toxic else b"") + tail)
     weight = {y: shares.get(y, 0.5) / max(1, sum(1 for v, _ in held if v == y)) for y in (0, 1)}
-    gains = [(y, [(gauge.gain(w), n) for w, n in bag.items()]) for y, bag in held]
+    gains = [(y, [(g, n) for w, n in pickle.loads(bag).items() if (g := gauge.gain(w)) > 0]) for y, bag in held]
     best = None
     for hit in range(1, 7):
         saved = [(y, sum(g * n for g, n in own if g >= hit)) for y, own in gains]
@@ -155,7 +165,7 @@ def fit(bags: list[tuple[int, int, dict[bytes, int]]], shares: dict[int, float])
     return gauge
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 2500, threshold: float = 0.7, seed: str = "toxicity", key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 1500, threshold: float = 0.7, seed: str = "toxicity", key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
     """One row per document: key, score (0 to 1), predicted (1 at ``threshold`` or more), windows, hits.
 
     Learns from at most ``per_class`` documents of each label, each by at most SAMPLE_WINDOWS distinct windows; every
@@ -184,7 +194,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per
 
         rows = map_rows(picked, "y int, sig bigint, bag binary", bags).collect()
         found = sorted(((r["y"], r["sig"], bytes(r["bag"])) for r in rows))
-        gauge = fit([(y, s, pickle.loads(b)) for y, s, b in found], {y: n / sum(sizes.values()) for y, n in sizes.items()})
+        del rows
+        gauge = fit(found, {y: n / sum(sizes.values()) for y, n in sizes.items()})
     gauge.threshold = threshold
     shipped = Shipped(spark, gauge)
 
