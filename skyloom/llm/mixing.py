@@ -147,9 +147,9 @@ def _fill(rows: DataFrame, kind: str) -> DataFrame:
         for size in pdf["size"]:
             took.append(int(0 < size <= left))
             left -= size * took[-1]
-        over = pdf["size"].where([not t for t in took])
-        if left and (over < 2 * left).any():  # one document more misses the target by less
-            took[int(np.flatnonzero((over < 2 * left).to_numpy())[0])] = 1
+        miss = np.where(took, np.inf, np.abs(pdf["size"].to_numpy() - left))
+        if miss.min(initial=np.inf) < left:  # one document more misses the target by less
+            took[int(miss.argmin())] = 1
         return pd.DataFrame({"i": pdf["i"], "block": pdf["block"], "r": pdf["r"], "x": took})
 
     return rows.withColumn("r", _rank()).select("i", "block", "r", "size", "more").groupBy("i", "block").applyInPandas(fit, "i int, block int, r int, x int")

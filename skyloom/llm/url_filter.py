@@ -40,31 +40,42 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return _lower(part(1)), part(2)
 
 
-def fitting(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:
-    """(rule, verdict) of the longest rule that fits, nulls without one; of equally long rules an allow goes first."""
+def fitting(host: Column, path: Column, rules: list[Rule]) -> Column:
+    """Struct (rule, verdict) of the longest rule that fits, nulls without one; of equally long rules an allow goes first.
+
+    Host and path are bound once, however many rules there are.
+    """
     ranked = sorted(rules, key=lambda r: (-len(r.text), r.verdict != "allow", r.text))
-    fits = [((host == r.host) | host.endswith("." + r.host)) & path.startswith(r.path) for r in ranked]
-    at = F.coalesce(*[F.when(f, F.lit(i)) for i, f in enumerate(fits)], F.lit(-1)) if fits else F.lit(-1)
-    pick = lambda values: F.get(F.array(*[F.lit(v) for v in values]).cast("array<string>"), at)
-    return pick([r.text for r in ranked]), pick([r.verdict for r in ranked])
+
+    def judged(x: Column) -> Column:
+        h, p = x["h"], x["p"]
+        fits = [((h == r.host) | h.endswith("." + r.host)) & p.startswith(r.path) for r in ranked]
+        pick = lambda values: F.coalesce(*[F.when(f, F.lit(v)) for f, v in zip(fits, values)], F.lit(None).cast("string"))
+        return F.struct(pick([r.text for r in ranked]).alias("rule"), pick([r.verdict for r in ranked]).alias("verdict"))
+
+    return F.transform(F.array(F.struct(host.alias("h"), path.alias("p"))), judged)[0]
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """An attribute's value up to its quote or a space; empty when it has none."""
+    return F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*["']?([^\s"'>]+)""", 1)
 
 
-def _href(tag: Column, attribute: str) -> Column:
-    """An attribute's value, quoted or bare; empty when it has none."""
-    return F.trim(F.coalesce(*[F.nullif(F.regexp_extract(tag, p, 1), F.lit("")) for p in (rf'(?is)\s{attribute}\s*=\s*"([^"]*)"', rf"(?is)\s{attribute}\s*=\s*'([^']*)'", rf"""(?is)\s{attribute}\s*=\s*([^\s"'>]+)""")], F.lit("")))
+def _target(tag: Column) -> Column:
+    """Where a canonical link or a refresh points; empty or null for other links."""
+    canonical = F.when(F.lower(_attribute(tag, "rel")) == "canonical", _attribute(tag, "href"))
+    return F.when(F.lower(tag).startswith("<link"), canonical).otherwise(F.regexp_extract(tag, r"""(?is)url\s*=\s*["']?([^\s"'>]+)""", 1))
 
 
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(a, b): a page's URL and that of its canonical link or its refresh redirect; relative ones are resolved when
     they start with ``/`` or ``//``, others that are not absolute are left out."""
-    rel = F.lower(_href(F.col("tag"), "rel"))
     p = pages.select(F.col(url).alias("a"), F.col(html).alias("x")).where(F.col("a").isNotNull() & F.lower("x").rlike("canonical|refresh"))
-    tags = p.select("a", F.explode(F.concat(F.regexp_extract_all("x", F.lit(LINK), F.lit(0)), F.regexp_extract_all("x", F.lit(REFRESH), F.lit(0)))).alias("tag"))
-    to = F.when(F.lower("tag").startswith("<link"), F.when(rel == "canonical", _href(F.col("tag"), "href"))).otherwise(F.trim(F.regexp_replace(F.regexp_extract(_href(F.col("tag"), "content"), r"(?is)url\s*=\s*(.*)$", 1), "^['\"]|['\"]$", "")))
+    tags = F.concat(F.regexp_extract_all("x", F.lit(LINK), F.lit(0)), F.regexp_extract_all("x", F.lit(REFRESH), F.lit(0)))
+    edges = p.select("a", F.explode(F.transform(tags, _target)).alias("to")).withColumn("to", F.regexp_replace(F.regexp_replace("to", "&amp;", "&"), "#.*$", ""))
     scheme = F.regexp_extract("a", "^([^:/]+:)//", 1)
     site = F.regexp_extract("a", "^([^:/]+://[^/?#]*)", 1)
-    edges = tags.select("a", scheme.alias("scheme"), site.alias("site"), F.regexp_replace(F.regexp_replace(to, "&amp;", "&"), "#.*$", "").alias("to"))
-    b = F.when(F.col("to").startswith("//"), F.concat("scheme", "to")).when(F.col("to").startswith("/"), F.concat("site", "to")).when(F.col("to").contains("://"), F.col("to"))
+    b = F.when(F.col("to").startswith("//"), F.concat(scheme, "to")).when(F.col("to").startswith("/"), F.concat(site, "to")).when(F.contains("to", F.lit("://")), F.col("to"))
     return edges.select("a", b.alias("b")).where("b is not null")
 
 
@@ -78,8 +89,9 @@ def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = Non
     """
     u = pages.select(F.col(key).alias("k"), F.col(url).alias("u"))
     host, path = host_and_path(F.col("u"))
-    name, verdict = fitting(F.col("host"), F.col("path"), rules)
-    judged = u.select("k", F.regexp_replace("u", "#.*$", "").alias("node"), host.alias("host"), path.alias("path")).withColumns({"rule": name, "own": verdict})
+    fit = fitting(F.col("host"), F.col("path"), rules)
+    judged = u.select("k", F.regexp_replace("u", "#.*$", "").alias("node"), host.alias("host"), path.alias("path")).withColumn("fit", fit)
+    judged = judged.select("k", "node", "host", "path", "fit.rule", F.col("fit.verdict").alias("own"))
     edges = None
     if html is not None:
         edges = alias_edges(pages, url, html)
@@ -91,7 +103,7 @@ def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = Non
     groups = components(edges.select(F.regexp_replace("a", "#.*$", "").alias("a"), F.regexp_replace("b", "#.*$", "").alias("b")))
     members = groups.select("node", "component").union(groups.select("component", "component").distinct())
     seen = members.withColumn("u", F.col("node"))
-    seen = seen.withColumns({"host": host, "path": path}).withColumn("own", verdict)
+    seen = seen.withColumns({"host": host, "path": path}).withColumn("own", fit["verdict"])
     spread = seen.groupBy("component").agg(F.max(F.col("own") == "allow").alias("allowed"), F.max(F.col("own") == "block").alias("blocked"))
     carried = members.join(spread, "component").select("node", F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").alias("alias"))
     out = judged.join(carried, "node", "left")
