@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,12 +43,38 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, left_id: str =
     return pairs.where(F.col("dist") <= radius)
 
 
+#: So many points without enough near ones are compared with all others at once.
+FEW = 1024
+
+
+def _nearest_of_few(few: list[tuple], points: DataFrame, k: int, id: str) -> DataFrame:
+    """(lid, rid, dist): for each of a bounded list of points the k nearest of every partition of ``points``."""
+    ids = np.array([r[0] for r in few])
+    at = np.array([r[1:] for r in few], np.float64)
+    kind = points.schema[id].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = [(np.empty(0), np.empty(0, ids.dtype))] * len(ids)
+        for b in batches:
+            rid, p = b[id].to_numpy(), b[list(AXES)].to_numpy(np.float64)
+            for i in range(len(ids)):
+                d = np.sqrt(((p - at[i]) ** 2).sum(1))
+                have, own = best[i]
+                near = (rid != ids[i]) & (d <= (have[k - 1] if len(have) >= k else np.inf))
+                d, r = np.concatenate([have, d[near]]), np.concatenate([own, rid[near]])
+                order = np.lexsort((r, d))[:k]
+                best[i] = d[order], r[order]
+        yield pd.DataFrame({"lid": np.repeat(ids, [len(d) for d, _ in best]), "rid": np.concatenate([r for _, r in best]), "dist": np.concatenate([d for d, _ in best])})
+
+    return points.select(id, *AXES).mapInPandas(run, f"lid {kind}, rid {kind}, dist double")
+
+
 def knn(points: DataFrame, k: int, id: str = "splat_id", rounds: int = 40) -> DataFrame:
     """(id, neighbor, dist, rank): the k nearest other points of each point, ties to the smaller id.
 
     A radius is guessed from the density; points with k others inside it are settled, since none outside can be
-    nearer, and the rest go on with twice the radius. Fewer than k other points are all returned once the radius spans
-    the cloud.
+    nearer, and the rest go on with twice the radius, until a bounded few are left, which are compared with all points
+    in one pass. Fewer than k other points are all returned.
     """
     box = points.agg(F.count("*").alias("n"), *[f(a).alias(f"{f.__name__}_{a}") for a in AXES for f in (F.min, F.max)]).first()
     n = box["n"]
@@ -56,7 +85,13 @@ def knn(points: DataFrame, k: int, id: str = "splat_id", rounds: int = 40) -> Da
         volume *= max(s, reach * 1e-3)
     radius = min(reach, (volume * (k + 1) / max(n, 1)) ** (1 / 3))
     todo, found = points.select(id, *AXES), []
-    for _ in range(rounds):
+    for k_round in range(rounds):
+        few = todo.limit(FEW + 1).collect() if k_round or n <= FEW else []
+        if few and len(few) <= FEW or k_round and not few:
+            if few:
+                near = _nearest_of_few([tuple(r) for r in few], points, k, id)
+                found.append(near.withColumn("rank", F.row_number().over(Window.partitionBy("lid").orderBy("dist", "rid"))).where(F.col("rank") <= k))
+            break
         near = radius_join(todo, points, radius, id, id).where("lid <> rid")
         ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lid").orderBy("dist", "rid"))).where(F.col("rank") <= k)
         ranked = cut(ranked)
@@ -66,9 +101,9 @@ def knn(points: DataFrame, k: int, id: str = "splat_id", rounds: int = 40) -> Da
         settled = ranked.where(F.col("rank") == k).select(F.col("lid").alias(id))
         found.append(ranked.join(settled.select(F.col(id).alias("lid")), "lid", "left_semi"))
         todo = cut(todo.join(settled, id, "left_anti"))
-        if todo.isEmpty():
-            break
         radius = min(reach, radius * 2)
+    if not found:
+        found.append(radius_join(todo.limit(0), points.limit(0), 1.0, id, id).withColumn("rank", F.lit(0)))
     return reduce(DataFrame.union, found).select(F.col("lid").alias(id), F.col("rid").alias("neighbor"), "dist", F.col("rank").cast("int").alias("rank"))
 
 

@@ -16,7 +16,7 @@ def brute(p, k):
 
 @pytest.mark.parametrize("seed,scale", [(0, (1, 1, 1)), (1, (50, 1, 0.01)), (2, (1, 0, 0))])
 def test_knn_equals_brute_force(spark, seed, scale):
-    p = np.random.default_rng(seed).normal(size=(120, 3)) * np.array(scale)
+    p = np.random.default_rng(seed).normal(size=(1500, 3)) * np.array(scale)
     p[:5] = p[5]  # copies
     want, got = brute(p, 4), {}
     for r in spatial.knn(cloud(spark, p), 4).collect():
