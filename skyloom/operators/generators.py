@@ -74,3 +74,49 @@ def cube_faces(spark: SparkSession) -> DataFrame:
     y, p = F.radians("yaw_deg"), F.radians("pitch_deg")
     m = [F.cos(y), F.sin(y) * F.sin(p), F.sin(y) * F.cos(p), F.lit(0.0), F.cos(p), -F.sin(p), -F.sin(y), F.cos(y) * F.sin(p), F.cos(y) * F.cos(p)]
     return d.select("*", *[c.alias(f"r{i // 3}{i % 3}") for i, c in enumerate(m)])
+
+
+def pole_views(spark: SparkSession, poles: tuple[str, ...] = ("zenith", "nadir")) -> DataFrame:
+    """(name, right, down and forward axes) of the views along the vertical; ValueError for another name."""
+    rows = {"zenith": (1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.0, 1.0, 0.0), "nadir": (1.0, 0.0, 0.0, 0.0, 0.0, -1.0, 0.0, -1.0, 0.0)}
+    if bad := set(poles) - set(rows):
+        raise ValueError(f"unknown poles: {sorted(bad)}")
+    return spark.createDataFrame([(p, *rows[p]) for p in poles], "name string, " + ", ".join(f"{a}{x} double" for a in "rdf" for x in "xyz"))
+
+
+def cap_layout(spark: SparkSession, face: int, fovs: tuple[float, ...], most_fov: float = 170.0) -> DataFrame:
+    """(fov, width, height, focal): square views of the caps."""
+    d = spark.createDataFrame([(float(f),) for f in fovs], "asked double").withColumn("fov", F.least(F.col("asked"), F.lit(most_fov)))
+    return d.select("fov", F.lit(face).alias("width"), F.lit(face).alias("height"), ((face / 2) / F.tan(F.radians("fov") / 2)).alias("focal"))
+
+
+def icosahedral_faces(spark: SparkSession) -> DataFrame:
+    """(face, cx, cy, cz): unit centres of the twenty faces, from the triples of vertices at edge distance."""
+    g = (1 + math.sqrt(5)) / 2
+    corners = [v for a in (-1, 1) for b in (-g, g) for v in ((0, a, b), (a, b, 0), (b, 0, a))]
+    v = spark.createDataFrame([(i, *map(float, c)) for i, c in enumerate(corners)], "i int, x double, y double, z double")
+    near = lambda a, b: sum(((F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) ** 2 for c in "xyz"), F.lit(0.0)) < 4.1
+    t = v.alias("a").join(v.alias("b"), (F.col("a.i") < F.col("b.i")) & near("a", "b")).join(v.alias("c"), (F.col("b.i") < F.col("c.i")) & near("a", "c") & near("b", "c"))
+    s = t.select(*[(F.col(f"a.{c}") + F.col(f"b.{c}") + F.col(f"c.{c}")).alias(c) for c in "xyz"])
+    u = G.unit((F.col("x"), F.col("y"), F.col("z")))
+    return s.select(u[0].alias("cx"), u[1].alias("cy"), u[2].alias("cz"))
+
+
+def eye_paths(spark: SparkSession, offset: Column | float = 0.1, steps: int = 60) -> DataFrame:
+    """(kind, step, ex, ey, ez): eyes that swipe, shake, rotate, and rotate while moving forward."""
+    d = spark.createDataFrame([("swipe",), ("shake",), ("rotate",), ("rotate_forward",)], "kind string").select("kind", F.explode(F.sequence(F.lit(0), F.lit(steps - 1))).alias("step"))
+    k, o = F.col("kind"), G.lit(offset)
+    t = F.col("step") / float(steps - 1)
+    a = t * (2 * math.pi)
+    x = F.when(k == "swipe", o * (2 * t - 1)).when(k == "shake", F.when(t < 0.5, o * F.sin(2 * a)).otherwise(0.0)).otherwise(o * F.sin(a))
+    y = F.when(k == "swipe", 0.0).when(k == "shake", F.when(t < 0.5, 0.0).otherwise(o * F.sin(2 * a))).when(k == "rotate", o * F.cos(a)).otherwise(0.0)
+    z = F.when(k == "rotate_forward", o * (1 - F.cos(a)) / 2).otherwise(0.0)
+    return d.select("kind", "step", x.alias("ex"), y.alias("ey"), z.alias("ez"))
+
+
+def tiles(spark: SparkSession, size: int, tile: int, overlap: float) -> DataFrame:
+    """(row, col, top, left): square tiles that cover ``size`` pixels, neighbours sharing a part of their edge."""
+    step = int(tile * (1 - overlap))
+    n = max(1, math.ceil((size - tile) / step) + 1)
+    at = lambda c: F.least(F.col(c) * step, F.lit(max(size - tile, 0))).cast("int")
+    return spark.range(n * n).select(F.floor(F.col("id") / n).cast("int").alias("row"), (F.col("id") % n).cast("int").alias("col")).select("row", "col", at("row").alias("top"), at("col").alias("left"))

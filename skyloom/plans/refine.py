@@ -499,10 +499,10 @@ def sf19(spark, sf):
     return e.select("event_id", T.to_unix_path(p).alias("path"))
 
 
-@query("sf11_feathered_blend", sql_rounded((FRAMES_SQL, "SELECT frame_idx, v, u, alpha*raw + (1-alpha)*rendered AS blend, exp(alpha*ln(raw) + (1-alpha)*ln(rendered)) AS log_blend, alpha*alpha*(3-2*alpha) AS smooth FROM frames"), "frame_idx, v, u", ["blend", "log_blend", "smooth"], 8))
+@query("sf11_feathered_blend", sql_rounded((FRAMES_SQL, "SELECT frame_idx, v, u, sqrt(alpha*raw + (1-alpha)*rendered) AS blend, exp(alpha*ln(raw) + (1-alpha)*ln(rendered)) AS log_blend, alpha*alpha*(3-2*alpha) AS smooth FROM frames"), "frame_idx, v, u", ["blend", "log_blend", "smooth"], 8))
 def sf11(spark, sf):
     a, x, y = F.col("alpha"), F.col("raw"), F.col("rendered")
-    return rounded(frames(spark, sf).select("frame_idx", "v", "u", (a * x + (1 - a) * y).alias("blend"), E.log_blend(x, y, a).alias("log_blend"), E.smoothstep(a).alias("smooth")), 8)
+    return rounded(frames(spark, sf).select("frame_idx", "v", "u", F.sqrt(a * x + (1 - a) * y).alias("blend"), E.log_blend(x, y, a).alias("log_blend"), E.smoothstep(a).alias("smooth")), 8)
 
 
 @query("fl30_expired_jobs", f"WITH {JOBS_SQL}, n AS (SELECT MAX(last_updated) AS now FROM jobs) SELECT job_id FROM jobs, n WHERE status IN ('complete', 'error') AND epoch_us(now) - epoch_us(last_updated) > 7200000000")
