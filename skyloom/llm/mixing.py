@@ -134,6 +134,29 @@ def _rank():
     return F.row_number().over(Window.partitionBy("i", "block").orderBy("h", F.col("k"), "size"))
 
 
+def _closer(size: np.ndarray, took: np.ndarray, left: int, swaps: int = 4) -> np.ndarray:
+    """Takes one document more, or one in place of another, while that leaves fewer words wanted or too many."""
+    for _ in range(swaps):
+        free = np.flatnonzero((took == 0) & (size > 0))
+        if not left or not len(free):
+            break
+        free = free[np.argsort(size[free], kind="stable")]
+        out = np.concatenate([[-1], np.flatnonzero(took)])  # -1: nothing goes out
+        want = np.where(out >= 0, size[out], 0) + left
+        at = np.clip(np.searchsorted(size[free], want), 1, len(free)) - 1
+        both = np.stack([at, np.minimum(at + 1, len(free) - 1)])
+        miss = np.abs(size[free][both] - want)
+        k, i = np.unravel_index(miss.argmin(), miss.shape)
+        if miss[k, i] >= abs(left):
+            break
+        new = free[both[k, i]]
+        left -= int(size[new] - (size[out[i]] if out[i] >= 0 else 0))
+        took[new] = 1
+        if out[i] >= 0:
+            took[out[i]] = 0
+    return took
+
+
 def _fill(rows: DataFrame, kind: str) -> DataFrame:
     """(i, block, r, x): which documents of each partly drawn block are taken once more, first fit in permuted order.
 
@@ -147,9 +170,7 @@ def _fill(rows: DataFrame, kind: str) -> DataFrame:
         for size in pdf["size"]:
             took.append(int(0 < size <= left))
             left -= size * took[-1]
-        miss = np.where(took, np.inf, np.abs(pdf["size"].to_numpy() - left))
-        if miss.min(initial=np.inf) < left:  # one document more misses the target by less
-            took[int(miss.argmin())] = 1
+        took = _closer(pdf["size"].to_numpy(), np.array(took), left)
         return pd.DataFrame({"i": pdf["i"], "block": pdf["block"], "r": pdf["r"], "x": took})
 
     return rows.withColumn("r", _rank()).select("i", "block", "r", "size", "more").groupBy("i", "block").applyInPandas(fit, "i int, block int, r int, x int")
