@@ -4,11 +4,15 @@ Each distinct fingerprint is keyed by every choice of blocks that two close fing
 still large are keyed once more by their open bits, split the same way, so no bucket grows with a group of near
 copies. Inside a bucket Hamming distances are verified and a spanning forest of the links is kept; components over
 these edges are the groups.
+
+``near_copies`` groups by the Jaccard similarity of the shingles themselves: at 0.8 fingerprints differ in about ten
+bits, too many for blocks that still tell texts apart. Its candidates share one of their first shingles in an order of
+all shingles, which no pair that is similar enough can fail to do.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -17,26 +21,41 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import components, cut, map_rows, raw
+from skyloom.llm.common import Shipped, components, cut, map_rows, raw
 
 BITS = 64
+#: A shingle that is among the first of more distinct texts than this is not paired in full at once.
+LARGE = 64
+#: Shingles that go last in the order at most, by how often a sixteenth of the texts has them.
+MAX_COMMON = 50_000
+#: Classes by hash in which shingles are counted; common shingles are at most the lesser counts, class by class.
+CLASSES = 256
+#: Bits of the bitmap of the texts that are compared: a text marked by chance is computed in vain, no other harm.
+MARKS = 1 << 26
 
 
 def fingerprint(text: bytes, shingle_words: int = 3, seed: int = 42) -> int:
     """Majority bits of the XXH64 of all word shingles, A-Z lowered; 0 without words."""
+    hashes = shingles(text, shingle_words, seed)
+    if not len(hashes):
+        return 0
+    ones = np.zeros(BITS, np.int64)
+    for part in np.array_split(hashes, max(1, len(hashes) // 65536)):
+        ones += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def shingles(text: bytes, shingle_words: int, seed: int) -> np.ndarray:
+    """The XXH64 of each word shingle, repeats included; a shorter text is one shingle."""
     words = text.lower().split()  # splits at the six ASCII white-space bytes only
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = (np.cumsum([len(w) + 1 for w in words]) - 1).tolist()
     starts = [0, *(e + 1 for e in ends[:-1])]
     last = min(shingle_words, len(words)) - 1
     h = xxhash.xxh64_intdigest
-    hashes = np.array([h(joined[a:b], seed) for a, b in zip(starts, ends[last:])], np.uint64)
-    ones = np.zeros(BITS, np.int64)
-    for part in np.array_split(hashes, max(1, len(hashes) // 65536)):
-        ones += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    return np.array([h(joined[a:b], seed) for a, b in zip(starts, ends[last:])], np.uint64)
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = 3, seed: int = 42) -> DataFrame:
@@ -176,3 +195,182 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     heads = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(heads, "root").select("fp", "component_id")
     return fps.join(classes, "fp").select(key, as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def _reaches(inter: np.ndarray | int, n: np.ndarray | int, m: np.ndarray | int, percent: int):
+    """Whether sets of n and m with so many in common have this Jaccard similarity."""
+    return inter * (100 + percent) >= percent * (n + m)
+
+
+def _first(n: int, percent: int) -> int:
+    """How many of n ordered shingles hold one of any set that is similar enough."""
+    return n - -(-percent * n // 100) + 1 if n else 0
+
+
+def _bucket_pairs(rows: list[tuple], percent: int, stars: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of the texts (sid, n, pos, root) that have one shingle among their first, at place pos, and may be similar enough.
+
+    With ``stars`` only pairs with the two texts that have the fewest rare shingles; pairs of one root are left out.
+    """
+    sid, n, pos, root = np.array(sorted(rows, key=lambda r: (r[2], r[0])), np.int64).T
+    for i in range(2 if stars else len(sid) - 1):
+        rest = slice(i + 1, None)
+        ok = _reaches(1 + np.minimum(n[i] - pos[i] - 1, n[rest] - pos[rest] - 1), n[i], n[rest], percent)
+        ok &= root[rest] != root[i]
+        if ok.any():
+            other = sid[rest][ok]
+            yield np.minimum(other, sid[i]), np.maximum(other, sid[i])
+
+
+def _pairs(tokens: DataFrame, percent: int, again: bool) -> DataFrame:
+    """(a, b, token, n, pos) over the buckets of ``tokens(token, sid, n, pos, root)``: pairs (a, b), where token is null,
+    and the rows (a = sid) of buckets of over LARGE texts. Those give stars only, and all pairs of two roots when they come ``again``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def close(token: int, held: dict) -> Iterator[list[np.ndarray]]:
+            large = len(held) > LARGE and not again
+            if len(held) > 1:
+                for a, b in _bucket_pairs(list(held.values()), percent, large):
+                    yield [a, b, np.full(len(a), -1), np.full(len(a), -1), np.full(len(a), -1)]
+            if large:
+                sid, n, pos, _ = np.array(list(held.values()), np.int64).T
+                yield [sid, sid, np.full(len(sid), token), n, pos]
+
+        def found() -> Iterator[list[np.ndarray]]:
+            token, held = None, {}
+            for batch in batches:
+                for t, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                    if t != token:
+                        yield from close(token, held)
+                        token, held = t, {}
+                    held[row[0]] = row
+            yield from close(token, held)
+
+        def out(some: list[list[np.ndarray]]) -> pa.RecordBatch:
+            a, b, token, n, pos = (np.concatenate(c) for c in zip(*some))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(token, mask=n < 0), pa.array(n), pa.array(pos)], names=["a", "b", "token", "n", "pos"])
+
+        some, count = [], 0
+        for x in found():
+            some.append(x)
+            count += len(x[0])
+            if count >= 20_000:
+                yield out(some)
+                some, count = [], 0
+        if some:
+            yield out(some)
+
+    by_token = tokens.select("token", "sid", "n", "pos", "root").repartition("token").sortWithinPartitions("token")
+    return by_token.mapInArrow(run, "a bigint, b bigint, token bigint, n bigint, pos bigint")
+
+
+def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = 5, seed: int = 42, percent: int = 80) -> DataFrame:
+    """One row per document: key, component_id (least key of its group).
+
+    Two texts are linked when the Jaccard similarity of their sets of word shingles is ``percent`` or more. Every such
+    pair is linked: candidates come from an exact prefix filter and each is verified on the whole sets. Texts of the
+    same set, and those without words, count as copies. Keys are as in ``near_duplicates``, but rows that share a key
+    must share their text.
+    """
+    spark = docs.sparkSession
+    kind = docs.schema[key].dataType.simpleString()
+    source = docs.select(key, raw(docs[text]).alias("t"))
+
+    def sets(t: bytes) -> tuple[int, np.ndarray]:
+        own = np.unique(shingles(t, shingle_words, seed))
+        return xxhash.xxh64_intdigest(own.astype("<u8").tobytes(), seed) - (1 << 63), own
+
+    def ids(b: pa.RecordBatch) -> pa.RecordBatch:
+        sid, some = [], []
+        for t in b.column(1):
+            i, own = sets(t.as_py())
+            sid.append(i)
+            some.append(own[: _first(len(own), percent)].view(np.int64).tolist() if i % 16 == 0 else None)
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(sid, pa.int64()), pa.array(some, pa.list_(pa.int64()))], names=[key, "sid", "some"])
+
+    hashed = cut(map_rows(source, f"`{key}` {kind}, sid bigint, some array<bigint>", ids))
+    # Any order of the shingles gives all pairs; with common ones last, the buckets are small.
+    counts = hashed.where("some is not null").select("sid", F.explode("some").alias("token")).distinct().groupBy("token").agg(F.count("*").alias("n"))
+    common = Shipped(spark, np.array(sorted(r["token"] for r in counts.where(F.col("n") > LARGE // 16).orderBy(F.desc("n"), "token").limit(MAX_COMMON).collect()), np.int64).view(np.uint64))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = set()  # copies within one task need no second row
+        late = common.get()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 200):
+                out = []
+                for t in batch.column(1).slice(start, 200):
+                    i, own = sets(t.as_py())
+                    if i in done or not len(own):
+                        continue
+                    done.add(i)
+                    n = len(own)
+                    last = np.isin(own, late)
+                    own = np.concatenate([own[~last], own[last]])[: _first(n, percent)].view(np.int64)
+                    out.append((own, np.full(len(own), i), np.full(len(own), n), np.arange(len(own))))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], names=["token", "sid", "n", "pos"])
+
+    def asked(pairs: DataFrame, name: str, of: Callable[[np.ndarray], bytes]) -> DataFrame:
+        """(sid, name): what ``of`` gives for the set of each text in pairs, and of a few more: a bitmap of their keys goes to all tasks."""
+        sids = pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct()
+        keys = hashed.join(sids, "sid").groupBy("sid").agg(F.min(key).alias(key))
+        bit = F.pmod(F.xxhash64(key), F.lit(MARKS))
+        marks = np.zeros(MARKS // 8, np.uint8)
+        rows = keys.select(bit.alias("bit")).groupBy(F.expr("bit div 32768").alias("at")).agg(F.bitmap_construct_agg(F.col("bit") % 32768).alias("m"))
+        for r in rows.collect():
+            marks[r["at"] * 4096 : r["at"] * 4096 + 4096] = np.frombuffer(r["m"], np.uint8)
+        marked = Shipped(spark, marks)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m, done = marked.get(), set()
+            for batch in batches:
+                at = batch.column(0).to_numpy()
+                rows = np.flatnonzero(m[at >> 3] >> (at & 7).astype(np.uint8) & 1)
+                for start in range(0, len(rows), 100):
+                    out = {}
+                    for j in rows[start : start + 100].tolist():
+                        i, own = sets(batch.column(1)[j].as_py())
+                        if i not in done:
+                            done.add(i)
+                            out[i] = of(own)
+                    yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], names=["sid", name])
+
+        return source.select(bit.alias("bit"), "t").mapInArrow(run, f"sid bigint, {name} binary").dropDuplicates(["sid"])
+
+    def classes(own: np.ndarray) -> bytes:
+        return np.bincount((own % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES).astype("<u4").tobytes()
+
+    def kept(pairs: DataFrame, of: Callable[[np.ndarray], bytes], fits: Callable[[bytes, bytes], bool]) -> DataFrame:
+        def run(b: pa.RecordBatch) -> pa.RecordBatch:
+            return b.select([0, 1]).filter(pa.array([bool(fits(x.as_py(), y.as_py())) for x, y in zip(b.column(2), b.column(3))], pa.bool_()))
+
+        own = asked(pairs, "own", of)
+        both = pairs.join(own.select(F.col("sid").alias("a"), F.col("own").alias("x")), "a").join(own.select(F.col("sid").alias("b"), F.col("own").alias("y")), "b")
+        return cut(map_rows(both.select("a", "b", "x", "y"), "a bigint, b bigint", run))
+
+    def may(x: bytes, y: bytes) -> bool:
+        x, y = (np.frombuffer(v, "<u4").astype(np.int64) for v in (x, y))
+        return _reaches(np.minimum(x, y).sum(), x.sum(), y.sum(), percent)
+
+    def similar(x: bytes, y: bytes) -> bool:
+        x, y = (np.frombuffer(v, np.uint64) for v in (x, y))
+        return _reaches(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs that are similar enough; sets travel only for those whose numbers of shingles by class allow it."""
+        return kept(kept(cut(pairs), classes, may), lambda own: own.tobytes(), similar)
+
+    tokens = source.mapInArrow(first, "token bigint, sid bigint, n bigint, pos bigint")
+    found = cut(_pairs(tokens.withColumn("root", F.col("sid")), percent, False))
+    edges = verified(found.where("token is null").select("a", "b").distinct())
+    hot = found.where("token is not null").select("token", F.col("a").alias("sid"), "n", "pos")
+    if not hot.isEmpty():
+        near = components(edges).select(F.col("node").alias("sid"), F.col("component").alias("root"))
+        rest = _pairs(hot.join(near, "sid", "left").withColumn("root", F.coalesce("root", "sid")), percent, True)
+        edges = edges.union(verified(rest.select("a", "b").distinct()))
+    groups = components(edges).select(F.col("node").alias("sid"), F.col("component").alias("root"))
+    least = hashed.groupBy("sid").agg(F.min(key).alias("least"))
+    rooted = least.join(groups, "sid", "left").select("sid", "least", F.coalesce("root", "sid").alias("root"))
+    heads = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    return hashed.select(key, "sid").join(rooted.join(heads, "root").select("sid", "component_id"), "sid").select(key, "component_id")

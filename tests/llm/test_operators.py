@@ -213,3 +213,30 @@ def test_held_out_accuracy(spark, name, label, least):
     assert (out.predicted == out[label]).mean() >= least
     hits = out[out[label] == 1]
     assert hits.predicted.mean() >= 0.7
+
+
+def _jaccard_groups(texts):
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    label = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) > 0:
+                old, new = max(label[a], label[b]), min(label[a], label[b])
+                label = [new if x == old else x for x in label]
+    return label
+
+
+@pytest.mark.parametrize("large", [64, 3])
+def test_near_copies_equal_brute_force(spark, monkeypatch, large):
+    monkeypatch.setattr(simhash, "LARGE", large)
+    r = np.random.default_rng(3)
+    base = [f"w{i}" for i in range(150)]
+    change = lambda k: " ".join(f"x{r.integers(1e9)}" if i in set(r.choice(150, k, replace=False)) else w for i, w in enumerate(base))
+    texts = [" ".join(base), *[change(int(k)) for k in r.integers(1, 5, 60)], "a b c d e f", "A b  c d e f", "a b", "b a", None, ""]
+    texts += [" ".join([f"u{j}-{i}" for i in range(20)] + base[:15]) for j in range(40)]
+    got = {x.doc_id: x.component_id for x in simhash.near_copies(docs(spark, list(enumerate(texts)))).collect()}
+    want = _jaccard_groups(texts)
+    assert len(set(want)) > 45 and [got[i] for i in range(len(texts))] == want

@@ -46,5 +46,13 @@ def test_stages_keep_the_columns(spark, sf, k):
         out.collect()
 
 
+def test_pipeline_drops_planted_near_copies(spark, sf):
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(words), " ".join([*words[:50], "q1", *words[51:120], "q2", *words[121:]]), " ".join([*words[:20], *[f"z{i}" for i in range(30)], *words[50:]])]
+    assert (simhash.fingerprint(texts[0].encode()) ^ simhash.fingerprint(texts[1].encode())).bit_count() > 2
+    d = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], table(spark, sf, "documents").schema)
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, d, sf).collect()} == {0, 2}
+
+
 def test_folds():
     assert zlib.crc32(b"17") % 3 in (0, 1, 2)
