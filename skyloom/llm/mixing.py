@@ -54,10 +54,10 @@ def split_quota(quota: np.ndarray, shards: int, rng: np.random.Generator) -> np.
     return np.concatenate([split_quota(left, half, rng), split_quota(quota - left, shards - half, rng)])
 
 
-def _plan(blocks: list[tuple[int, int, int]], n_sources: int, target: list[Fraction], shards: int, seed: int) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, int]]]:
-    """blocks: (source, block, words), in permuted order. Gives (source, block, times, first shard) and the block of
-    each source that is drawn in part: (source, block, words still wanted)."""
-    times, partial, quota = {}, [], np.zeros(n_sources, np.int64)
+def _plan(blocks: list[tuple[int, int, int]], n_sources: int, target: list[Fraction], shards: int, seed: int) -> tuple[list[tuple[int, int, int, int]], dict[int, tuple[int, list[int]]]]:
+    """blocks: (source, block, words), in permuted order. Gives (source, block, times, first shard) and for each source
+    with words still wanted how many, and the blocks with words that are too large to be taken whole."""
+    times, short, quota = {}, {}, np.zeros(n_sources, np.int64)
     by_source: dict[int, list[tuple[int, int]]] = {}
     for s, b, words in blocks:
         by_source.setdefault(s, []).append((b, words))
@@ -65,15 +65,17 @@ def _plan(blocks: list[tuple[int, int, int]], n_sources: int, target: list[Fract
         size = sum(w for _, w in own)
         whole = int(target[s] // size) if size else 0
         rest = target[s] - whole * size
+        over = []
         for b, w in own:
             times[s, b] = whole
             if 0 < w <= rest:
                 times[s, b] += 1
                 rest -= w
-            elif rest > 0:
-                partial.append((s, b, int(rest)))
-                rest = Fraction(0)
+            elif w:
+                over.append(b)
             quota[s] += times[s, b]
+        if rest >= 1 and over:
+            short[s] = int(rest), over
     rng = np.random.default_rng(seed)
     deal = split_quota(quota, shards, rng)
     out = []
@@ -84,7 +86,7 @@ def _plan(blocks: list[tuple[int, int, int]], n_sources: int, target: list[Fract
             n = times[s, b]
             out.append((s, b, n, int(slots[at]) if n else -1))
             at += n
-    return out, partial
+    return out, short
 
 
 def mix(docs: DataFrame, weights: list[int] | None = None, most: int = 3, shards: int = 16, seed: int = 7, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
@@ -92,7 +94,7 @@ def mix(docs: DataFrame, weights: list[int] | None = None, most: int = 3, shards
 
     ``size`` counts words, ``times`` how often the mix takes the document (0 to ``most``), ``taken`` = times * size;
     ``shard`` and ``shard_order`` place its first copy (null when not taken). A source's taken words miss its target
-    by less than what is left when no further document of one block fits. Null texts have size 0; a null source is a
+    by less than what is left when no further document of it fits. Null texts have size 0; a null source is a
     source of its own, last in order; a source of no words has target 0 and takes nothing. Repeated rows are told apart
     by a count within their block, null keys are dealt like others. An empty table gives no rows. Sources are few: one
     row each reaches the driver, and MAX_BLOCKS block sizes.
@@ -115,14 +117,14 @@ def mix(docs: DataFrame, weights: list[int] | None = None, most: int = 3, shards
     placed = sized.join(F.broadcast(dim) if len(dims) <= 10_000 else dim, F.col("s").eqNullSafe(F.col("s2")))
     placed = placed.withColumn("block", F.pmod(F.xxhash64("h", "salt"), F.col("blocks").cast("long")).cast("int"))
     blocks = sorted((r["i"], r["block"], int(r["w"])) for r in placed.groupBy("i", "block").agg(F.sum("size").alias("w")).collect())
-    plan, partial = _plan(blocks, len(dims), [want[s] for s, _, _ in order], shards, seed)
-    part = {(s, b): w for s, b, w in partial}
-    rows = [(s, b, n, shard, part.get((s, b), 0)) for s, b, n, shard in plan]
-    decided = spark.createDataFrame(rows, "i int, block int, n int, first_shard int, more long")
-    out = placed.join(F.broadcast(decided), ["i", "block"])
-    extra = _fill(out.where("more > 0").select("i", "block", "h", "k", "size", "more"), kind)
-    once = out.where("more = 0").select("k", "s", "size", "source_size", "target", "n", "first_shard", "h", F.lit(0).alias("x"))
-    again = out.where("more > 0").withColumn("r", _rank()).join(extra, ["i", "block", "r"]).select("k", "s", "size", "source_size", "target", "n", "first_shard", "h", "x")
+    plan, short = _plan(blocks, len(dims), [want[s] for s, _, _ in order], shards, seed)
+    part = _parts(placed, short)
+    rows = [(s, b, n, shard, *part.get((s, b), (0, 0, 0, False))) for s, b, n, shard in plan]
+    decided = spark.createDataFrame(rows, f"i int, block int, n int, first_shard int, {PART}")
+    out = placed.join(F.broadcast(decided), ["i", "block"]).withColumn("fitted", (F.col("more") > 0) | (F.col("end") > 0))
+    extra = _fill(out.where("fitted"))
+    once = out.where("not fitted").select("k", "s", "size", "source_size", "target", "n", "first_shard", "h", F.expr("int(size > 0 and size <= cap)").alias("x"))
+    again = out.where("fitted").withColumn("r", _rank()).join(extra.drop("size"), ["i", "block", "r"]).select("k", "s", "size", "source_size", "target", "n", "first_shard", "h", "x")
     both = once.union(again).withColumn("times", (F.col("n") + F.col("x")).cast("int"))
     shard = F.when(F.col("times") > 0, F.when(F.col("first_shard") >= 0, F.col("first_shard")).otherwise(F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int")))
     return both.select(F.col("k").alias(key), F.col("s").alias(source), "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"), "times", shard.alias("shard"), F.when(F.col("times") > 0, F.xxhash64("h", F.lit(seed + 1))).alias("shard_order"))
@@ -157,20 +159,68 @@ def _closer(size: np.ndarray, took: np.ndarray, left: int, swaps: int = 4) -> np
     return took
 
 
-def _fill(rows: DataFrame, kind: str) -> DataFrame:
-    """(i, block, r, x): which documents of each partly drawn block are taken once more, first fit in permuted order.
+#: What is taken once more of a block: documents by first fit up to ``more`` words, or all of ``cap`` words at most. With
+#: ``end`` words still wanted of the source, documents are swapped at last; ``by_size``: the longest fit first.
+PART = "more long, cap long, end long, by_size boolean"
 
-    One block of each source comes here: its share of the table is 1 / blocks of the source.
+
+def _parts(placed: DataFrame, short: dict[int, tuple[int, list[int]]]) -> dict[tuple[int, int], tuple[int, int, int, bool]]:
+    """PART of the blocks that are drawn in part, so that in the end no document of a source fits into the words it wants.
+
+    Each round counts, by block, the words of the documents that fit by themselves. Blocks that fit with all of these
+    take them, the first that does not is filled by first fit. A block is done once: what is left then never fits later.
     """
+    spark = placed.sparkSession
+    left = {s: w for s, (w, _) in short.items()}
+    open_ = {s: list(over) for s, (_, over) in short.items()}
+    last = {s: over[0] for s, (_, over) in short.items()}
+    part: dict[tuple[int, int], tuple[int, int, int, bool]] = {}
+    late = False
+    while asked := [(s, b, left[s]) for s in open_ for b in open_[s] if left[s]]:
+        wanted = F.broadcast(spark.createDataFrame(asked, "i int, block int, most long"))
+        fits = {(r["i"], r["block"]): int(r["w"]) for r in placed.join(wanted, ["i", "block"]).where("size > 0 and size <= most").groupBy("i", "block").agg(F.sum("size").alias("w")).collect()}
+        now = []
+        for s in {s for s, _, _ in asked}:
+            cap, over = left[s], []
+            for b in open_[s]:
+                w = fits.get((s, b), 0)
+                if 0 < w <= left[s]:
+                    part[s, b] = 0, cap, 0, False
+                    left[s] -= w
+                elif w:
+                    over.append(b)
+            open_[s] = over
+            if over and left[s]:
+                last[s] = open_[s].pop(0)
+                part[s, last[s]] = left[s], 0, 0, late
+                now.append((s, last[s], *part[s, last[s]]))
+        if now:
+            fill = _fill(placed.join(F.broadcast(spark.createDataFrame(now, f"i int, block int, {PART}")), ["i", "block"]))
+            for r in fill.groupBy("i").agg(F.sum(F.col("x") * F.col("size")).alias("w")).collect():
+                left[r["i"]] -= int(r["w"])
+        late = True
+    for s, b in last.items():
+        if left[s]:
+            more, cap, _, by_size = part.get((s, b), (0, 0, 0, False))
+            part[s, b] = more, cap, left[s], by_size
+    return part
+
+
+def _fill(rows: DataFrame) -> DataFrame:
+    """(i, block, r, size, x): which documents of each partly drawn block are taken once more, by its PART."""
     import pandas as pd
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, took = int(pdf["more"].iloc[0]), []
+        more, cap, end, by_size = pdf[["more", "cap", "end", "by_size"]].iloc[0]
         pdf = pdf.sort_values("r")
-        for size in pdf["size"]:
-            took.append(int(0 < size <= left))
-            left -= size * took[-1]
-        took = _closer(pdf["size"].to_numpy(), np.array(took), left)
-        return pd.DataFrame({"i": pdf["i"], "block": pdf["block"], "r": pdf["r"], "x": took})
-
-    return rows.withColumn("r", _rank()).select("i", "block", "r", "size", "more").groupBy("i", "block").applyInPandas(fit, "i int, block int, r int, x int")
+        size, left = pdf["size"].to_numpy(), int(more)
+        took = ((size > 0) & (size <= cap)).astype(int)
+        for j in np.argsort(-size, kind="stable") if by_size else range(len(size)):
+            if 0 < size[j] <= left:
+                took[j] = 1
+                left -= size[j]
+        if end:
+            took = _closer(size, took, int(end))
+        return pd.DataFrame({"i": pdf["i"], "block": pdf["block"], "r": pdf["r"], "size": size, "x": took})
+
+    return rows.withColumn("r", _rank()).select("i", "block", "r", "size", "more", "cap", "end", "by_size").groupBy("i", "block").applyInPandas(fit, "i int, block int, r int, size long, x int")

@@ -95,6 +95,24 @@ def test_mixing(spark):
     assert mixing.mix(docs(spark, [(1, None), (2, "")])).toPandas().taken.sum() == 0
 
 
+def test_mixing_plans_past_blocks_that_do_not_fit():
+    plan, short = mixing._plan([(0, 0, 0), *[(0, b, 1000) for b in range(1, 25)], (0, 25, 90_000), *[(0, b, 1000) for b in range(26, 50)]], 1, [mixing.Fraction(40_000)], 16, 7)
+    assert sum(n for _, b, n, _ in plan if b not in (0, 25)) == 40 and not short and plan[0][2] == plan[25][2] == 0
+
+
+@pytest.mark.parametrize("texts", [["w " * 100 if i % 40 == 0 else "" for i in range(1600)], ["w " * 30_000 if i % 20 == 0 else "w " * (10 + i % 7) for i in range(1600)]])
+def test_mixing_fills_from_several_blocks(spark, texts):
+    sources = [("a", "b", "c")[i % 3] for i in range(len(texts))]
+    out = mixing.mix(docs(spark, list(enumerate(texts)), sources)).toPandas()
+    assert len(out) == len(texts)
+    for _, g in out.groupby("source"):
+        left = int(g.target.iloc[0]) - g.taken.sum()
+        base = int(g.target.iloc[0] // g.source_size.iloc[0])
+        again = g[(g["size"] > 0) & (g.times <= base)]
+        assert g[g["size"] > 0].times.between(base, base + 1).all()
+        assert left < again["size"].min()
+
+
 def test_lm_equals_plain_counts(spark):
     texts = [(i, " ".join(f"w{(i * k) % 7}" for k in range(i % 9))) for i in range(40)] + AWKWARD[:4] + [(90, "UP up unknownword")]
     got = lm.score_documents(docs(spark, texts), ~is_fold(F.col("doc_id"), 7, 2)).collect()
