@@ -19,7 +19,7 @@ import zstandard as zs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import Shipped, map_rows, map_scored, raw, sample_ids
+from skyloom.llm.common import Shipped, cut, map_rows, map_scored, raw, sample_ids
 
 #: A window is a token, longer ones cut into pieces of so many bytes.
 WINDOW = 64
@@ -28,8 +28,8 @@ FILL = 40
 GRAM = 6
 #: Shortest run shared with the toxic passages that can make a hit.
 SHARED = 5
-#: Distinct windows that a document of the training sample contributes at most, by smallest hash.
-SAMPLE_WINDOWS = 1500
+#: Bytes saved that make a hit are chosen below this.
+MOST_HIT = 7
 
 
 def windows(text: bytes) -> list[bytes]:
@@ -117,17 +117,15 @@ def _train(size: int, samples: list[bytes], k: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def fit(bags: list[tuple[int, int, bytes]], shares: dict[int, float]) -> Gauge:
-    """``bags``: (label, signature of the text, its windows with counts, pickled). Copies are told by their signature and count once.
+def parts(sample: set[tuple[int, int]]) -> tuple[set[tuple[int, int]], set[tuple[int, int]]]:
+    """The (signature, label) of the sampled texts to train on, two thirds, and of those to set the numbers of bytes on; all of a few texts."""
+    texts = sorted(sample)
+    few = len(texts) < 30
+    return {t for i, t in enumerate(texts) if i % 3 or few}, {t for i, t in enumerate(texts) if not i % 3 or few}
 
-    The dictionaries are trained on two thirds of the texts, the two numbers of bytes are set on the rest.
-    """
-    first: dict[tuple[int, int], bytes] = {}
-    for y, sig, bag in bags:
-        first.setdefault((sig, y), bag)
-    texts = sorted(first.items(), key=lambda t: t[0])
-    for_training = [(y, bag) for i, ((_, y), bag) in enumerate(texts) if i % 3 or len(texts) < 30]
-    held = [(y, bag) for i, ((_, y), bag) in enumerate(texts) if not i % 3 or len(texts) < 30]
+
+def train(for_training: list[tuple[int, bytes]]) -> Gauge:
+    """The dictionaries from (label, windows of a text with counts, pickled)."""
     number = Counter(y for y, _ in for_training)
     least = max(3, 0.008 * number[1])
     # The runs of toxic texts first: only those that are common there need counting in the others.
@@ -148,28 +146,36 @@ def fit(bags: list[tuple[int, int, bytes]], shares: dict[int, float]) -> Gauge:
             toxic.append(x)
     common = Counter(w for x in toxic for w in x.split()).most_common(400)
     tail = b"".join(b" " + w + b" " for w, n in reversed(common) if n >= least)
-    gauge = Gauge(_train(16384, ordinary, 64) if ordinary else b"", (_train(8192, toxic, 24) if toxic else b"") + tail)
+    return Gauge(_train(16384, ordinary, 64) if ordinary else b"", (_train(8192, toxic, 24) if toxic else b"") + tail)
+
+
+def saved(gauge: Gauge, text: bytes) -> list[int]:
+    """The bytes saved on all windows of a text that save 1, 2, ... bytes or more."""
+    gains = [(g, n) for w, n in Counter(windows(text)).items() if (g := gauge.gain(w)) > 0]
+    return [sum(g * n for g, n in gains if g >= hit) for hit in range(1, MOST_HIT)]
+
+
+def calibrate(gauge: Gauge, held: list[tuple[int, list[int]]], shares: dict[int, float]) -> None:
+    """Sets what makes a hit and what is enough, from (label, bytes saved) of texts."""
     weight = {y: shares.get(y, 0.5) / max(1, sum(1 for v, _ in held if v == y)) for y in (0, 1)}
-    gains = [(y, [(g, n) for w, n in pickle.loads(bag).items() if (g := gauge.gain(w)) > 0]) for y, bag in held]
     best = None
-    for hit in range(1, 7):
-        saved = [(y, sum(g * n for g, n in own if g >= hit)) for y, own in gains]
+    for hit in range(1, MOST_HIT):
+        sums = [(y, own[hit - 1]) for y, own in held]
         for enough in range(1, 31):
-            tp = sum(weight[1] for y, s in saved if y == 1 and s >= enough)
-            fp = sum(weight[0] for y, s in saved if y == 0 and s >= enough)
-            fn = sum(weight[1] for y, s in saved if y == 1 and s < enough)
+            tp = sum(weight[1] for y, s in sums if y == 1 and s >= enough)
+            fp = sum(weight[0] for y, s in sums if y == 0 and s >= enough)
+            fn = sum(weight[1] for y, s in sums if y == 1 and s < enough)
             f1 = 2 * tp / (2 * tp + fp + fn) if tp else 0.0
             if best is None or f1 > best[0]:
                 best = f1, hit, enough
     gauge.hit, gauge.enough = best[1:]
-    return gauge
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = 1500, threshold: float = 0.7, seed: str = "toxicity", key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
     """One row per document: key, score (0 to 1), predicted (1 at ``threshold`` or more), windows, hits.
 
-    Learns from at most ``per_class`` documents of each label, each by at most SAMPLE_WINDOWS distinct windows; every
-    window of every document is scored. Rows of ``labels`` with null id or label are left out; of several labels for
+    Learns from at most ``per_class`` documents of each label, each by all its windows; every window of every document is
+    scored. Rows of ``labels`` with null id or label are left out; of several labels for
     an id the largest counts. Without toxic documents in the sample nothing is a hit. Null and empty texts have no
     window and score 0. Repeated rows and null keys are returned as they are; other
     columns are not read, but for ``carry``, which returns every row whole in a struct named row.
@@ -181,21 +187,35 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per
     if ids is not None and sizes.get(1):
         picked = docs.select(key, raw(docs[text]).alias("t")).join(F.broadcast(ids), key).select("y", "t")
 
-        def bags(b: pa.RecordBatch) -> pa.RecordBatch:
-            sig, out = [], []
+        def signed(b: pa.RecordBatch) -> pa.RecordBatch:
+            sig = []
             for t in b.column(1):
                 ws = windows(t.as_py())
                 h = xxhash.xxh64_intdigest
                 sig.append(min((h(b" ".join(ws[i : i + 3])) for i in range(max(1, len(ws) - 2))), default=0) >> 1)
-                counts = Counter(ws)
-                kept = sorted(counts, key=h)[:SAMPLE_WINDOWS] if len(counts) > SAMPLE_WINDOWS else list(counts)
-                out.append(pickle.dumps({w: counts[w] for w in kept}))
-            return pa.RecordBatch.from_arrays([b.column(0), pa.array(sig, pa.int64()), pa.array(out, pa.binary())], names=["y", "sig", "bag"])
+            return pa.RecordBatch.from_arrays([b.column(0), pa.array(sig, pa.int64()), b.column(1)], names=["y", "sig", "t"])
+
+        # Copies are told by their signature and count once, by the least of their texts.
+        sample = cut(map_rows(picked, "y int, sig bigint, t binary", signed).groupBy("y", "sig").agg(F.min("t").alias("t")))
+        teach, held = parts({(r["sig"], r["y"]) for r in sample.select("y", "sig").collect()})
+
+        def bags(b: pa.RecordBatch) -> pa.RecordBatch:
+            out = [(y, s, pickle.dumps(dict(Counter(windows(t.as_py()))))) for y, s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)) if (s, y) in teach]
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["y", "sig", "bag"])
 
-        rows = map_rows(picked, "y int, sig bigint, bag binary", bags).collect()
-        found = sorted(((r["y"], r["sig"], bytes(r["bag"])) for r in rows))
+        rows = map_rows(sample, "y int, sig bigint, bag binary", bags).collect()
+        found = [(y, bag) for _, y, bag in sorted((r["sig"], r["y"], bytes(r["bag"])) for r in rows)]
         del rows
-        gauge = fit(found, {y: n / sum(sizes.values()) for y, n in sizes.items()})
+        gauge = train(found)
+        del found
+        trained = Shipped(spark, gauge)
+
+        def sums(b: pa.RecordBatch) -> pa.RecordBatch:
+            out = [(y, saved(trained.get(), t.as_py())) for y, s, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)) if (s, y) in held]
+            return pa.RecordBatch.from_arrays([pa.array([y for y, _ in out], pa.int32()), pa.array([x for _, x in out], pa.list_(pa.int64()))], names=["y", "saved"])
+
+        got = map_rows(sample, "y int, saved array<bigint>", sums).collect()
+        calibrate(gauge, [(r["y"], r["saved"]) for r in got], {y: n / sum(sizes.values()) for y, n in sizes.items()})
     gauge.threshold = threshold
     shipped = Shipped(spark, gauge)
 

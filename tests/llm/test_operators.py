@@ -1,6 +1,7 @@
 """The operators on Spark: small tables with nulls, empties, ties, repeats and clashing columns, against plain versions."""
 
 import math
+import pickle
 import zlib
 from collections import Counter
 
@@ -224,6 +225,24 @@ def test_classifiers_without_labels(spark):
     assert carried.count() == 8 and "row" in carried.columns
 
 
+def test_toxicity_learns_from_all_windows(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    bad = [f"vile{c}curse" for c in "abcdefghij"]
+    texts, labels, seen = [], [], []
+    for i in range(60):
+        words = [f"plain{r.integers(1e9)}" for _ in range(4000)]
+        texts.append((i, " ".join([*words, *(bad if i % 2 else [])])))
+        labels.append((i, i % 2))
+    whole, plain = toxicity.train, toxicity.calibrate
+    monkeypatch.setattr(toxicity, "train", lambda bags: seen.extend(len(pickle.loads(b)) for _, b in bags) or whole(bags))
+    monkeypatch.setattr(toxicity, "calibrate", lambda g, held, shares: seen.append(held) or plain(g, held, shares))
+    out = toxicity.score_toxicity(docs(spark, texts), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    held = seen.pop()
+    assert len(seen) == 40 and min(seen) > 3900
+    assert len(held) == 20 and all(min(x[:3]) > 0 for y, x in held if y)
+    assert all(x.predicted == x.doc_id % 2 for x in out)
+
+
 @pytest.mark.parametrize("name,label,least", [("op1_toxicity", "toxic", 0.9), ("op5_quality", "quality", 0.95)])
 def test_held_out_accuracy(spark, name, label, least):
     sf = "/root/testdata/sf0.01"
