@@ -107,21 +107,28 @@ def knn(points: DataFrame, k: int, id: str = "splat_id", rounds: int = 40) -> Da
     return reduce(DataFrame.union, found).select(F.col("lid").alias(id), F.col("rid").alias("neighbor"), "dist", F.col("rank").cast("int").alias("rank"))
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component): the least node reachable over ``edges(a, b)``, by star contraction."""
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """Connected components of ``edges(a, b)``: rows (node, component), component the least node reached.
+
+    Alternating large-star and small-star contraction. Each round is joins and min-aggregates over edges, so no
+    component or neighbour list is gathered anywhere; a hub meets its one minimum in a join that Spark may split.
+    Every round is cut by a reliable checkpoint. Nulls and self-loops are ignored. Nodes in no edge are not returned.
+    Rounds grow with the logarithm of the nodes; should ``max_rounds`` not do, this raises rather than return part.
+    """
     mark = None
-    for _ in range(rounds):
+    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    for _ in range(max_rounds):
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if not now[0] or now == mark:
-            break
+            return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
         mark = now
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        hub = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = hub.groupBy("u").agg(F.min("v").alias("m"))
-        e = cut(hub.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        e = cut(small)
+    raise RuntimeError(f"components are not contracted after {max_rounds} rounds")
 
 
 def voxel_mean(points: DataFrame, size: float, values: tuple[str, ...] = (*AXES, "r", "g", "b"), id: str = "cand_id") -> DataFrame:
@@ -135,6 +142,6 @@ def voxel_mean_within(points: DataFrame, size: float, most: int, grow: float = 1
     for _ in range(tries):
         out = voxel_mean(points, size, **kw)
         if out.limit(most + 1).count() <= most:
-            break
+            return out, size
         size *= grow
-    return out, size
+    raise RuntimeError(f"more than {most} voxels after {tries} tries")

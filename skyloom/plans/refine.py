@@ -351,7 +351,7 @@ def ag2(spark, sf):
     return rounded(views.gap_directions(spark, masks(spark, sf)))
 
 
-@query("ag2_gap_report", f"WITH {GAPS_SQL} SELECT round((SELECT AVG(share) FROM per), 6) + 0.0 AS average, arg_min(direction, ordinal) FILTER (fraction = (SELECT MAX(fraction) FROM gap)) AS worst, array_to_string(list(direction ORDER BY fraction DESC, ordinal) FILTER (fraction >= 0.05), ',') AS recommended, (SELECT AVG(share) FROM per) < 0.05 AS converged FROM gap")
+@query("ag2_gap_report", f"WITH {GAPS_SQL} SELECT round((SELECT AVG(share) FROM per), 6) + 0.0 AS average, arg_min(direction, ordinal) FILTER (fraction = (SELECT MAX(fraction) FROM gap)) AS worst, coalesce(array_to_string(list(direction ORDER BY fraction DESC, ordinal) FILTER (fraction >= 0.05), ','), '') AS recommended, (SELECT AVG(share) FROM per) < 0.05 AS converged FROM gap")
 def ag2r(spark, sf):
     r = views.gap_report(spark, masks(spark, sf))
     return rounded(r.select("average", "worst", F.concat_ws(",", "recommended").alias("recommended"), "converged"))

@@ -15,9 +15,17 @@ def build(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str) ->
     return b.getOrCreate()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in ``spark.checkpoint.dir``; in a folder of our own only where the session names none."""
-    sc = df.sparkSession.sparkContext
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Use ``spark.checkpoint.dir``. Only a local session that names none gets a folder of its own."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skyloom-ckpt-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="skyloom-ckpt-"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint: later jobs read it back from the shared folder, and lost executors lose nothing."""
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
