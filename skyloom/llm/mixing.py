@@ -1,27 +1,34 @@
 """Mixing sources to target weights with a multivariate-hypergeometric splitting tree.
 
-Documents of a source fall into blocks by hash, a random permutation of them. How often each block is drawn is set by
-the source's target; the drawn blocks are then dealt to output shards: a tree halves the shards again and again and
-each half gets its exact share of every source's block quota, drawn from the multivariate hypergeometric
-distribution. A shard takes the next blocks of each source's permutation and shuffles its own documents.
+The rows of a source stand in the order of a hash, a random permutation, which is cut into blocks. A source is drawn in
+passes over its blocks: as many whole ones as its target holds, then a last one that takes documents by first fit until
+no further one fits. The blocks drawn of a source are its quota. A tree halves the output shards again and again; each
+half gets its exact share of every source's quota, drawn from the multivariate hypergeometric distribution. A shard draws
+the next blocks of each source's permutation, so many as its quotas say, and shuffles its documents by a hash. A
+document is taken once for each drawn block that holds it.
 """
 
 from __future__ import annotations
 
-import hashlib
 from fractions import Fraction
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm.common import cut
 
-#: All sources have this many blocks at most together, so the block table on the driver has a bound.
+#: All sources have about this many blocks at most together, so the block table on the driver has a bound.
 MAX_BLOCKS = 60_000
 #: Documents a block has on average until MAX_BLOCKS is reached.
 BLOCK_DOCS = 32
+#: More sources than this are an error: a row for each reaches the driver and every task.
+MAX_SOURCES = 50_000
+#: Documents that the search for the end of the last pass reads on the driver at once: of a source, and in all.
+FEW, FEW_IN_ALL = 2_000, 2_000_000
 WORD = r"[^\x20\x09-\x0D]+"
+#: Hashes lie in 0 .. TOP - 1.
+TOP = 1 << 63
 
 
 def targets(sizes: list[tuple[str | None, int]], weights: list[int], most: int = 3) -> dict[str | None, Fraction]:
@@ -54,173 +61,193 @@ def split_quota(quota: np.ndarray, shards: int, rng: np.random.Generator) -> np.
     return np.concatenate([split_quota(left, half, rng), split_quota(quota - left, shards - half, rng)])
 
 
-def _plan(blocks: list[tuple[int, int, int]], n_sources: int, target: list[Fraction], shards: int, seed: int) -> tuple[list[tuple[int, int, int, int]], dict[int, tuple[int, list[int]]]]:
-    """blocks: (source, block, words), in permuted order. Gives (source, block, times, first shard) and for each source
-    with words still wanted how many, and the blocks with words that are too large to be taken whole."""
-    times, short, quota = {}, {}, np.zeros(n_sources, np.int64)
-    by_source: dict[int, list[tuple[int, int]]] = {}
-    for s, b, words in blocks:
-        by_source.setdefault(s, []).append((b, words))
-    for s, own in by_source.items():
-        size = sum(w for _, w in own)
-        whole = int(target[s] // size) if size else 0
-        rest = target[s] - whole * size
-        over = []
-        for b, w in own:
-            times[s, b] = whole
-            if 0 < w <= rest:
-                times[s, b] += 1
-                rest -= w
-            elif w:
-                over.append(b)
-            quota[s] += times[s, b]
-        if rest >= 1 and over:
-            short[s] = int(rest), over
-    rng = np.random.default_rng(seed)
-    deal = split_quota(quota, shards, rng)
-    out = []
-    for s, own in by_source.items():
-        slots = np.repeat(np.arange(shards), deal[:, s])
-        at = 0
-        for b, _ in own:
-            n = times[s, b]
-            out.append((s, b, n, int(slots[at]) if n else -1))
-            at += n
-    return out, short
+def _numbered(docs: DataFrame, key: str, text: str, source: str, seed: int) -> DataFrame:
+    """(k, s, size, h): each row with its place in the permutation, the same in every run.
+
+    Rows alike in key, source and text are counted and numbered, which tells them apart: a million copies of a row are a
+    count to the shuffle, and a null key is a key like others.
+    """
+    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    alike = docs.select(F.col(key).alias("k"), F.col(source).cast("string").alias("s"), size.alias("size"), F.xxhash64(F.col(key), F.col(text), F.lit(seed)).alias("h"))
+    alike = alike.groupBy("k", "s", "size", "h").agg(F.count("*").alias("n"))
+    runs = alike.withColumn("run", F.explode(F.expr("sequence(0L, (n - 1) div 100000)")))
+    each = runs.withColumn("nth", F.explode(F.expr("sequence(run * 100000, least(n, (run + 1) * 100000) - 1)")))
+    return each.select("k", "s", "size", F.shiftrightunsigned(F.xxhash64("h", "nth"), 1).alias("h"))
+
+
+class LastPass:
+    """How far the last pass over a source has come: documents below ``at`` are decided.
+
+    ``steps`` are (cap, below): taken are documents of at most ``cap`` words whose hash lies below. Caps fall and hashes
+    grow from step to step, so they say what first fit in the order of the hashes takes.
+    """
+
+    def __init__(self, left: int):
+        self.left, self.cap, self.at, self.to, self.steps = left, left, 0, TOP, []
+
+    def over(self, size: int, h: int) -> None:
+        """The next candidate at ``h``: taken, or from here on only those count that still fit."""
+        if size <= self.left:
+            self.left -= size
+        elif size <= self.cap:
+            self.steps.append((self.cap, h))
+            self.cap = self.left
+
+    def bins(self, width: int, found: list[tuple[int, int, int]]) -> bool:
+        """Goes over (bin, words, documents); False at a bin that must be looked into, which is then all of [at, to)."""
+        for k, words, n in found:
+            start = self.at + k * width
+            if words <= self.left:
+                self.left -= words
+            elif n == 1:
+                self.over(words, start)
+            else:
+                self.at, self.to = start, min(start + width, self.to)
+                return False
+        self.at, self.to = self.to, TOP
+        return True
+
+    def end(self) -> None:
+        if self.cap:
+            self.steps.append((self.cap, self.at))
+        self.cap = 0
+
+    @property
+    def open(self) -> bool:
+        return self.left > 0 and self.at < TOP
+
+
+def _last_passes(rows: DataFrame, left: dict[int, int]) -> dict[int, LastPass]:
+    """The last pass of each source that still wants words, over ``rows(i, size, h)``.
+
+    A round adds up words by equal ranges of hashes. Ranges that fit are taken whole; the first that does not is looked
+    into: by its documents where they are few, else by ranges of its own. Then the rest follows, with only those
+    documents counting that still fit. Each round reads sums or a bounded number of documents, whatever the table's size.
+    """
+    spark = rows.sparkSession
+    passes = {i: LastPass(n) for i, n in left.items()}
+    while wanted := {i: p for i, p in passes.items() if p.open}:
+        bins = max(16, min(1024, MAX_BLOCKS // len(wanted)))
+        width = {i: (p.to - p.at) // bins + 1 for i, p in wanted.items()}
+
+        def candidates(of: list[int]) -> DataFrame:
+            ask = [(i, passes[i].at, passes[i].to if passes[i].to < TOP else -1, passes[i].cap, width[i]) for i in of]  # a long does not hold TOP
+            asked = spark.createDataFrame(ask, "i int, at long, to long, cap long, width long")
+            return rows.join(F.broadcast(asked), "i").where("size between 1 and cap and h >= at and (h < to or to < 0)")
+
+        found: dict[int, list[tuple[int, int, int]]] = {i: [] for i in wanted}
+        for r in candidates(list(wanted)).groupBy("i", F.expr("(h - at) div width").alias("bin")).agg(F.sum("size").alias("w"), F.count("*").alias("n")).collect():
+            found[r["i"]].append((r["bin"], int(r["w"]), r["n"]))
+        look = []
+        for i, p in wanted.items():
+            begin = p.at
+            if not p.bins(width[i], sorted(found[i])):
+                n = next(n for k, _, n in found[i] if begin + k * width[i] == p.at)
+                if n <= min(FEW, FEW_IN_ALL // len(wanted)):
+                    look.append(i)
+        if look:
+            for r in sorted(candidates(look).select("i", "h", "size").collect(), key=lambda r: (r["i"], r["h"], r["size"])):
+                passes[r["i"]].over(r["size"], r["h"])
+            for i in look:
+                passes[i].at, passes[i].to = passes[i].to, TOP
+    for p in passes.values():
+        p.end()
+    return passes
+
+
+def _taken_last() -> Column:
+    """Whether the last pass takes a document: by its source's steps, but for the one exchanged for another."""
+    by_steps = (F.col("size") > 0) & F.exists("steps", lambda s: (F.col("size") <= s["cap"]) & ((F.col("h") < s["below"]) | (s["below"] < 0)))
+    return F.coalesce((by_steps & (F.col("h") != F.col("gone"))) | (F.col("h") == F.col("came")), F.lit(False))
+
+
+def _exchanges(rows: DataFrame, passes: dict[int, LastPass]) -> dict[int, tuple[int, int]]:
+    """For each source that missed its target the hashes (gone, came) of documents to exchange; -1: none.
+
+    One document more, or one in place of the shortest or the longest taken, if that comes nearer to the target.
+    """
+    short = {i: p for i, p in passes.items() if p.left > 0}
+    if not short:
+        return {}
+    marked = rows.join(F.broadcast(_steps_table(rows, short, {})), "i").withColumn("taken", _taken_last()).where("size > 0")
+    own = F.struct("size", "h")
+    ends = {r["i"]: [(0, -1)] + [(x["size"], x["h"]) for x in (r["low"], r["high"]) if x] for r in marked.where("taken").groupBy("i").agg(F.min(own).alias("low"), F.max(own).alias("high")).collect()}
+    out_of = {i: (ends.get(i, [(0, -1)]) * 3)[:3] for i in short}
+    wants = rows.sparkSession.createDataFrame([(i, *[short[i].left + size for size, _ in out]) for i, out in out_of.items()], "i int, w0 long, w1 long, w2 long")
+    free = marked.where("not taken").join(F.broadcast(wants), "i")
+    nearest = free.groupBy("i").agg(*[F.min(F.struct(F.abs(F.col("size") - F.col(f"w{k}")).alias("miss"), "size", "h")).alias(f"b{k}") for k in range(3)])
+    swaps = {}
+    for r in nearest.collect():
+        i = r["i"]
+        miss, k = min((r[f"b{k}"]["miss"], k) for k in range(3))
+        if miss < short[i].left:
+            swaps[i] = out_of[i][k][1], r[f"b{k}"]["h"]
+    return swaps
+
+
+def _steps_table(rows: DataFrame, passes: dict[int, LastPass], swaps: dict[int, tuple[int, int]]) -> DataFrame:
+    entries = [(i, p.left, [(cap, below if below < TOP else -1) for cap, below in p.steps], *swaps.get(i, (-1, -1))) for i, p in passes.items()]
+    return rows.sparkSession.createDataFrame(entries, "i int, left long, steps array<struct<cap: long, below: long>>, gone long, came long")
+
+
+def deal(blocks: dict[int, tuple[int, list[int], list[int]]], shards: int, seed: int) -> dict[int, tuple[np.ndarray, dict[int, int]]]:
+    """Shards of the drawn blocks. ``blocks``: by source the whole passes, its blocks, and those of the last pass.
+
+    Gives by source the shard of each block in each whole pass, shape (passes, blocks), and in the last pass. Quotas
+    come from the tree; a shard takes so many next blocks of each source's passes.
+    """
+    order = sorted(blocks)
+    quota = np.array([blocks[i][0] * len(blocks[i][1]) + len(blocks[i][2]) for i in order], np.int64)
+    parts = split_quota(quota, shards, np.random.default_rng(seed))
+    out = {}
+    for j, i in enumerate(order):
+        passes, own, last = blocks[i]
+        slots = np.repeat(np.arange(shards), parts[:, j])
+        cut_at = passes * len(own)
+        out[i] = slots[:cut_at].reshape(passes, len(own)), dict(zip(last, slots[cut_at:].tolist()))
+    return out
 
 
 def mix(docs: DataFrame, weights: list[int] | None = None, most: int = 3, shards: int = 16, seed: int = 7, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """One row per document: key, source, size, source_size, target, taken, times, shard, shard_order.
-
-    ``size`` counts words, ``times`` how often the mix takes the document (0 to ``most``), ``taken`` = times * size;
-    ``shard`` and ``shard_order`` place its first copy (null when not taken). A source's taken words miss its target
-    by less than what is left when no further document of it fits. Null texts have size 0; a null source is a
-    source of its own, last in order; a source of no words has target 0 and takes nothing. Repeated rows are told apart
-    by a count within their block, null keys are dealt like others. An empty table gives no rows. Sources are few: one
-    row each reaches the driver, and MAX_BLOCKS block sizes.
+    """One row per document: key, source, size, source_size, target, taken, times, block, shards, orders.
+
+    ``size`` counts words; ``shards`` are those of the drawn blocks that hold the document, one for each copy, and
+    ``orders`` its places in them; ``times`` is their number (0 to ``most``), ``taken`` = times * size. A source's words
+    miss its target by less than the shortest of its documents that first fit leaves. Null and empty texts have size
+    0 and go with the whole passes; a null source is a source of its own, last in order; a source without words has
+    target 0. Repeated rows are documents of their own, null keys are dealt like others, other columns are not read. An
+    empty table gives no rows. More than MAX_SOURCES sources are an error.
     """
     weights = weights or [1, 2, 3]
     spark = docs.sparkSession
-    kind = docs.schema[key].dataType.simpleString()
-    sized = docs.select(F.col(key).alias("k"), F.col(source).cast("string").alias("s"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col(key), F.lit(seed)).alias("h"))
-    sized = cut(sized)
-    totals = [(r["s"], int(r["n"]), int(r["w"])) for r in sized.groupBy("s").agg(F.count("*").alias("n"), F.sum("size").alias("w")).collect()]
-    if not totals:
-        return spark.createDataFrame([], f"`{key}` {kind}, `{source}` string, size long, source_size long, target double, taken long, times int, shard int, shard_order long")
+    numbered = cut(_numbered(docs, key, text, source, seed))
+    totals = [(r["s"], r["n"], int(r["w"])) for r in numbered.groupBy("s").agg(F.count("*").alias("n"), F.sum("size").alias("w")).limit(MAX_SOURCES + 1).collect()]
+    if len(totals) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
     order = sorted(totals, key=lambda t: (t[0] is None, t[0] or ""))
-    want = targets([(s, w) for s, _, w in order], weights, most)
-    docs_all = sum(n for _, n, _ in order)
-    per_block = max(BLOCK_DOCS, -(-docs_all // (MAX_BLOCKS - min(MAX_BLOCKS // 2, len(order)))))
-    # A source's salt is a hash of its name, so its permutation does not depend on the other sources.
-    dims = [(i, s, w, float(want[s]), max(1, n // per_block), int.from_bytes(hashlib.sha256(repr((seed, s)).encode()).digest()[:4], "big")) for i, (s, n, w) in enumerate(order)]
-    dim = spark.createDataFrame(dims, "i int, s2 string, source_size long, target double, blocks int, salt long")
-    placed = sized.join(F.broadcast(dim) if len(dims) <= 10_000 else dim, F.col("s").eqNullSafe(F.col("s2")))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("h", "salt"), F.col("blocks").cast("long")).cast("int"))
-    blocks = sorted((r["i"], r["block"], int(r["w"])) for r in placed.groupBy("i", "block").agg(F.sum("size").alias("w")).collect())
-    plan, short = _plan(blocks, len(dims), [want[s] for s, _, _ in order], shards, seed)
-    part = _parts(placed, short)
-    rows = [(s, b, n, shard, *part.get((s, b), (0, 0, 0, False))) for s, b, n, shard in plan]
-    decided = spark.createDataFrame(rows, f"i int, block int, n int, first_shard int, {PART}")
-    out = placed.join(F.broadcast(decided), ["i", "block"]).withColumn("fitted", (F.col("more") > 0) | (F.col("end") > 0))
-    extra = _fill(out.where("fitted"))
-    once = out.where("not fitted").select("k", "s", "size", "source_size", "target", "n", "first_shard", "h", F.expr("int(size > 0 and size <= cap)").alias("x"))
-    again = out.where("fitted").withColumn("r", _rank()).join(extra.drop("size"), ["i", "block", "r"]).select("k", "s", "size", "source_size", "target", "n", "first_shard", "h", "x")
-    both = once.union(again).withColumn("times", (F.col("n") + F.col("x")).cast("int"))
-    shard = F.when(F.col("times") > 0, F.when(F.col("first_shard") >= 0, F.col("first_shard")).otherwise(F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int")))
-    return both.select(F.col("k").alias(key), F.col("s").alias(source), "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"), "times", shard.alias("shard"), F.when(F.col("times") > 0, F.xxhash64("h", F.lit(seed + 1))).alias("shard_order"))
-
-
-def _rank():
-    from pyspark.sql import Window
-
-    return F.row_number().over(Window.partitionBy("i", "block").orderBy("h", F.col("k"), "size"))
-
-
-def _closer(size: np.ndarray, took: np.ndarray, left: int, swaps: int = 4) -> np.ndarray:
-    """Takes one document more, or one in place of another, while that leaves fewer words wanted or too many."""
-    for _ in range(swaps):
-        free = np.flatnonzero((took == 0) & (size > 0))
-        if not left or not len(free):
-            break
-        free = free[np.argsort(size[free], kind="stable")]
-        out = np.concatenate([[-1], np.flatnonzero(took)])  # -1: nothing goes out
-        want = np.where(out >= 0, size[out], 0) + left
-        at = np.clip(np.searchsorted(size[free], want), 1, len(free)) - 1
-        both = np.stack([at, np.minimum(at + 1, len(free) - 1)])
-        miss = np.abs(size[free][both] - want)
-        k, i = np.unravel_index(miss.argmin(), miss.shape)
-        if miss[k, i] >= abs(left):
-            break
-        new = free[both[k, i]]
-        left -= int(size[new] - (size[out[i]] if out[i] >= 0 else 0))
-        took[new] = 1
-        if out[i] >= 0:
-            took[out[i]] = 0
-    return took
-
-
-#: What is taken once more of a block: documents by first fit up to ``more`` words, or all of ``cap`` words at most. With
-#: ``end`` words still wanted of the source, documents are swapped at last; ``by_size``: the longest fit first.
-PART = "more long, cap long, end long, by_size boolean"
-
-
-def _parts(placed: DataFrame, short: dict[int, tuple[int, list[int]]]) -> dict[tuple[int, int], tuple[int, int, int, bool]]:
-    """PART of the blocks that are drawn in part, so that in the end no document of a source fits into the words it wants.
-
-    Each round counts, by block, the words of the documents that fit by themselves. Blocks that fit with all of these
-    take them, the first that does not is filled by first fit. A block is done once: what is left then never fits later.
-    """
-    spark = placed.sparkSession
-    left = {s: w for s, (w, _) in short.items()}
-    open_ = {s: list(over) for s, (_, over) in short.items()}
-    last = {s: over[0] for s, (_, over) in short.items()}
-    part: dict[tuple[int, int], tuple[int, int, int, bool]] = {}
-    late = False
-    while asked := [(s, b, left[s]) for s in open_ for b in open_[s] if left[s]]:
-        wanted = F.broadcast(spark.createDataFrame(asked, "i int, block int, most long"))
-        fits = {(r["i"], r["block"]): int(r["w"]) for r in placed.join(wanted, ["i", "block"]).where("size > 0 and size <= most").groupBy("i", "block").agg(F.sum("size").alias("w")).collect()}
-        now = []
-        for s in {s for s, _, _ in asked}:
-            cap, over = left[s], []
-            for b in open_[s]:
-                w = fits.get((s, b), 0)
-                if 0 < w <= left[s]:
-                    part[s, b] = 0, cap, 0, False
-                    left[s] -= w
-                elif w:
-                    over.append(b)
-            open_[s] = over
-            if over and left[s]:
-                last[s] = open_[s].pop(0)
-                part[s, last[s]] = left[s], 0, 0, late
-                now.append((s, last[s], *part[s, last[s]]))
-        if now:
-            fill = _fill(placed.join(F.broadcast(spark.createDataFrame(now, f"i int, block int, {PART}")), ["i", "block"]))
-            for r in fill.groupBy("i").agg(F.sum(F.col("x") * F.col("size")).alias("w")).collect():
-                left[r["i"]] -= int(r["w"])
-        late = True
-    for s, b in last.items():
-        if left[s]:
-            more, cap, _, by_size = part.get((s, b), (0, 0, 0, False))
-            part[s, b] = more, cap, left[s], by_size
-    return part
-
-
-def _fill(rows: DataFrame) -> DataFrame:
-    """(i, block, r, size, x): which documents of each partly drawn block are taken once more, by its PART."""
-    import pandas as pd
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        more, cap, end, by_size = pdf[["more", "cap", "end", "by_size"]].iloc[0]
-        pdf = pdf.sort_values("r")
-        size, left = pdf["size"].to_numpy(), int(more)
-        took = ((size > 0) & (size <= cap)).astype(int)
-        for j in np.argsort(-size, kind="stable") if by_size else range(len(size)):
-            if 0 < size[j] <= left:
-                took[j] = 1
-                left -= size[j]
-        if end:
-            took = _closer(size, took, int(end))
-        return pd.DataFrame({"i": pdf["i"], "block": pdf["block"], "r": pdf["r"], "size": size, "x": took})
-
-    return rows.withColumn("r", _rank()).select("i", "block", "r", "size", "more", "cap", "end", "by_size").groupBy("i", "block").applyInPandas(fit, "i int, block int, r int, size long, x int")
+    want = targets([(s, w) for s, _, w in order], weights, most) if order else {}
+    per_block = max(BLOCK_DOCS, -(-sum(n for _, n, _ in order) // MAX_BLOCKS))
+    whole = {i: int(want[s] // w) if w else 0 for i, (s, _, w) in enumerate(order)}
+    dims = [(i, s, w, float(want[s]), TOP // max(1, n // per_block) + 1 if n >= 2 * per_block else TOP - 1) for i, (s, n, w) in enumerate(order)]
+    dim = F.broadcast(spark.createDataFrame(dims, "i int, s2 string, source_size long, target double, width long"))
+    placed = numbered.join(dim, F.col("s").eqNullSafe(F.col("s2"))).drop("s2").withColumn("block", F.expr("cast(h div width as int)"))
+    rows = placed.select("i", "size", "h")
+    passes = _last_passes(rows, {i: int(want[s] - whole[i] * w) for i, (s, _, w) in enumerate(order)})
+    steps = F.broadcast(_steps_table(rows, passes, _exchanges(rows, passes)).drop("left"))
+    decided = placed.join(steps, "i").withColumn("last", _taken_last()).drop("steps", "gone", "came")
+    own: dict[int, tuple[int, list[int], list[int]]] = {i: (n, [], []) for i, n in whole.items()}
+    for i, b, last in sorted((r["i"], r["block"], r["last"]) for r in decided.groupBy("i", "block").agg(F.max("last").alias("last")).collect()):
+        own[i][1].append(b)
+        if last:
+            own[i][2].append(b)
+    plan = [(i, b, at[:, j].tolist(), last.get(b)) for i, (at, last) in deal(own, shards, seed).items() for j, b in enumerate(own[i][1])]
+    drawn = decided.join(F.broadcast(spark.createDataFrame(plan, "i int, block int, whole array<int>, part int")), ["i", "block"])
+    drawn = drawn.withColumn("shards", F.when(F.col("last"), F.concat("whole", F.array("part"))).otherwise(F.col("whole"))).withColumn("times", F.size("shards"))
+    orders = F.transform("shards", lambda x, n: F.xxhash64("h", n, F.lit(seed)))
+    return drawn.select(F.col("k").alias(key), F.col("s").alias(source), "size", "source_size", "target", (F.col("times") * F.col("size")).alias("taken"), "times", "block", "shards", orders.alias("orders"))
+
+
+def copies(mixed: DataFrame) -> DataFrame:
+    """One row for each copy that the mix takes: the document's columns, copy (from 0), shard, and order in the shard."""
+    each = mixed.select("*", F.posexplode(F.arrays_zip("shards", "orders")).alias("copy", "at"))
+    return each.select(*[c for c in mixed.columns if c not in ("shards", "orders")], "copy", F.col("at.shards").alias("shard"), F.col("at.orders").alias("order"))

@@ -41,7 +41,7 @@ def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "times", "shard", "shard_order")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "times", "block", F.concat_ws(",", "shards").alias("shards"))
 
 
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:

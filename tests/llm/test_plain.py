@@ -1,10 +1,13 @@
 """The operators' inner parts against plain versions, without Spark."""
 
+import html
 import math
 import random
+import re
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 import xxhash
@@ -127,9 +130,58 @@ def test_main_text():
     assert html_extract.main_text("<article><p>open 'quote <b title='x>y'>z</b> a < b</article>") == "open 'quote z a < b"
 
 
-def test_tree_learns_its_table():
-    t = np.array(html_extract.LABELLED, float)
-    assert (html_extract.tree().predict(t[:, :-1]) == t[:, -1].astype(bool)).all()
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ('<article><p>First a.</p><p><svg class="i"/> Second b.</p><p>Third c.</p></article>', "First a.\nSecond b.\nThird c."),
+        ("<article><p>First a.</p><p><button>Go <p>Second b.</p><p>Third c.</p></article>", "First a.\nSecond b.\nThird c."),
+        ("<article><p>x y<select><option>1<option>2<p>more here</p></article>", "x y\nmore here"),
+        ("<article><p>a</p><video src=x><p>no video</p></video><p>b <button>press</button></p></article>", "a\nb"),
+        ("<html><head><title>T</title><p>Some para here.</p><p>Another one with more words in it.</p>", "Some para here.\nAnother one with more words in it."),
+        ("<title>abc<p>text here is long enough ok.", "text here is long enough ok."),
+        ("<p>one</p>", "one"),
+        ('<article><p>a b c</p><div class="notice-board-history"><p>It was long.</p></div><p class="notice">Accept</p></article>', "a b c\nIt was long."),
+        ("<nav><ul><li><a href=/>x</a></ul><article><p>Text in an article.</p></article>", "Text in an article."),
+        ("<form action=/><article><p>Text in an article.</p></article></form>", "Text in an article."),
+        ('<article data-class="ad"><p data-id="comment">t<textarea>hid</textarea>u <math><mi>x</mi></math> v</p></article>', "t u v"),
+        ("<!--> <article><p>a</p><!-- b --!><p>c</p></article>", "a\nc"),
+    ],
+)
+def test_broken_markup_loses_no_text(page, text):
+    assert html_extract.main_text(page) == text
+
+
+def test_neighbours_decide_without_hints():
+    link = '<div><a href="/">{}</a></div>'.format
+    same = "<p>Nine words stand here in the same plain paragraph.</p>"
+    prose = "<p>" + "word " * 40 + "</p>"
+    assert html_extract.main_text(prose + same + prose) == "\n".join(["word " * 39 + "word", same[3:-4], "word " * 39 + "word"])
+    assert html_extract.main_text(prose + link("a") + same.replace("Nine words stand here", "Nine") + link("b") + link("c")) == "word " * 39 + "word"
+
+
+def test_tree_learns_its_pages():
+    x, y = html_extract.labelled()
+    assert (html_extract.tree().predict(x) == y.astype(bool)).all()
+    used, todo = set(), [html_extract.tree()]
+    while todo:
+        node = todo.pop()
+        if node.feature >= 0:
+            used.add(html_extract.FEATURES[node.feature])
+            todo += [node.low, node.high]
+    assert {"words", "density", "words before", "density before", "words after", "density after"} <= used
+
+
+def article(page):
+    """The generated pages' article by plain cutting: blocks are h1 and p, b is mark-up, br a space."""
+    m = re.search(r"<article>(.*?)(?:</article>|\Z)", page, re.S)
+    cut = re.split(r"</?(?:p|h1)>", m[1]) if m else []
+    return "\n".join(x for b in cut if (x := " ".join(html.unescape(re.sub("</?b>", "", b.replace("<br>", " "))).split())))
+
+
+def test_main_text_equals_the_article_of_generated_pages():
+    for sf in ("sf0.001", "sf0.01"):
+        for page in pq.read_table(f"/root/testdata/{sf}/pages.parquet")["html"].to_pylist():
+            assert html_extract.main_text(page or "") == article(page or "")
 
 
 def test_features_are_finite_for_any_bytes():
