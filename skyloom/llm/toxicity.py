@@ -21,13 +21,12 @@ from pyspark.sql import functions as F
 
 from skyloom.llm.common import Shipped, cut, map_rows, map_scored, raw, sample_ids
 
-#: A window is a token, longer ones cut into pieces of so many bytes.
+#: A window is a token; longer ones are cut into pieces of so many bytes, each half over the one before.
 WINDOW = 64
 #: Windows are repeated up to this length before compression: zstandard stores shorter blocks as they are.
 FILL = 40
 GRAM = 6
-#: Shortest run shared with the toxic passages that can make a hit.
-SHARED = 5
+
 #: Bytes saved that make a hit are chosen below this.
 MOST_HIT = 7
 
@@ -35,7 +34,7 @@ MOST_HIT = 7
 def windows(text: bytes) -> list[bytes]:
     words = text.lower().split()
     if max(map(len, words), default=0) > WINDOW:
-        return [w[i : i + WINDOW] for w in words for i in range(0, len(w), WINDOW)]
+        return [w[i : i + WINDOW] for w in words for i in range(0, max(1, len(w) - WINDOW // 2), WINDOW // 2)]
     return words
 
 
@@ -54,7 +53,7 @@ class Gauge:
     MEMO = 300_000
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("memo", "_sizes", "_shared")} | {"memo": {}}
+        return {k: v for k, v in self.__dict__.items() if k not in ("memo", "_sizes")} | {"memo": {}}
 
     def sizes(self):
         if not hasattr(self, "_sizes"):
@@ -66,12 +65,6 @@ class Gauge:
                 self._sizes.append(zs.ZstdCompressor(compression_params=params, dict_data=d).compress)
         return self._sizes
 
-    def shared(self) -> set[bytes]:
-        """The byte runs of the toxic passages: a window with none of them has nothing to gain and is not compressed."""
-        if not hasattr(self, "_shared"):
-            self._shared = {self.toxic[i : i + SHARED] for i in range(len(self.toxic) - SHARED + 1)}
-        return self._shared
-
     def gain(self, window: bytes) -> int:
         """Bytes that the toxic dictionary saves on a window."""
         known = self.memo.get(window)
@@ -79,13 +72,9 @@ class Gauge:
             if len(self.memo) >= self.MEMO:
                 self.memo.clear()
             w = b" " + window + b" "
-            if self.shared().isdisjoint([w[i : i + SHARED] for i in range(len(w) - SHARED + 1)]):
-                known = 0
-            else:
-                w *= max(1, -(-FILL // len(w)))
-                a, b = self.sizes()
-                known = len(a(w)) - len(b(w))
-            self.memo[window] = known
+            w *= max(1, -(-FILL // len(w)))
+            a, b = self.sizes()
+            known = self.memo[window] = len(a(w)) - len(b(w))
         return known
 
     def score(self, text: bytes) -> tuple[float, int, int]:
@@ -114,7 +103,7 @@ def _train(size: int, samples: list[bytes], k: int) -> bytes:
     try:
         return zs.train_dictionary(size, samples, k=k, d=6, level=3).as_bytes()
     except zs.ZstdError:
-        return b"".join(samples)[-size:]
+        return b"".join(samples)
 
 
 def parts(sample: set[tuple[int, int]]) -> tuple[set[tuple[int, int]], set[tuple[int, int]]]:
@@ -142,10 +131,10 @@ def train(for_training: list[tuple[int, bytes]]) -> Gauge:
         own = pickle.loads(bag)
         if y == 0 and own:
             ordinary.append(b"".join(b" " + w + b" " for w in own))
-        elif y == 1 and (x := b"".join(b" " + w + b" " for w, n in own.items() if not apart.isdisjoint(_grams(w)) for _ in range(min(n, 3)))):
+        elif y == 1 and (x := b"".join((b" " + w + b" ") * n for w, n in own.items() if not apart.isdisjoint(_grams(w)))):
             toxic.append(x)
-    common = Counter(w for x in toxic for w in x.split()).most_common(400)
-    tail = b"".join(b" " + w + b" " for w, n in reversed(common) if n >= least)
+    common = Counter(w for x in toxic for w in x.split())
+    tail = b"".join(b" " + w + b" " for n, w in sorted((n, w) for w, n in common.items()) if n >= least)
     return Gauge(_train(16384, ordinary, 64) if ordinary else b"", (_train(8192, toxic, 24) if toxic else b"") + tail)
 
 

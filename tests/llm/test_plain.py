@@ -191,5 +191,5 @@ def test_features_are_finite_for_any_bytes():
 
 def test_windows_cut_long_tokens_whole():
     t = b"short " + b"x" * 200
-    assert toxicity.windows(t) == [b"short"[i : i + 64] for i in (0,)] + [b"x" * 64] * 3 + [b"x" * 8]
+    assert toxicity.windows(t) == [b"short"] + [b"x" * 64] * 5 + [b"x" * 40]  # every 32 bytes: no run is cut by all
     assert toxicity.Gauge(b"", b"").score(b"") == (0.0, 0, 0)
