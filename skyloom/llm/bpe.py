@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from skyloom.llm.common import map_rows, raw
+from skyloom.llm.common import loaded, map_rows, raw
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -55,7 +55,7 @@ class Codec:
         self.compatible: dict[int, bool] = {}
         self.by_word = pattern == SPACED
         self.uneven = regex.compile(r" (?:\s|\Z)")
-        self.pieces = _Memo(self.MEMO, self.MEMO_PIECE, lambda p: array("I", self.piece(p.encode())).tobytes())
+        self.pieces = _Memo(self.MEMO // 5, self.MEMO_PIECE, lambda p: array("I", self.piece(p.encode())).tobytes())
         self.words = _Memo(self.MEMO, self.MEMO_PIECE, lambda w: b"".join(map(self.pieces.__getitem__, self.pattern.findall(" " + w))))
 
     def split(self, token: int) -> tuple[int, int] | None:
@@ -191,12 +191,12 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_i
 
     ``path`` is where the rank file lies on every machine. Null and empty texts have no ids; repeated rows give
     repeated rows; null keys stay null; other columns of ``docs`` are not read. Texts are never cut, and time is
-    linear in their length. No shuffle.
+    linear in their length. An empty table gives no rows. No shuffle.
     """
     kind = docs.schema[key].dataType.simpleString()
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        c = codec(path, pattern)
+        c = loaded((path, pattern), lambda: Codec(read_ranks(path), pattern))
         n, ids_out, first, second = [], [], [], []
         for t in b.column(1):
             ids = c.encode(t.as_py().decode("utf-8", "replace"))

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,27 +11,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that one Arrow batch of texts holds at most once ``small_batches`` has run.
+from skyloom.operators.spatial import components
+from skyloom.session import cut, ensure_checkpoint_dir
+
+__all__ = ["components", "cut", "ensure_checkpoint_dir"]
+
+#: Rows that a function on rows gets at once.
 TEXT_BATCH_ROWS = 1000
+#: A class of rows is hot when it holds more than this share of them, so there are at most so many hot classes.
+HOT_SHARE = 10_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use ``spark.checkpoint.dir``; a folder of our own only where the session names none."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="skyloom-ckpt-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: later jobs read it back from the shared folder, and lost executors lose nothing."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def fold(doc_id: Column, k: int) -> Column:
     """crc32 of the id as text, modulo k; null ids have no fold."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(k)).cast("int")
@@ -62,10 +56,24 @@ class Shipped:
         self.data = spark.sparkContext.broadcast(pickle.dumps(model, protocol=5))
 
     def get(self):
-        if self.key not in _LOADED:
-            _LOADED.clear()  # a worker serves one model at a time; older ones would only hold memory
-            _LOADED[self.key] = pickle.loads(self.data.value)
-        return _LOADED[self.key]
+        return loaded(self.key, lambda: pickle.loads(self.data.value))
+
+
+def loaded(key: object, make: Callable[[], object]):
+    """The model of this key, made once. A worker serves one model at a time; older ones would only hold memory."""
+    if key not in _LOADED:
+        _LOADED.clear()
+        _LOADED[key] = make()
+    return _LOADED[key]
+
+
+def release() -> None:
+    """Gives freed memory back: workers live on from task to task beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # no glibc
 
 
 def map_rows(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
@@ -76,6 +84,7 @@ def map_rows(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.Recor
             if b.num_rows:
                 for start in range(0, b.num_rows, TEXT_BATCH_ROWS):
                     yield fn(b.slice(start, TEXT_BATCH_ROWS))
+        release()
 
     return df.mapInArrow(run, schema)
 
@@ -112,24 +121,14 @@ def sample_ids(labels: DataFrame, label: str, key: str, per_class: int, seed: st
     return spark.createDataFrame(rows, f"{key} {kind}, y int"), sizes
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Connected components of ``edges(a, b)``: rows (node, component), component the least node reached.
+def join_classes(rows: DataFrame, classes: DataFrame, on: str) -> DataFrame:
+    """``rows`` with the columns of their class in ``classes(on, n, ...)``, where n is how many rows it has.
 
-    Alternating large-star and small-star contraction. Each round is joins and min-aggregates over edges, so no
-    component or neighbour list is gathered anywhere; a hub meets its one minimum in a join that Spark may split.
-    Every round is cut by a reliable checkpoint. Nulls and self-loops are ignored. Nodes in no edge are not returned.
+    Classes that hold more than one in HOT_SHARE of all rows are at most HOT_SHARE in number and are broadcast, so no
+    task gathers a large class; the others meet their rows by key.
     """
-    mark = None
-    e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    for _ in range(max_rounds):
-        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if not now[0] or now == mark:
-            break
-        mark = now
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        e = cut(small)
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    classes = cut(classes)
+    bound = max(1000, (classes.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE)
+    hot, rest = F.broadcast(classes.where(F.col("n") > bound)), classes.where(F.col("n") <= bound)
+    by_key = rows.join(hot.select(on), on, "left_anti").join(rest, on)
+    return rows.join(hot, on).unionByName(by_key).drop("n")

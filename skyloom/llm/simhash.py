@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyloom.llm.common import Shipped, components, cut, map_rows, raw
+from skyloom.llm.common import Shipped, components, cut, join_classes, map_rows, raw
 
 BITS = 64
 #: A shingle that is among the first of more distinct texts than this is not paired in full at once.
@@ -186,15 +186,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
     Texts with no words have fingerprint zero and are linked like any others; null counts as empty. Copies share a
     fingerprint and are joined by it, never paired. Repeated keys give repeated rows; a null key is never a
-    component_id unless the group has no other. Other columns are not read, so their names cannot clash.
+    component_id unless the group has no other. Other columns are not read, so their names cannot clash. An empty table
+    gives no rows.
     """
     fps = cut(fingerprints(docs, key, text, shingle_words, seed))
     groups = components(links(fps, distance, blocks)).select(F.col("node").alias("fp"), F.col("component").alias("root"))
-    least = fps.groupBy("fp").agg(F.min(key).alias("least"))
-    rooted = least.join(groups, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = fps.groupBy("fp").agg(F.min(key).alias("least"), F.count("*").alias("n"))
+    rooted = least.join(groups, "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
     heads = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(heads, "root").select("fp", "component_id")
-    return fps.join(classes, "fp").select(key, as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+    classes = rooted.join(heads, "root").select("fp", "n", "component_id")
+    return join_classes(fps, classes, "fp").select(key, as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def _reaches(inter: np.ndarray | int, n: np.ndarray | int, m: np.ndarray | int, percent: int):
@@ -370,7 +371,8 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
         rest = _pairs(hot.join(near, "sid", "left").withColumn("root", F.coalesce("root", "sid")), percent, True)
         edges = edges.union(verified(rest.select("a", "b").distinct()))
     groups = components(edges).select(F.col("node").alias("sid"), F.col("component").alias("root"))
-    least = hashed.groupBy("sid").agg(F.min(key).alias("least"))
-    rooted = least.join(groups, "sid", "left").select("sid", "least", F.coalesce("root", "sid").alias("root"))
+    least = hashed.groupBy("sid").agg(F.min(key).alias("least"), F.count("*").alias("n"))
+    rooted = least.join(groups, "sid", "left").select("sid", "least", "n", F.coalesce("root", "sid").alias("root"))
     heads = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return hashed.select(key, "sid").join(rooted.join(heads, "root").select("sid", "component_id"), "sid").select(key, "component_id")
+    classes = rooted.join(heads, "root").select("sid", "n", "component_id")
+    return join_classes(hashed.select(key, "sid"), classes, "sid").select(key, "component_id")
