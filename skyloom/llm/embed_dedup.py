@@ -18,7 +18,7 @@ from skyloom.llm.common import components, cut
 from skyloom.llm.topk import usable
 
 #: Vectors of a tile; a task compares two tiles.
-TILE = 1024
+TILE = 2048
 #: Rounding of the double products that the bounds do not cover.
 SLACK = 1e-12
 
@@ -68,23 +68,26 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, key: str = "vec
     """One row per vector: key, n_links, component_id (least key reachable by links), kept (key = component_id).
 
     Vectors link when their labels are equal and not null, their lengths are equal and their cosine, in doubles, is at
-    least ``threshold``. Null, empty and zero vectors and those with a null or non-finite component link with nothing.
-    Equal vectors of a label become one vector with a count, so copies are never paired; the rest of a label is cut
-    into tiles, and each pair of tiles gives counts of links and a spanning forest, never its pairs. Rows with one key
-    count as one node. An empty table gives no rows.
+    least ``threshold``. Null, empty and zero vectors and those with a null or non-finite component link with nothing,
+    nor do rows with a null key. Rows are vectors of their own, also those that share a key. Equal vectors of a label
+    become one vector with a count, so copies are never paired; the rest of a label is cut into tiles, and each pair of
+    tiles gives counts of links and a spanning forest, never its pairs. An empty table gives no rows; other columns are
+    not read.
     """
     kind = vectors.schema[key].dataType.simpleString()
-    rows = vectors.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.col(label).alias("l"))
-    fit = rows.where(F.col("id").isNotNull() & F.col("l").isNotNull() & usable("v") & F.exists("v", lambda x: x != 0))
-    distinct = cut(fit.groupBy("l", "v").agg(F.min("id").alias("rep"), F.count("*").alias("n")))
-    dims = distinct.withColumn("dim", F.size("v"))
-    tiles = dims.groupBy("l", "dim").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("tiles"))
-    placed = dims.join(tiles, ["l", "dim"]).withColumn("t", F.pmod(F.xxhash64("rep", "l"), F.col("tiles").cast("long")).cast("int"))
-    dealt = placed.select("l", "dim", "rep", "n", "v", "t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("o"))
-    dealt = dealt.select("l", "dim", "rep", "n", F.col("v").cast("array<double>").alias("v"), "t", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"))
+    rows = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("v"), F.col(label).alias("l"))
+    sound = F.coalesce(F.col("id").isNotNull() & F.col("l").isNotNull() & usable("v") & F.exists("v", lambda x: x != 0), F.lit(False))
+    fit = rows.where(sound)
+    # a distinct vector of a label is known by the least key of its copies, and a hash that tells those of one key apart
+    distinct = fit.groupBy("l", "v").agg(F.min("id").alias("rep"), F.count("*").alias("n"))
+    distinct = cut(distinct.select("l", "v", "n", F.size("v").alias("dim"), F.struct(F.col("rep").alias("id"), F.xxhash64("l", "v").alias("h")).alias("node")))
+    tiles = distinct.groupBy("l", "dim").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("tiles"))
+    placed = distinct.join(tiles, ["l", "dim"]).withColumn("t", F.pmod(F.xxhash64("node"), F.col("tiles").cast("long")).cast("int"))
+    dealt = placed.select("l", "dim", "node", "n", "v", "t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("o"))
+    dealt = dealt.select("l", "dim", F.col("node.id").alias("id"), F.col("node.h").alias("h"), "n", "v", "t", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, n, t = np.stack(pdf["v"].to_list()), pdf["n"].to_numpy(), pdf["t"].to_numpy()
+        x, n, t = np.stack(pdf["v"].to_list()).astype(np.float64), pdf["n"].to_numpy(), pdf["t"].to_numpy()
         same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
         left = np.arange(len(x)) if same else np.nonzero(t == pdf["i"].iloc[0])[0]
         right = left if same else np.nonzero(t != pdf["i"].iloc[0])[0]
@@ -101,19 +104,20 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, key: str = "vec
                 a, b = _forest_of_block(own[a], right[b], len(x))
                 edges.append((a, b))
         child, parent = _forest(len(x), edges)
-        rep = pdf["rep"].to_numpy()
-        out = pd.DataFrame({"rep": rep[links > 0], "links": links[links > 0], "other": None})
-        more = pd.DataFrame({"rep": rep[child], "links": 0, "other": rep[parent]})
-        return pd.concat([out, more]).astype({"other": "Int64"})
-
-    found = cut(dealt.groupBy("l", "dim", "i", "j").applyInPandas(run, "rep long, links long, other long"))
-    groups = components(found.where("other is not null").select(F.col("rep").alias("a"), F.col("other").alias("b")))
-    counts = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    done = distinct.join(counts, "rep", "left").join(groups, F.col("rep") == F.col("node"), "left")
-    done = done.select("l", "v", F.col("n").alias("copies"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component"))
+        ids, h = pdf["id"].to_numpy(), pdf["h"].to_numpy()
+        some = links > 0
+        out = pd.DataFrame({"id": ids[some], "h": h[some], "links": links[some], "id2": None, "h2": None})
+        more = pd.DataFrame({"id": ids[child], "h": h[child], "links": 0, "id2": ids[parent], "h2": h[parent]})
+        return pd.concat([out, more]).astype({"id2": "Int64", "h2": "Int64"})
+
+    found = cut(dealt.groupBy("l", "dim", "i", "j").applyInPandas(run, "id long, h long, links long, id2 long, h2 long"))
+    node = F.struct("id", "h")
+    groups = components(found.where("id2 is not null").select(node.alias("a"), F.struct(F.col("id2").alias("id"), F.col("h2").alias("h")).alias("b")))
+    counts = found.where("links > 0").groupBy(node.alias("node")).agg(F.sum("links").alias("links"))
+    done = distinct.select("l", "v", "n", "node").join(counts, "node", "left").join(groups, "node", "left")
+    done = done.select("l", "v", F.col("n").alias("copies"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "node")["id"].alias("component"))
     linked = fit.join(done, ["l", "v"]).select("id", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("component").alias("component_id"))
-    fits = F.col("id").isNotNull() & F.col("l").isNotNull() & usable("v") & F.exists("v", lambda x: x != 0)
-    alone = rows.where(~F.coalesce(fits, F.lit(False))).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    alone = rows.where(~sound).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     both = linked.union(alone)
     return both.select(F.col("id").cast(kind).alias(key), "n_links", F.col("component_id").cast(kind).alias("component_id"), F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
