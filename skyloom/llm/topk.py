@@ -53,13 +53,13 @@ def top_of_tile(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarr
         other = c_ids != own
         seed = np.argpartition(-bound, first)[:first] if len(c) > first else np.arange(len(c))
         seed = seed[other[seed]]
-        known = sorted(_products(q[i], c[seed]), reverse=True)
-        least = known[k - 1] if len(known) >= k else -np.inf
+        known = sorted({(s, v) for s, v in zip(_products(q[i], c[seed]), c_ids[seed].tolist())}, reverse=True)
+        least = known[k - 1][0] if len(known) >= k else -np.inf
         left = np.nonzero(other & (bound >= least))[0]
         for a, b in profiles[1:]:
             left = left[b[left] @ a[i] + slack[left] >= least]
         scores = _products(q[i], c[left])
-        best = sorted(zip((-s for s in scores), c_ids[left].tolist()))[:k]
+        best = sorted({(-s, v) for s, v in zip(scores, c_ids[left].tolist())})[:k]
         out += [(int(own), v, -s) for s, v in best]
     return out
 
@@ -69,30 +69,30 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, scale: float = 256
 
     Components count as floor(scale * x); the score is the integer inner product, ties go to the smaller id, and fewer
     than k candidates give fewer rows. Rows with a null key or vector, no component or one that is null or not finite
-    take no part; vectors of other lengths are not compared. Repeated rows count once. Scores beyond 64 bits are held
-    at their limit. Queries and candidates are dealt to tiles of bounded size, and every query tile meets every
-    candidate tile in one task.
+    take no part; vectors of other lengths are not compared. A key with several vectors counts with each of them, all
+    under its name; what they give alike counts once. Scores beyond 64 bits are held at their limit. Queries and
+    candidates are dealt by key and vector to tiles of about the same size, and every query tile meets every candidate
+    tile in one task. An empty table gives no rows; other columns are not read.
     """
     spark = vectors.sparkSession
-    bigint = lambda df: df.where(F.col(key).isNotNull() & usable(vector)).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).withColumn("dim", F.size("v"))
+    bigint = lambda df: df.where(F.col(key).isNotNull() & usable(vector)).select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).withColumn("dim", F.size("v"))
     c, q = bigint(vectors), bigint(queries)
     c_tiles, q_tiles = max(1, -(-c.count() // CANDIDATE_TILE)), max(1, -(-q.count() // QUERY_TILE))
-    tile = lambda n, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(n)).cast("int")
+    tile = lambda n, salt: F.pmod(F.xxhash64("id", "v", F.lit(salt)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     cs = c.select("dim", every(q_tiles).alias("qt"), tile(c_tiles, 1).alias("ct"), F.lit(False).alias("is_query"), "id", "v")
     qs = q.select("dim", tile(q_tiles, 2).alias("qt"), every(c_tiles).alias("ct"), F.lit(True).alias("is_query"), "id", "v")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("id") if not pdf["is_query"].any() else pdf.drop_duplicates(["is_query", "id"])
         mine = pdf["is_query"].to_numpy()
         if not mine.any() or mine.all():
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        x = np.floor(scale * np.stack(pdf["v"].to_list()))
+        x = np.floor(scale * np.stack(pdf["v"].to_list()).astype(np.float64))
         ids = pdf["id"].to_numpy()
         rows = top_of_tile(x[mine], ids[mine], x[~mine], ids[~mine], k)
         return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     found = qs.union(cs).groupBy("dim", "qt", "ct").applyInPandas(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
