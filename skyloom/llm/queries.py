@@ -55,7 +55,6 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = lm.score_documents(table(spark, sf_dir, "documents"), ~is_fold(F.col("doc_id"), 7, 2))
-    scored = scored.withColumns({c: F.round(c, 6) for c in ("base_score", "score")})  # the last bits vary with the order of sums
     return held(scored, 7, 2)
 
 
@@ -122,8 +121,9 @@ SELECT vec_id, coalesce(n_links, 0) AS n_links, coalesce(component_id, vec_id) A
 _VERDICT = "CASE WHEN {f2} THEN 'allow' WHEN {f1} THEN 'block' WHEN {f3} THEN 'block' WHEN {f4} THEN 'block' WHEN {f0} THEN 'allow' END"
 _FITS = {f"f{i}": f"((host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}'))" for i, r in enumerate(RULES)}
 _HTTP = r"regexp_extract(regexp_replace({u}, '#.*$', ''), '(?s)^.*?://([^/?#]*)([^?#]*)', {k})"
-URL_SQL = rf"""WITH RECURSIVE tags AS (SELECT url AS a, unnest(list_concat(regexp_extract_all(html, '(?is)<link\s[^>]*>'), regexp_extract_all(html, '(?is)<meta\s[^>]*refresh[^>]*>'))) AS tag FROM pages WHERE url IS NOT NULL AND regexp_matches(lower(html), 'canonical|refresh')),
-tos AS (SELECT a, CASE WHEN starts_with(lower(tag), '<link') THEN CASE WHEN regexp_matches(tag, '(?is)\srel\s*=\s*["'']?canonical') THEN regexp_extract(tag, '(?is)\shref\s*=\s*["'']?([^\s"''>]+)', 1) END ELSE regexp_extract(tag, '(?is)url\s*=\s*["'']?([^\s"''>]+)', 1) END AS b FROM tags),
+_ATTR = " || ".join(rf"""regexp_extract(tag, '(?is)\s{{name}}\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', {k})""" for k in (1, 2, 3))
+URL_SQL = rf"""WITH RECURSIVE tags AS (SELECT url AS a, unnest(list_concat(regexp_extract_all(html, '(?is)<link\s[^>]*>'), regexp_extract_all(html, '(?is)<meta\s[^>]*http-equiv\s*=\s*["'']?refresh["'']?[^>]*>'))) AS tag FROM pages WHERE url IS NOT NULL AND regexp_matches(lower(html), 'canonical|refresh')),
+tos AS (SELECT a, regexp_replace(CASE WHEN starts_with(lower(tag), '<link') THEN CASE WHEN list_contains(regexp_split_to_array(lower(trim({_ATTR.format(name='rel')})), '\s+'), 'canonical') THEN trim({_ATTR.format(name='href')}) END ELSE regexp_extract(tag, '(?is)url\s*=\s*["'']?([^\s"''>]+)', 1) END, '(?i)&(amp|#38|#x26);', '&', 'g') AS b FROM tags),
 one AS (SELECT regexp_replace(a, '#.*$', '') AS a, regexp_replace(CASE WHEN starts_with(b, '//') THEN regexp_extract(a, '^([^:/]+:)//', 1) || b WHEN starts_with(b, '/') THEN regexp_extract(a, '^([^:/]+://[^/?#]*)', 1) || b WHEN contains(b, '://') THEN b END, '#.*$', '') AS b FROM tos),
 e AS (SELECT a, b FROM one WHERE b IS NOT NULL UNION SELECT b, a FROM one WHERE b IS NOT NULL),
 w AS (SELECT a AS node, a AS seen FROM e UNION SELECT w.node, e.b FROM w JOIN e ON w.seen = e.a),

@@ -25,6 +25,8 @@ class Rule:
         return self.host + self.path
 
 
+#: Tasks that the rows of one URL are spread over when they meet the verdict of its aliases.
+SALTS = 16
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 LINK = r"""(?is)<link\s[^>]*>"""
 REFRESH = r"""(?is)<meta\s[^>]*http-equiv\s*=\s*["']?refresh["']?[^>]*>"""
@@ -57,13 +59,15 @@ def fitting(host: Column, path: Column, rules: list[Rule]) -> Column:
 
 
 def _attribute(tag: Column, name: str) -> Column:
-    """An attribute's value up to its quote or a space; empty when it has none."""
-    return F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*["']?([^\s"'>]+)""", 1)
+    """An attribute's value, in quotes or bare; empty when it has none."""
+    pattern = rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)])
 
 
 def _target(tag: Column) -> Column:
     """Where a canonical link or a refresh points; empty or null for other links."""
-    canonical = F.when(F.lower(_attribute(tag, "rel")) == "canonical", _attribute(tag, "href"))
+    kinds = F.split(F.lower(F.trim(_attribute(tag, "rel"))), r"\s+")
+    canonical = F.when(F.array_contains(kinds, "canonical"), F.trim(_attribute(tag, "href")))
     return F.when(F.lower(tag).startswith("<link"), canonical).otherwise(F.regexp_extract(tag, r"""(?is)url\s*=\s*["']?([^\s"'>]+)""", 1))
 
 
@@ -72,7 +76,7 @@ def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataF
     they start with ``/`` or ``//``, others that are not absolute are left out."""
     p = pages.select(F.col(url).alias("a"), F.col(html).alias("x")).where(F.col("a").isNotNull() & F.lower("x").rlike("canonical|refresh"))
     tags = F.concat(F.regexp_extract_all("x", F.lit(LINK), F.lit(0)), F.regexp_extract_all("x", F.lit(REFRESH), F.lit(0)))
-    edges = p.select("a", F.explode(F.transform(tags, _target)).alias("to")).withColumn("to", F.regexp_replace(F.regexp_replace("to", "&amp;", "&"), "#.*$", ""))
+    edges = p.select("a", F.explode(F.transform(tags, _target)).alias("to")).withColumn("to", F.regexp_replace(F.regexp_replace("to", "(?i)&(amp|#38|#x26);", "&"), "#.*$", ""))
     scheme = F.regexp_extract("a", "^([^:/]+:)//", 1)
     site = F.regexp_extract("a", "^([^:/]+://[^/?#]*)", 1)
     b = F.when(F.col("to").startswith("//"), F.concat(scheme, "to")).when(F.col("to").startswith("/"), F.concat(site, "to")).when(F.contains("to", F.lit("://")), F.col("to"))
@@ -84,8 +88,8 @@ def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = Non
 
     A URL that a rule fits has that rule's verdict. Else, with aliases: allow if any alias is allowed by a rule, block
     if one is blocked; without: allow. ``redirects(a, b)`` adds edges to those found in ``html``. URLs are compared
-    without their fragments. Null URLs and URLs without ``://`` have empty host and path and are allowed; repeated
-    rows are all returned; other columns are not read.
+    without their fragments. Null URLs and URLs without ``://`` have empty host and path and are allowed; null keys stay
+    null; repeated rows are all returned; other columns are not read. An empty table gives no rows.
     """
     u = pages.select(F.col(key).alias("k"), F.col(url).alias("u"))
     host, path = host_and_path(F.col("u"))
@@ -106,6 +110,10 @@ def judge(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = Non
     seen = seen.withColumns({"host": host, "path": path}).withColumn("own", fit["verdict"])
     spread = seen.groupBy("component").agg(F.max(F.col("own") == "allow").alias("allowed"), F.max(F.col("own") == "block").alias("blocked"))
     carried = members.join(spread, "component").select("node", F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").alias("alias"))
-    out = judged.join(carried, "node", "left")
+    # Only URLs that no rule fits take an alias's verdict; rows of one URL are spread over SALTS tasks.
+    salted = carried.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    open_ = F.col("own").isNull() & F.col("node").isNotNull()
+    joined = judged.where(open_).withColumn("salt", F.pmod(F.xxhash64("k"), F.lit(SALTS)).cast("int")).join(salted, ["node", "salt"], "left").drop("salt")
+    out = joined.unionByName(judged.where(~open_).withColumn("alias", F.lit(None).cast("string")))
     by = F.when(F.col("own").isNotNull(), "rule").when(F.col("alias").isNotNull(), "alias").otherwise("default")
     return out.select(F.col("k").alias(key), "host", "path", "rule", F.coalesce("own", "alias", allow).alias("verdict"), by.alias("decided_by"))
