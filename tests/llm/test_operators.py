@@ -209,6 +209,15 @@ def test_topk_equals_brute_force(spark):
     assert topk.top_k(d.where("vec_id = 0"), d.where("vec_id = 0")).count() == 0
 
 
+def test_rows_that_share_an_id_are_vectors_of_their_own(spark):
+    rows = [(1, [1.0, 0.0, 0.0], 0), (5, [0.99, 0.01, 0.0], 0), (5, [0.99, 0.0, 0.02], 0), (5, [0.0, 0.0, 1.0], 0), (7, [0.0, 0.0, 1.0], 0), (7, [0.0, 0.0, 1.0], 0)]
+    d = vectors(spark, rows)
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embed_dedup.near_duplicates(d).collect())
+    assert got == [(1, 2, 1, True), (5, 2, 1, False), (5, 2, 1, False), (5, 2, 5, True), (7, 2, 5, False), (7, 2, 5, False)]
+    top = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.top_k(d, d.where("vec_id = 1")).collect())
+    assert top == [(1, 1, 5, 256 * 253), (1, 2, 5, 0), (1, 3, 7, 0)]
+
+
 @pytest.mark.parametrize("tile", [16, 1024])
 def test_embedding_groups_equal_brute_force(spark, tile):
     r = np.random.default_rng(1)
@@ -233,16 +242,17 @@ def test_url_rules_and_aliases(spark):
         (1, "http://A.Example.com/en/x?q#f", None), (2, "https://www.example.com/en/", ""), (3, None, None), (4, "no scheme", "<p>"),
         (5, "http://x.org/a", '<link rel="canonical" href="http://y.net/es/b">'), (6, "http://x.org/c", "<meta http-equiv='refresh' content='0; url=/a'>"),
         (7, "http://z.org/", "<link href=http://y.net/fr/1 rel=canonical><link rel='canonical' href='http://q.com/'>"), (8, "http://notexample.org", "<link rel=stylesheet href=http://y.net/es/b>"),
+        (10, "http://x.org/d", "<LINK REL='alternate Canonical' HREF=' http://y.net/es/?a&amp;b '>"),
         (9, "net://://x", None), (1, "http://A.Example.com/en/x?q#f", None), (None, "http://a.net/de/", None),
     ]
     d = spark.createDataFrame([(*p, "x", "y") for p in pages], "page_id long, url string, html string, host string, rule string")
     got = {(r.page_id, r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(d, Q.RULES).collect()}
     assert got == {
         (1, "a.example.com", "/en/x", "example.com/en/", "block"), (2, "www.example.com", "/en/", "www.example.com/en/", "allow"), (3, "", "", None, "allow"), (4, "", "", None, "allow"),
-        (5, "x.org", "/a", None, "block"), (6, "x.org", "/c", None, "block"), (7, "z.org", "/", None, "allow"), (8, "notexample.org", "", None, "allow"), (9, ":", "//x", None, "allow"), (None, "a.net", "/de/", None, "allow"),
+        (5, "x.org", "/a", None, "block"), (6, "x.org", "/c", None, "block"), (7, "z.org", "/", None, "allow"), (8, "notexample.org", "", None, "allow"), (9, ":", "//x", None, "allow"), (10, "x.org", "/d", None, "block"), (None, "a.net", "/de/", None, "allow"),
     }
     plain = url_filter.judge(d, [], html=None)
-    assert plain.count() == 11 and {r.verdict for r in plain.collect()} == {"allow"}
+    assert plain.count() == 12 and url_filter.judge(d.limit(0), Q.RULES).count() == 0 and {r.verdict for r in plain.collect()} == {"allow"}
 
 
 def test_url_plan_is_native(spark, sf):
