@@ -2,8 +2,10 @@
 
 Words are states of a bigram model. An arc from a state reads a word seen after it in training; every state has a
 failure arc to the empty state, whose arcs read single words. Counts of the whole training text are gathered in
-shards, never in one place: documents fall into batches, a batch asks each shard for the words and word pairs that
-its documents hold, and builds from the answers the part of the automaton that its documents walk through.
+shards by hash, never in one place: documents fall into batches, a batch asks for the words and word pairs that its
+documents hold, and builds from the answers the part of the automaton that its documents walk through. Few batches ask
+the shards themselves. Many ask through hubs: a hub joins what FAN batches ask in one range of hashes and asks on for
+them all, if need be through further hubs, so that questions grow with the batches and not with their square.
 
 With c the counts in training, N tokens, V distinct ones, a discount D and a prior weight K:
   single word   P(w) = (c(w) - D) / N, and D * V / N for all unknown words together
@@ -27,9 +29,59 @@ from skyloom.llm.common import partitions, raw
 #: Bytes of text of a batch, about; batches that send to one shard for each shard.
 BATCH_BYTES = 8 << 20
 BATCHES_OF_SHARD = 8
+#: Batches that ask through one hub, and ranges of hashes that hubs share (a power of two); more batches than LAST do so.
+FAN, LAST = 64, 512
 END = b""  # no word is empty
 
 
+class Counts:
+    """Words and hashes of pairs with their counts, by hash; words of one hash by their bytes."""
+
+    def __init__(self, words: list[bytes], word_hash: np.ndarray, word_counts: np.ndarray, pairs: np.ndarray, pair_counts: np.ndarray):
+        self.words, self.word_hash, self.word_counts, self.pairs, self.pair_counts = words, word_hash, word_counts, pairs, pair_counts
+
+    def edges(self, fixed: int, parts: int) -> tuple[list[int], list[int]]:
+        """Where the words and the pairs of each of ``parts`` ranges begin, and the end. The first ``fixed`` bits of all hashes agree."""
+        return tuple(np.searchsorted(_slot(h, fixed, parts), np.arange(parts + 1)).tolist() for h in (self.word_hash, self.pairs))
+
+    def messages(self, path: int, node: int, fixed: int, parts: int) -> pa.Table:
+        """A row for each range. END is empty and a leading space keeps it apart from no words."""
+        w, q = self.edges(fixed, parts)
+        rows = [(path, node, r, b"".join(b" " + x for x in self.words[w[r] : w[r + 1]]), _planes(self.word_counts[w[r] : w[r + 1]]), _planes(self.pairs[q[r] : q[r + 1]]), _planes(self.pair_counts[q[r] : q[r + 1]])) for r in range(parts)]
+        return _table(rows, ASKED)
+
+
+class Merged:
+    """The counts of several messages added up, and where those of each message lie among them."""
+
+    def __init__(self, asked: pa.Table):
+        index: dict[bytes, int] = defaultdict()
+        index.default_factory = index.__len__
+        own = [np.fromiter(map(index.__getitem__, x.as_py().split(b" ")[1:]), np.int64) for x in asked["words"]]
+        names = list(index)
+        by_name = sorted(range(len(names)), key=names.__getitem__)
+        h = np.fromiter((xxhash.xxh64_intdigest(names[i]) for i in by_name), np.uint64, len(names))
+        order = np.array(by_name, np.int64)[np.argsort(h, kind="stable")]
+        place = np.empty(len(names), np.int64)
+        place[order] = np.arange(len(names))
+        self.word_at = [place[ids] for ids in own]
+        words = np.zeros(len(names), np.int64)
+        for at, n in zip(self.word_at, asked["word_counts"]):
+            words[at] += _unplanes(n.as_py()).view(np.int64)  # a message names a word once
+        hashes = [_unplanes(x.as_py()) for x in asked["pairs"]]
+        pairs, at = np.unique(np.concatenate(hashes), return_inverse=True)
+        ends = np.cumsum([0, *map(len, hashes)])
+        self.pair_at = [at[a:b] for a, b in zip(ends, ends[1:])]
+        counts = np.zeros(len(pairs), np.int64)
+        np.add.at(counts, at, np.concatenate([_unplanes(x.as_py()) for x in asked["pair_counts"]]).view(np.int64))
+        self.counts = Counts([names[i] for i in order], np.sort(h), words, pairs, counts)
+
+    def answers(self, asked: pa.Table, distinct: int, total: int, words: np.ndarray, pairs: np.ndarray) -> pa.Table:
+        """A row for each message, with the counts ``words`` and ``pairs`` of what it asked."""
+        who = zip(asked["path"].to_pylist(), asked["node"].to_pylist(), asked["r"].to_pylist(), self.word_at, self.pair_at)
+        return _table([(path, node, r, distinct, total, _planes(words[w]), _planes(pairs[q])) for path, node, r, w, q in who], TOLD)
+
+
 class Batch:
     """The tokens of some documents: local numbers of words, pairs of them, and where each document's tokens lie."""
 
@@ -57,16 +109,13 @@ class Batch:
         h = np.fromiter(map(xxhash.xxh64_intdigest, self.words), np.uint64, len(self.words))
         self.word_hash, self.pair_hash = h, mix(h[self.pairs >> 32], h[self.pairs & 0xFFFFFFFF])
 
-    def orders(self, shards: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """For each shard the words and the pairs asked of it, in an order that row order does not change."""
-        shard = self.word_hash % np.uint64(shards)
-        ranked = sorted(range(len(self.words)), key=self.words.__getitem__)
-        of_shard: list[list[int]] = [[] for _ in range(shards)]
-        for i, s in zip(ranked, shard[ranked].tolist()):
-            of_shard[s].append(i)
-        by_hash = np.argsort(self.pair_hash, kind="stable")
-        edges = np.searchsorted(_slot(self.pair_hash[by_hash], shards), np.arange(shards + 1))
-        return [np.array(x, np.int64) for x in of_shard], [by_hash[a:b] for a, b in zip(edges, edges[1:])]
+    def asks(self) -> Counts:
+        """What the batch has counted, in an order that row order does not change."""
+        w = np.array(sorted(range(len(self.words)), key=self.words.__getitem__), np.int64)
+        w = w[np.argsort(self.word_hash[w], kind="stable")]
+        q = np.argsort(self.pair_hash, kind="stable")
+        self.word_order, self.pair_order = w, q
+        return Counts([self.words[i] for i in w], self.word_hash[w], self.word_counts[w], self.pair_hash[q], self.pair_counts[q])
 
 
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -77,13 +126,13 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _slot(h: np.ndarray, shards: int) -> np.ndarray:
-    """Shard of a pair's hash; does not decrease as hashes grow."""
-    return ((h >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+def _slot(h: np.ndarray, fixed: int, parts: int) -> np.ndarray:
+    """Which of ``parts`` ranges a hash lies in, among those that agree in their first ``fixed`` bits."""
+    return (((h << np.uint64(fixed)) >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
 
 
 def _planes(h: np.ndarray) -> bytes:
-    """Sorted 64-bit numbers byte by byte: the upper bytes hardly change, so shuffles compress them away."""
+    """64-bit numbers byte by byte: upper bytes hardly change in sorted hashes and counts, so shuffles compress them away."""
     return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
 
 
@@ -91,8 +140,8 @@ def _unplanes(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
 
 
-ASKED = "p int, r int, words binary, word_counts binary, pairs binary, pair_counts binary"
-TOLD = "p int, r int, distinct long, total long, word_counts binary, pair_counts binary"
+ASKED = "path long, node long, r int, words binary, word_counts binary, pairs binary, pair_counts binary"
+TOLD = "path long, node long, r int, distinct long, total long, word_counts binary, pair_counts binary"
 
 
 def _table(rows: list[tuple], names: str) -> pa.Table:
@@ -106,33 +155,60 @@ def _batch(docs: pa.Table) -> Batch:
     return Batch(docs["t"].to_pylist(), np.array(docs["train"].to_pylist(), bool))
 
 
-def ask(docs: pa.Table, shards: int) -> pa.Table:
-    """What a batch has counted, and whose counts it needs: a row for each shard."""
-    p, b = docs["p"][0].as_py(), _batch(docs)
-    rows = []
-    for r, (w, q) in enumerate(zip(*b.orders(shards))):
-        # END is empty and sorts first; a leading space keeps it apart from no words
-        words = b"".join(b" " + b.words[i] for i in w)
-        rows.append((p, r, words, b.word_counts[w].astype("<u4").tobytes(), _planes(b.pair_hash[q]), b.pair_counts[q].astype("<u4").tobytes()))
-    return _table(rows, ASKED)
+def ask(docs: pa.Table, parts: int) -> pa.Table:
+    """What a batch has counted, and whose counts it needs: a row for each range of hashes."""
+    return _batch(docs).asks().messages(0, docs["p"][0].as_py(), 0, parts)
 
 
 def tell(asked: pa.Table) -> pa.Table:
-    """A shard adds up the counts of all batches and answers each in the order that it asked in."""
-    index: dict[bytes, int] = defaultdict()
-    index.default_factory = index.__len__
-    p, r = asked["p"].to_pylist(), asked["r"][0].as_py()
-    word_ids = [np.fromiter(map(index.__getitem__, x.as_py().split(b" ")[1:]), np.int64) for x in asked["words"]]
-    word_totals = np.zeros(len(index), np.int64)
-    for ids, n in zip(word_ids, asked["word_counts"]):
-        word_totals[ids] += np.frombuffer(n.as_py(), "<u4")  # a batch names a word once
-    hashes = [_unplanes(x.as_py()) for x in asked["pairs"]]
-    _, at = np.unique(np.concatenate(hashes), return_inverse=True)
-    n = np.concatenate([np.frombuffer(x.as_py(), "<u4") for x in asked["pair_counts"]])
-    pair_totals = np.bincount(at, weights=n)[at].astype("<u4") if len(at) else n
-    edges = np.cumsum([0, *map(len, hashes)])
-    distinct, total = int((word_totals > 0).sum()), int(word_totals.sum())
-    return _table([(q, r, distinct, total, word_totals[ids].astype("<i8").tobytes(), pair_totals[a:b].tobytes()) for q, ids, a, b in zip(p, word_ids, edges, edges[1:])], TOLD)
+    """A shard adds up the counts of all who ask, and answers each."""
+    m = Merged(asked)
+    words, pairs = m.counts.word_counts, m.counts.pair_counts
+    return m.answers(asked, int((words > 0).sum()), int(words.sum()), words, pairs)
+
+
+def ask_on(asked: pa.Table, fixed: int, parts: int) -> pa.Table:
+    """A hub asks for all that asked it."""
+    return Merged(asked).counts.messages(asked["name"][0].as_py(), asked["hub"][0].as_py(), fixed, parts)
+
+
+def tell_on(asked: pa.Table, told: pa.Table, fixed: int, parts: int) -> pa.Table:
+    """A hub passes the answers that it got on to all that asked it."""
+    m = Merged(asked)
+    return m.answers(asked, *_gathered(m.counts, told, fixed, parts))
+
+
+def _gathered(counts: Counts, told: pa.Table, fixed: int, parts: int) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """(distinct, total, counts of the words, of the pairs) from the answers of all ranges."""
+    w, q = counts.edges(fixed, parts)
+    words, pairs = np.zeros(len(counts.words), np.int64), np.zeros(len(counts.pairs), np.int64)
+    distinct = total = got = 0
+    for r, d, t, x, y in zip(*(told[c].to_pylist() for c in ("r", "distinct", "total", "word_counts", "pair_counts"))):
+        x, y = _unplanes(x).view(np.int64), _unplanes(y).view(np.int64)
+        if len(x) != w[r + 1] - w[r] or len(y) != q[r + 1] - q[r]:
+            raise RuntimeError("a batch holds other documents than when it asked: its input is not the same when read again")
+        words[w[r] : w[r + 1]], pairs[q[r] : q[r + 1]] = x, y
+        distinct, total, got = distinct + d, total + t, got + 1
+    if got != parts:
+        raise RuntimeError(f"{got} answers of {parts}")
+    return distinct, total, words, pairs
+
+
+def answered(asked: DataFrame, nodes: int, fixed: int) -> DataFrame:
+    """TOLD for ASKED of so many nodes, over hubs where they are many. A hub's ``name`` is the range of hashes it serves."""
+    if nodes <= LAST:
+        return asked.groupBy("path", "r").applyInArrow(tell, TOLD)
+    hubs = -(-nodes // FAN)
+    parts, fixed = parts_of(hubs, 1), fixed + FAN.bit_length() - 1
+    to_hub = asked.withColumns({"name": F.col("path") * FAN + F.col("r"), "hub": F.floor(F.col("node") / FAN)})
+    on = to_hub.groupBy("name", "hub").applyInArrow(lambda t: ask_on(t, fixed, parts), ASKED)
+    told = answered(on, hubs, fixed)
+    return to_hub.groupBy("name", "hub").cogroup(told.groupBy("path", "node")).applyInArrow(lambda x, y: tell_on(x, y, fixed, parts), TOLD)
+
+
+def parts_of(nodes: int, least: int) -> int:
+    """Ranges that each of so many nodes asks: shards, or the ranges of the hubs."""
+    return max(least, -(-nodes // BATCHES_OF_SHARD)) if nodes <= LAST else FAN
 
 
 class Automaton:
@@ -172,15 +248,11 @@ class Automaton:
         return out
 
 
-def _score(docs: pa.Table, told: pa.Table, shards: int, discount: float, prior: float) -> list[np.ndarray]:
+def _score(docs: pa.Table, told: pa.Table, parts: int, discount: float, prior: float) -> list[np.ndarray]:
     b = _batch(docs)
-    words, pairs = np.zeros(len(b.words), np.int64), np.zeros(len(b.pairs), np.int64)
-    word_orders, pair_orders = b.orders(shards)
-    distinct = total = 0
-    for r, d, t, w, q in zip(*(told[c].to_pylist() for c in ("r", "distinct", "total", "word_counts", "pair_counts"))):
-        words[word_orders[r]] = np.frombuffer(w, "<i8")
-        pairs[pair_orders[r]] = np.frombuffer(q, "<u4")
-        distinct, total = distinct + d, total + t
+    distinct, total, w, q = _gathered(b.asks(), told, 0, parts)
+    words, pairs = np.empty_like(w), np.empty_like(q)
+    words[b.word_order], pairs[b.pair_order] = w, q
     known = words[b.tokens]
     base = np.log10((known + 1) / (total + distinct + 1))
     walked = Automaton(b, words, pairs, total, distinct, discount, prior).walk(b.before, b.tokens)
@@ -193,21 +265,24 @@ def score_documents(docs: DataFrame, train: Column, discount: float = 0.5, prior
 
     ``train`` says which rows the model learns from (null: it does not). Null and empty texts hold their end alone.
     Without training rows all words are unknown and have probability 1 together. Repeated rows count and are returned
-    as often as they come; other columns are not read. Words are counted exactly; pairs by a 64-bit hash.
+    as often as they come; other columns are not read. An empty table gives no rows. Words are counted exactly; pairs
+    by a 64-bit hash. Rows are dealt to batches by their place in the input, whatever they hold, so copies of a row and
+    null keys spread like others; the input must read alike when a lost task is run again, as files and checkpoints do,
+    and a batch that finds other words than it asked for raises.
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     size = docs.agg(F.sum(F.octet_length(text)), F.count("*")).first()
     size = (size[0] or 0) + 16 * size[1]
     batches = max(2 * partitions(spark), -(-size // BATCH_BYTES))
-    shards = max(partitions(spark), -(-batches // BATCHES_OF_SHARD))
-    p = F.pmod(F.xxhash64(F.col(key), F.length(text)), F.lit(batches)).cast("int")
+    parts = parts_of(batches, partitions(spark))
+    p = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(batches))
     dealt = docs.select(p.alias("p"), F.col(key).alias("k"), F.coalesce(train, F.lit(False)).alias("train"), raw(docs[text]).alias("t"))
-    asked = dealt.groupBy("p").applyInArrow(lambda t: ask(t, shards), ASKED)
-    told = asked.groupBy("r").applyInArrow(tell, TOLD)
+    asked = dealt.groupBy("p").applyInArrow(lambda t: ask(t, parts), ASKED)
+    told = answered(asked, batches, 0)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        cols = _score(left, right, shards, discount, prior) if left.num_rows else [[]] * 5
+        cols = _score(left, right, parts, discount, prior) if left.num_rows else [[]] * 5
         return pa.table([left["k"], *map(pa.array, cols)], names=[key, "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return dealt.groupBy("p").cogroup(told.groupBy("p")).applyInArrow(run, f"`{key}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return dealt.groupBy("p").cogroup(told.groupBy("node")).applyInArrow(run, f"`{key}` {kind}, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -155,8 +155,13 @@ def test_mixing_of_many_sources(spark, monkeypatch):
         mixing.mix(docs(spark, [(1, "a"), (2, "b"), (3, "c")], ["a", "b", "c"]))
 
 
-def test_lm_equals_plain_counts(spark):
-    texts = [(i, " ".join(f"w{(i * k) % 7}" for k in range(i % 9))) for i in range(40)] + AWKWARD[:4] + [(90, "UP up unknownword")]
+@pytest.mark.parametrize("hubs", [False, True])
+def test_lm_equals_plain_counts(spark, monkeypatch, hubs):
+    if hubs:  # 70 batches ask through two layers of hubs
+        monkeypatch.setattr(lm, "FAN", 4)
+        monkeypatch.setattr(lm, "LAST", 8)
+        monkeypatch.setattr(lm, "BATCH_BYTES", 8000)
+    texts = [(i, " ".join(f"w{(i * k) % 7}" for k in range(i % 9))) for i in range(40)] + AWKWARD + [(90, "UP up unknownword")] + [(33, "one row many times")] * 10_000 * (not hubs)
     got = lm.score_documents(docs(spark, texts), ~is_fold(F.col("doc_id"), 7, 2)).collect()
     tokens = lambda t: [*(t or "").encode().lower().split(), b""]
     learn = [t for i, t in texts if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
@@ -177,6 +182,7 @@ def test_lm_equals_plain_counts(spark):
     # the distribution over all words and the unknown one sums to one
     u = b"w1"
     assert abs(sum((c2[u, x] + 50 * single(x)) / (c[u] + 50) for x in c) + 50 * single(b"?") / (c[u] + 50) - 1) < 1e-9
+    texts = texts[:50]
     nothing = lm.score_documents(docs(spark, texts), F.lit(False)).collect()
     assert all(r.train_tokens == 0 and r.n_known == 0 and r.score == 0 for r in nothing)
     assert lm.score_documents(docs(spark, []), F.lit(True)).count() == 0
