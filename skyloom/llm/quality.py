@@ -1,12 +1,14 @@
 """Quality by nearest-neighbour voting over latent-semantic vectors.
 
-A document is a bag of trigrams of character classes and of a few measures of repetition. Truncated SVD of the
-weighted bags of a bounded labelled sample gives the latent axes; the sample's vectors are broadcast, every document
-is compared with all of them in blocks, and its nearest ones vote by similarity.
+A document is a bag of terms: its words, hashed, trigrams of character classes, and a few measures of repetition.
+Truncated SVD of the bags of a bounded labelled sample, weighted by inverse document frequency, gives the latent axes;
+the sample's vectors are broadcast, every document is compared with all of them in blocks, and its nearest ones vote by
+similarity.
 """
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +21,9 @@ from skyloom.llm.common import Shipped, map_rows, map_scored, raw, sample_ids
 CLASSES = 16
 GRAMS = CLASSES**3
 REPEAT_BINS = 32
-FEATURES = GRAMS + 3 * REPEAT_BINS
+#: Words go to so many terms by hash.
+WORDS = 2048
+FEATURES = GRAMS + 3 * REPEAT_BINS + WORDS
 
 
 def _classes() -> np.ndarray:
@@ -42,7 +46,7 @@ _CLASS = _classes()
 
 
 def features(text: bytes) -> np.ndarray:
-    """Square roots of shares: of class trigrams, and one mark each on three scales of repetition."""
+    """Square roots of shares: of class trigrams, of hashed words, and one mark each on three scales of repetition."""
     out = np.zeros(FEATURES, np.float32)
     b = np.frombuffer(text, np.uint8)
     c = _CLASS[b[b < 0x80]] if (b >= 0x80).any() else _CLASS[b]
@@ -55,6 +59,8 @@ def features(text: bytes) -> np.ndarray:
     words = text.lower().split()
     if words:
         n = len(words)
+        terms = np.fromiter(map(zlib.crc32, words), np.int64, n) % WORDS
+        out[-WORDS:] = np.sqrt(np.bincount(terms, minlength=WORDS) / n)
         same = sum(map(bytes.__eq__, words, words[1:])) / n
         pairs = len(set(zip(words, words[1:]))) / max(1, n - 1)
         for k, share in enumerate((same, len(set(words)) / n / max(0.05, 1 / np.log2(n + 2)), pairs)):
@@ -107,17 +113,18 @@ def score_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", pe
     """One row per document: key, score (0 to 1), predicted (1 at ``threshold`` or more).
 
     Learns from at most ``per_class`` documents of each label among ``labels`` (rows with null id or label are left
-    out; of several labels for an id the largest counts); votes are weighted so that each label has its true share.
-    Without labelled documents every score is 0.5; with one label only, it is that label. Null and empty texts are
-    scored as empty texts. Repeated rows and null keys are returned as they are; other
-    columns are not read, but for ``carry``, which returns every row whole in a struct named row.
+    out; of several labels for an id the largest counts; of several rows of an id the least text); votes are weighted
+    so that each label has its true share. Without labelled documents every score is 0.5; with one label only, it is that label. Null and empty texts are
+    scored as empty texts. Repeated rows and null keys are returned as they are, an empty table gives no rows; other
+    columns are not read, but for ``carry``, which returns every row whole in a struct named row. Equally near
+    neighbours beyond the last place are left out in the order of the sample.
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     ids, sizes = sample_ids(labels, label, key, per_class, seed)
     model = None
     if ids is not None:
-        picked = docs.select(key, raw(docs[text]).alias("t")).join(F.broadcast(ids), key).select("y", "t")
+        picked = docs.select(key, raw(docs[text]).alias("t")).join(F.broadcast(ids), key).groupBy(key, "y").agg(F.min("t").alias("t")).select("y", "t")
 
         def bags(b: pa.RecordBatch) -> pa.RecordBatch:
             out = [features(t.as_py()).astype(np.float16).tobytes() for t in b.column(1)]

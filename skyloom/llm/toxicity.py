@@ -165,16 +165,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per
 
     Learns from at most ``per_class`` documents of each label, each by all its windows; every window of every document is
     scored. Rows of ``labels`` with null id or label are left out; of several labels for
-    an id the largest counts. Without toxic documents in the sample nothing is a hit. Null and empty texts have no
-    window and score 0. Repeated rows and null keys are returned as they are; other
-    columns are not read, but for ``carry``, which returns every row whole in a struct named row.
+    an id the largest counts, of several rows of an id the least text. Without toxic documents in the sample nothing is
+    a hit. Null and empty texts have no window and score 0. Repeated rows and null keys are returned as they are, an
+    empty table gives no rows; other columns are not read, but for ``carry``, which returns every row whole in a struct named row.
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     ids, sizes = sample_ids(labels, label, key, per_class, seed)
     gauge = Gauge(b"", b"")
     if ids is not None and sizes.get(1):
-        picked = docs.select(key, raw(docs[text]).alias("t")).join(F.broadcast(ids), key).select("y", "t")
+        picked = docs.select(key, raw(docs[text]).alias("t")).join(F.broadcast(ids), key).groupBy(key, "y").agg(F.min("t").alias("t")).select("y", "t")
 
         def signed(b: pa.RecordBatch) -> pa.RecordBatch:
             sig = []
