@@ -43,68 +43,178 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, left_id: str =
     return pairs.where(F.col("dist") <= radius)
 
 
-#: So many points without enough near ones are compared with all others at once.
-FEW = 1024
+#: Points of a leaf of the k-d tree at most and at least, about; points of a tile within a leaf.
+LEAF, LEAST_LEAF, TILE = 50_000, 2_000, 256
+#: Points that the tree is made of for each leaf, and leaves at most.
+SAMPLE, LEAVES = 64, 20_000
 
 
-def _nearest_of_few(few: list[tuple], points: DataFrame, k: int, id: str) -> DataFrame:
-    """(lid, rid, dist): for each of a bounded list of points the k nearest of every partition of ``points``."""
-    ids = np.array([r[0] for r in few])
-    at = np.array([r[1:] for r in few], np.float64)
-    kind = points.schema[id].dataType.simpleString()
+class Leaves:
+    """A k-d tree over a sample: regions that fill space, so every point lies in one leaf."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = [(np.empty(0), np.empty(0, ids.dtype))] * len(ids)
-        for b in batches:
-            rid, p = b[id].to_numpy(), b[list(AXES)].to_numpy(np.float64)
-            for i in range(len(ids)):
-                d = np.sqrt(((p - at[i]) ** 2).sum(1))
-                have, own = best[i]
-                near = (rid != ids[i]) & (d <= (have[k - 1] if len(have) >= k else np.inf))
-                d, r = np.concatenate([have, d[near]]), np.concatenate([own, rid[near]])
-                order = np.lexsort((r, d))[:k]
-                best[i] = d[order], r[order]
-        yield pd.DataFrame({"lid": np.repeat(ids, [len(d) for d, _ in best]), "rid": np.concatenate([r for _, r in best]), "dist": np.concatenate([d for d, _ in best])})
+    def __init__(self, sample: np.ndarray, leaves: int):
+        self.axis, self.at, self.child = [], [], []
+        self.boxes: list[np.ndarray] = []
+        self._grow(sample, leaves, np.array([[-np.inf] * 3, [np.inf] * 3]))
+        self.box = np.stack(self.boxes)
+
+    def _grow(self, p: np.ndarray, leaves: int, box: np.ndarray) -> int:
+        """The node made: a number below zero is a leaf."""
+        wide = int(np.argmax(p.max(0) - p.min(0))) if len(p) > 1 else 0
+        at = float(np.median(p[:, wide])) if len(p) > 1 else 0.0
+        low = p[:, wide] < at if len(p) > 1 else None
+        if leaves < 2 or low is None or not low.any():
+            self.boxes.append(box)
+            return -len(self.boxes)
+        node = len(self.axis)
+        self.axis.append(wide)
+        self.at.append(at)
+        self.child.append((0, 0))
+        left, right = box.copy(), box.copy()
+        left[1, wide] = right[0, wide] = at
+        self.child[node] = self._grow(p[low], leaves // 2, left), self._grow(p[~low], leaves - leaves // 2, right)
+        return node
+
+    def leaf_of(self, p: np.ndarray) -> np.ndarray:
+        if not self.axis:
+            return np.zeros(len(p), np.int32)
+        axis, at, child = np.array(self.axis), np.array(self.at), np.array(self.child)
+        node = np.zeros(len(p), np.int64)
+        while (inner := np.flatnonzero(node >= 0)).size:
+            n = node[inner]
+            node[inner] = child[n, (p[inner, axis[n]] >= at[n]).astype(int)]
+        return (-1 - node).astype(np.int32)
+
+
+def _gap(low: np.ndarray, high: np.ndarray, box_low: np.ndarray, box_high: np.ndarray) -> np.ndarray:
+    """Least distance between boxes; points are boxes too."""
+    return np.sqrt((np.maximum(np.maximum(box_low - high, low - box_high), 0) ** 2).sum(-1))
 
-    return points.select(id, *AXES).mapInPandas(run, f"lid {kind}, rid {kind}, dist double")
 
+def _tiles(p: np.ndarray) -> list[np.ndarray]:
+    """Indices of ``p`` in tiles of at most TILE points, by halves along the longest side."""
+    todo, out = [np.arange(len(p))], []
+    while todo:
+        i = todo.pop()
+        if len(i) <= TILE:
+            out.append(i)
+            continue
+        axis = int(np.argmax(p[i].max(0) - p[i].min(0)))
+        order = np.argpartition(p[i, axis], len(i) // 2)
+        todo += [i[order[: len(i) // 2]], i[order[len(i) // 2 :]]]
+    return out
+
+
+def _best(d: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the k least of each row in order, ties to the smaller id; infinite ones do not count."""
+    most = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if d.shape[1] > k else np.full((len(d), 1), np.inf)
+    row, col = np.nonzero((d <= most) & (d < np.inf))
+    order = np.lexsort((ids[col], d[row, col], row))
+    row, col = row[order], col[order]
+    nth = np.arange(len(row)) - np.searchsorted(row, row)
+    return row[nth < k], col[nth < k]
+
+
+def _search(q: np.ndarray, q_ids: np.ndarray, reach: np.ndarray, p: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, point, distance): the k nearest of ``p`` other than itself for each query, none beyond its ``reach``.
+
+    Of points at one place only the k + 1 of least id can be among the nearest, so a heap of copies costs no more.
+    """
+    order = np.lexsort((ids, p[:, 2], p[:, 1], p[:, 0]))
+    p, ids = p[order], ids[order]
+    new = np.concatenate([[True], (p[1:] != p[:-1]).any(1)]) if len(p) else np.empty(0, bool)
+    first = np.maximum.accumulate(np.where(new, np.arange(len(p)), 0)) if len(p) else np.empty(0, np.int64)
+    few = np.arange(len(p)) - first <= k
+    p, ids = p[few], ids[few]
+    tiles = _tiles(p) if len(p) else []
+    low, high = (np.stack([f(p[t], axis=0) for t in tiles]) if tiles else np.empty((0, 3)) for f in (np.min, np.max))
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    for own in _tiles(q) if len(p) else []:
+        far = _gap(q[own].min(0), q[own].max(0), low, high)
+        near, limit = np.argsort(far, kind="stable"), reach[own]
+        count = np.cumsum([len(tiles[t]) for t in near])
+        begin = int(np.searchsorted(count, k + 1)) + 1
 
-def knn(points: DataFrame, k: int, id: str = "splat_id", rounds: int = 40) -> DataFrame:
+        def distances(some: np.ndarray, own: np.ndarray = own) -> tuple[np.ndarray, np.ndarray]:
+            c = np.concatenate([tiles[t] for t in some])
+            d = np.sqrt(((q[own][:, None, :] - p[c][None, :, :]) ** 2).sum(-1))
+            d[q_ids[own][:, None] == ids[c][None, :]] = np.inf
+            return d, c
+
+        d, c = distances(near[:begin])
+        if begin < len(near):
+            kth = np.partition(d, k - 1, axis=1)[:, k - 1] if d.shape[1] >= k else np.full(len(own), np.inf)
+            limit = np.minimum(limit, kth)
+            d, c = distances(near[: max(begin, int(np.searchsorted(far[near], limit.max(), "right")))])
+        d[d > reach[own][:, None]] = np.inf
+        row, col = _best(d, ids[c], k)
+        out.append((own[row], ids[c[col]], d[row, col]))
+    if not out:
+        return np.empty(0, np.int64), np.empty(0, ids.dtype), np.empty(0)
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def knn(points: DataFrame, k: int, id: str = "splat_id") -> DataFrame:
     """(id, neighbor, dist, rank): the k nearest other points of each point, ties to the smaller id.
 
-    A radius is guessed from the density; points with k others inside it are settled, since none outside can be
-    nearer, and the rest go on with twice the radius, until a bounded few are left, which are compared with all points
-    in one pass. Fewer than k other points are all returned.
+    Points are dealt to the leaves of a k-d tree over a bounded sample, so dense places get small leaves. Each leaf finds
+    the nearest among its own; a point whose k-th distance reaches into other leaves asks those, and only such points are
+    ranked once more. Fewer than k other points are all returned. Points with null, NaN or infinite coordinates have no
+    neighbours and are none.
     """
-    box = points.agg(F.count("*").alias("n"), *[f(a).alias(f"{f.__name__}_{a}") for a in AXES for f in (F.min, F.max)]).first()
-    n = box["n"]
-    sides = [max((box[f"max_{a}"] or 0) - (box[f"min_{a}"] or 0), 0.0) for a in AXES]
-    reach = max(sum(s * s for s in sides) ** 0.5, 1e-9) * 1.0001
-    volume = 1.0
-    for s in sides:
-        volume *= max(s, reach * 1e-3)
-    radius = min(reach, (volume * (k + 1) / max(n, 1)) ** (1 / 3))
-    todo, found = points.select(id, *AXES), []
-    for k_round in range(rounds):
-        few = todo.limit(FEW + 1).collect() if k_round or n <= FEW else []
-        if few and len(few) <= FEW or k_round and not few:
-            if few:
-                near = _nearest_of_few([tuple(r) for r in few], points, k, id)
-                found.append(near.withColumn("rank", F.row_number().over(Window.partitionBy("lid").orderBy("dist", "rid"))).where(F.col("rank") <= k))
-            break
-        near = radius_join(todo, points, radius, id, id).where("lid <> rid")
-        ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("lid").orderBy("dist", "rid"))).where(F.col("rank") <= k)
-        ranked = cut(ranked)
-        if radius >= reach:
-            found.append(ranked)
-            break
-        settled = ranked.where(F.col("rank") == k).select(F.col("lid").alias(id))
-        found.append(ranked.join(settled.select(F.col(id).alias("lid")), "lid", "left_semi"))
-        todo = cut(todo.join(settled, id, "left_anti"))
-        radius = min(reach, radius * 2)
-    if not found:
-        found.append(radius_join(todo.limit(0), points.limit(0), 1.0, id, id).withColumn("rank", F.lit(0)))
-    return reduce(DataFrame.union, found).select(F.col("lid").alias(id), F.col("rid").alias("neighbor"), "dist", F.col("rank").cast("int").alias("rank"))
+    spark = points.sparkSession
+    kind = points.schema[id].dataType.simpleString()
+    sound = reduce(lambda a, b: a & b, [F.col(x).isNotNull() & ~F.isnan(x) & (F.abs(F.col(x)) < float("inf")) for x in AXES])
+    p = points.where(sound).select(F.col(id).alias("id"), *[F.col(a).cast("double").alias(a) for a in AXES])
+    n = p.count()
+    tasks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    leaves = int(min(LEAVES, max(1, -(-n // min(LEAF, max(LEAST_LEAF, n // tasks))))))
+    sample = np.array(p.orderBy(F.xxhash64("id")).limit(SAMPLE * leaves).select(*AXES).collect() if leaves > 1 else [], np.float64).reshape(-1, 3)
+    tree = Leaves(sample, leaves)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(leaf=tree.leaf_of(b[list(AXES)].to_numpy(np.float64)))
+
+    placed = cut(p.mapInPandas(place, f"id {kind}, x double, y double, z double, leaf int"))
+
+    def inside(pdf: pd.DataFrame) -> pd.DataFrame:
+        at, ids, leaf = pdf[list(AXES)].to_numpy(np.float64), pdf["id"].to_numpy(), int(pdf["leaf"].iloc[0])
+        row, rid, dist = _search(at, ids, np.full(len(at), np.inf), at, ids, k)
+        full = np.bincount(row, minlength=len(at)) >= k
+        kth = np.full(len(at), np.inf)
+        np.maximum.at(reached := np.zeros(len(at)), row, dist)
+        kth[full] = reached[full]
+        asked = []
+        others = np.flatnonzero((_gap(at.min(0), at.max(0), tree.box[:, 0], tree.box[:, 1]) <= kth.max()) & (np.arange(len(tree.box)) != leaf))
+        for t in _tiles(at) if len(others) else []:
+            some = others[_gap(at[t].min(0), at[t].max(0), tree.box[others, 0], tree.box[others, 1]) <= kth[t].max()]
+            i, j = np.nonzero(_gap(at[t][:, None], at[t][:, None], tree.box[some, 0][None], tree.box[some, 1][None]) <= kth[t][:, None])
+            asked.append((t[i], some[j]))
+        i, to = (np.concatenate(x) for x in zip(*asked)) if asked else (np.empty(0, np.int64), np.empty(0, np.int64))
+        open_ = np.zeros(len(at), bool)
+        open_[i] = True
+        order = np.lexsort((rid, dist, row))
+        row, rid, dist = row[order], rid[order], dist[order]
+        nth = np.arange(len(row)) - np.searchsorted(row, row) + 1
+        found = pd.DataFrame({"id": ids[row], "neighbor": rid, "dist": dist, "rank": np.where(open_[row], 0, nth), "leaf": -1, "x": 0.0, "y": 0.0, "z": 0.0})
+        asks = pd.DataFrame({"id": ids[i], "neighbor": ids[i], "dist": kth[i], "rank": 0, "leaf": to, "x": at[i, 0], "y": at[i, 1], "z": at[i, 2]})
+        return pd.concat([found, asks])
+
+    first = cut(placed.groupBy("leaf").applyInPandas(inside, f"id {kind}, neighbor {kind}, dist double, rank int, leaf int, x double, y double, z double"))
+
+    def outside(asks: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        q, ids = asks[list(AXES)].to_numpy(np.float64), asks["id"].to_numpy()
+        row, rid, dist = _search(q, ids, asks["dist"].to_numpy(), own[list(AXES)].to_numpy(np.float64), own["id"].to_numpy(), k) if len(q) and len(own) else (np.empty(0, np.int64), ids[:0], np.empty(0))
+        return pd.DataFrame({"id": ids[row], "neighbor": rid, "dist": dist})
+
+    asks = first.where("leaf >= 0").select("leaf", "id", "dist", *AXES)
+    more = asks.groupBy("leaf").cogroup(placed.groupBy("leaf")).applyInPandas(outside, f"id {kind}, neighbor {kind}, dist double")
+    found = first.where("leaf < 0")
+    order = Window.partitionBy("id").orderBy("dist", "neighbor")
+    rest = found.where("rank = 0").select("id", "neighbor", "dist").union(more).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    both = found.where("rank > 0").select("id", "neighbor", "dist", "rank").union(rest)
+    return both.select(F.col("id").alias(id), "neighbor", "dist", "rank")
 
 
 def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:

@@ -9,8 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-SLOW = {"flagship_panorama_to_splats"}
-NAMES = sorted(set(entry.oracle_sql()) - SLOW)
+NAMES = sorted(entry.oracle_sql())
 
 
 @pytest.fixture(scope="module")

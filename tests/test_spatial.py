@@ -26,6 +26,30 @@ def test_knn_equals_brute_force(spark, seed, scale):
         assert np.allclose([d[i, got[i][k + 1]] for k in range(4)], [d[i, j] for j in near])
 
 
+def test_knn_of_a_dense_cluster_over_many_leaves(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "LEAF", 100)
+    monkeypatch.setattr(spatial, "LEAST_LEAF", 100)
+    r = np.random.default_rng(5)
+    p = np.concatenate([r.normal(size=(500, 3)), r.normal(size=(800, 3)) * 1e-3, np.full((700, 3), 0.25)])
+    p = p[r.permutation(len(p))].round(6)
+    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1))
+    np.fill_diagonal(d, np.inf)
+    got = {}
+    for x in spatial.knn(cloud(spark, p), 3).collect():
+        got.setdefault(x.splat_id, {})[x["rank"]] = x.neighbor
+    for i in range(len(p)):
+        assert [got[i][k] for k in (1, 2, 3)] == np.lexsort((np.arange(len(p)), d[i]))[:3].tolist()
+
+
+def test_knn_of_many_copies(spark):
+    from pyspark.sql import functions as F
+
+    p = spark.range(100_000).select(F.col("id").alias("splat_id"), *[F.when(F.col("id") < 99_000, 0.5).otherwise(F.rand(3)).alias(a) for a in "xyz"])
+    near = spatial.knn(p, 2).where("splat_id < 99000")
+    assert near.count() == 198_000 and near.where("dist > 0").count() == 0
+    assert {(r["rank"], r.neighbor) for r in near.where("splat_id > 5").collect()} == {(1, 0), (2, 1)}
+
+
 def test_knn_with_few_points(spark):
     rows = spatial.knn(cloud(spark, np.array([[0, 0, 0], [1, 0, 0], [5, 0, 0]])), 8).collect()
     assert len(rows) == 6
