@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.functions import geometry as G
+from skyloom.operators.quantiles import quantiles
 
 PRESETS = ("forward", "backward", "right", "left", "s_curve", "loop")
 FRAMES, KEYFRAME_STEP = 81, 4
@@ -47,7 +48,7 @@ def extraction_layout(spark: SparkSession, face: int, counts: tuple[int, ...], o
 
 def camera_rig(depths: DataFrame, depth: str, directions: int = 12, fractions: tuple[float, ...] = (0.1, 0.2, 0.3)) -> DataFrame:
     """(cam_id, azimuth_deg, fraction, px, py, pz): cameras moved off the origin by a share of the median depth."""
-    median = depths.where(F.col(depth) > 0).agg(F.percentile(depth, 0.5).alias("median"))
+    median = quantiles(depths.where(F.col(depth) > 0), depth, [0.5]).select(F.col("p")[0].alias("median"))
     d = median.select("median", F.explode(F.sequence(F.lit(0), F.lit(directions - 1))).alias("i"))
     d = d.select("median", "i", F.posexplode(F.array(*map(F.lit, fractions))).alias("j", "fraction"))
     a = F.col("i") * (2 * math.pi / directions)

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyloom.operators.quantiles import combined, quantiles
+from skyloom.session import cut as lineage_cut
 from skyloom.functions import geometry as G
 from skyloom.operators import stencils as S
 
@@ -15,9 +17,11 @@ def sky_by_gradient(raster: DataFrame, most: float, ratio: float = 0.7, gradient
     """Adds ``sky``: far cells whose depth gradient is among the lowest of far cells and whose surroundings vary little."""
     d = raster.withColumns({"gu": S.central_difference(F.col("depth"), "u", "one_sided"), "gv": S.central_difference(F.col("depth"), "v", "one_sided"), "d2": F.col("depth") * F.col("depth")})
     d = d.withColumn("gradient", F.sqrt(F.col("gu") ** 2 + F.col("gv") ** 2))
-    d = S.box_sum_mean(S.box_sum_mean(d, "depth", "m1", radius), "d2", "m2", radius)
+    d = S.box_means(d, {"depth": "m1", "d2": "m2"}, radius)
     d = d.withColumns({"variance": F.greatest(F.col("m2") - F.col("m1") ** 2, F.lit(0.0)), "far": F.col("depth") > most * ratio})
-    cut = d.where("far").agg(F.percentile("gradient", gradient_pct).alias("g"), F.percentile("variance", variance_pct).alias("s"))
+    d = lineage_cut(d)
+    far = d.where("far")
+    cut = combined([quantiles(far, c, [p]).select(F.col("p")[0].alias(n)) for c, p, n in (("gradient", gradient_pct, "g"), ("variance", variance_pct, "s"))])
     out = d.join(F.broadcast(cut)).withColumn("sky", F.coalesce(F.col("far") & (F.col("gradient") < F.col("g")) & (F.col("variance") < F.col("s")), F.lit(False)))
     return out.select(*raster.columns, "sky")
 

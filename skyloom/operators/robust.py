@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyloom.operators.quantiles import quantiles
 from skyloom.session import cut
 
 
@@ -33,7 +34,8 @@ def irls(df: DataFrame, x: str, y: str, by: list[str], rounds: int = 10, shift:
     and a 95th percentile of residuals below a quarter of the median of y; fewer than ten points never are.
     """
     d = df.select(*by, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-    mid = d.groupBy(*by).agg(F.percentile("_y", 0.5).alias("_median"), F.count("*").alias("_n"))
+    d = cut(d)
+    mid = quantiles(d, "_y", [0.5], by).select(*by, F.col("p")[0].alias("_median"), F.col("n").alias("_n"))
     d = cut(d.join(mid, by))
     fit = _fit(by, d, F.lit(1.0), shift)
     delta = F.greatest(delta_share * F.col("_median"), F.lit(1e-12))
@@ -41,13 +43,14 @@ def irls(df: DataFrame, x: str, y: str, by: list[str], rounds: int = 10, shift:
         res = F.abs(F.col("scale") * F.col("_x") + F.col("shift") - F.col("_y"))
         w = F.when(res <= delta, 1.0).otherwise(delta / F.greatest(res, F.lit(1e-12)))
         fit = _fit(by, d.join(fit, by).withColumn("_w", w), F.col("_w"), shift)
-        if k % 4 == 3:
-            fit = cut(fit)
+        fit = cut(fit)  # a row for each group
     out = d.join(fit, by).withColumn("_res", F.abs(F.col("scale") * F.col("_x") + F.col("shift") - F.col("_y")))
     good = F.sum((F.col("_res") <= delta).cast("long"))
-    g = out.groupBy(*by, "scale", "shift").agg(good.alias("inlier_count"), (good / F.count("*")).alias("inlier_fraction"), F.percentile("_res", 0.5).alias("residual_median"), F.percentile("_res", 0.95).alias("residual_p95"), F.max("_n").alias("_n"), F.max("_median").alias("_m"))
+    out = cut(out)
+    g = out.groupBy(*by, "scale", "shift").agg(good.alias("inlier_count"), (good / F.count("*")).alias("inlier_fraction"), F.max("_n").alias("_n"), F.max("_median").alias("_m"))
+    g = g.join(quantiles(out, "_res", [0.5, 0.95], by).select(*by, F.col("p")[0].alias("residual_median"), F.col("p")[1].alias("residual_p95")), by)
     ok = (F.col("_n") >= 10) & (F.col("inlier_fraction") >= 0.2) & (F.col("residual_p95") < 0.25 * F.col("_m"))
-    return g.withColumn("converged", ok).drop("_n", "_m")
+    return g.select(*by, "scale", "shift", "inlier_count", "inlier_fraction", "residual_median", "residual_p95", ok.alias("converged"))
 
 
 def depth_metrics(df: DataFrame, pred: str, truth: str, by: list[str], valid: Column | None = None) -> DataFrame:
@@ -73,14 +76,15 @@ def psnr(mse: Column) -> Column:
 
 def trimmed_median(df: DataFrame, value: str, by: list[str], low: float, high: float, at_least: int = 1) -> DataFrame:
     """(by, median, n): the median of what lies between two percentiles of each group of enough rows."""
-    p = df.groupBy(*by).agg(F.percentile(value, [low, high]).alias("_p"), F.count(value).alias("n")).where(F.col("n") >= at_least)
+    p = quantiles(df, value, [low, high], by).select(*by, F.col("p").alias("_p"), "n").where(F.col("n") >= at_least)
     joined = df.join(p, by) if by else df.join(F.broadcast(p))
-    kept = joined.where((F.col(value) >= F.col("_p")[0]) & (F.col(value) <= F.col("_p")[1]))
-    return kept.groupBy(*by).agg(F.percentile(value, 0.5).alias("median"), F.max("n").alias("n"))
+    kept = joined.where((F.col(value) >= F.col("_p")[0]) & (F.col(value) <= F.col("_p")[1])).drop("_p", "n")
+    middle = quantiles(kept, value, [0.5], by).select(*by, F.col("p")[0].alias("median"))
+    return middle.join(p.drop("_p"), by) if by else middle.join(F.broadcast(p.drop("_p")))
 
 
 def minmax(df: DataFrame, value: str, by: list[str], out: str, low: float = 0.0, high: float = 1.0) -> DataFrame:
     """Value between two percentiles of its group, clamped to [0, 1]; 0 where they are equal."""
-    p = df.groupBy(*by).agg(F.percentile(value, [low, high]).alias("_p"))
+    p = quantiles(df, value, [low, high], by).select(*by, F.col("p").alias("_p"))
     share = (F.col(value) - F.col("_p")[0]) / F.nullif(F.col("_p")[1] - F.col("_p")[0], F.lit(0.0))
     return df.join(p, by).withColumn(out, F.coalesce(F.greatest(F.least(share, F.lit(1.0)), F.lit(0.0)), F.lit(0.0))).drop("_p")

@@ -11,6 +11,7 @@ from skyloom.functions import encoding as E
 from skyloom.functions import geometry as G
 from skyloom.functions import rotations as R
 from skyloom.operators.generators import with_grid
+from skyloom.operators.quantiles import quantiles
 from skyloom.operators.spatial import knn
 
 COLUMNS = ["splat_id", "x", "y", "z", "sx", "sy", "sz", "qx", "qy", "qz", "qw", "r", "g", "b", "opacity"]
@@ -19,7 +20,7 @@ COLUMNS = ["splat_id", "x", "y", "z", "sx", "sy", "sz", "qx", "qy", "qz", "qw",
 def scene_defaults(raster: DataFrame, depth: str = "depth") -> DataFrame:
     """One row: sky_threshold, depth_min, depth_max, orbit, decay_rows base p50, from exact percentiles of valid depths."""
     d = F.when((F.col(depth) > 0.01) & G.finite(F.col(depth)), F.col(depth))
-    p = raster.agg(F.percentile(d, [0.01, 0.5, 0.95, 0.99]).alias("p"), F.count(d).alias("n"))
+    p = quantiles(raster, d, [0.01, 0.5, 0.95, 0.99])
     at = lambda i: F.col("p")[i]
     few = F.col("n") < 100
     pick = lambda fallback, value: F.when(few, F.lit(fallback)).otherwise(value)

@@ -38,11 +38,19 @@ def separable(df: DataFrame, value: str, out: str, pick: Callable[[Column], Colu
     return first.withColumn(out, pick(F.col("_line")).over(along("v", by).rowsBetween(-radius, radius))).drop("_line")
 
 
+def box_means(df: DataFrame, outs: dict[str, str], radius: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Means of several values over the box clipped at the border: all sums along rows, then all along columns."""
+    values = [*outs, "_one"]
+    df = df.withColumn("_one", F.lit(1))
+    for axis in ("u", "v"):
+        w = along(axis, by).rowsBetween(-radius, radius)
+        df = df.withColumns({f"_s_{c}": F.sum(c if axis == "u" else f"_s_{c}").over(w) for c in values})
+    return df.withColumns({out: F.col(f"_s_{c}") / F.col("_s__one") for c, out in outs.items()}).drop("_one", *[f"_s_{c}" for c in values])
+
+
 def box_sum_mean(df: DataFrame, value: str, out: str, radius: int, by: tuple[str, ...] = ()) -> DataFrame:
-    """Mean over the box clipped at the border, by sums and counts."""
-    df = separable(df.withColumn("_one", F.lit(1)), value, "_sum", F.sum, radius, by)
-    df = separable(df, "_one", "_n", F.sum, radius, by)
-    return df.withColumn(out, F.col("_sum") / F.col("_n")).drop("_sum", "_n", "_one")
+    """Mean over the box clipped at the border."""
+    return box_means(df, {value: out}, radius, by)
 
 
 def weighted(df: DataFrame, value: str, out: str, weights: list[float], by: tuple[str, ...] = ()) -> DataFrame:

@@ -11,6 +11,7 @@ from skyloom.functions import encoding as E
 from skyloom.functions import geometry as G
 from skyloom.functions import text as T
 from skyloom.operators import generators, rasters, robust, spatial, splats as S, stencils, views
+from skyloom.operators.quantiles import quantiles
 from skyloom.plans.tables import FRAMES_SQL, JOBS_SQL, MASKS_SQL, RASTER_SQL, SPLATS_SQL, WIDTH, frames, height, jobs, masks, query, raster, rounded, splats, sql_rounded, width
 from skyloom.streaming import jobs as J
 
@@ -197,7 +198,7 @@ def ag15(spark, sf):
 
 @query("ag19_voxel_size", f"WITH {SPLATS_SQL}, p AS (SELECT a.splat_id, sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2) AS d, row_number() OVER (PARTITION BY a.splat_id ORDER BY sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2), b.splat_id) AS k FROM splats a JOIN splats b ON a.splat_id <> b.splat_id) SELECT round(quantile_cont(d, 0.5), 6) + 0.0 AS voxel FROM p WHERE k <= 5")
 def ag19(spark, sf):
-    return rounded(spatial.knn(splats(spark, sf), 5).agg(F.percentile("dist", 0.5).alias("voxel")))
+    return rounded(quantiles(spatial.knn(splats(spark, sf), 5), "dist", [0.5]).select(F.col("p")[0].alias("voxel")))
 
 
 VOXEL_SQL = SPLATS_SQL + ", vox AS (SELECT CAST(floor(x/0.1) AS BIGINT) AS vx, CAST(floor(y/0.1) AS BIGINT) AS vy, CAST(floor(z/0.1) AS BIGINT) AS vz, AVG(x) AS x, AVG(y) AS y, AVG(z) AS z, AVG(r) AS r, AVG(g) AS g, AVG(b) AS b, COUNT(*) AS n, MIN(splat_id) AS first_id FROM splats GROUP BY 1, 2, 3)"
@@ -230,7 +231,7 @@ def ag7(spark, sf):
 def ag8(spark, sf):
     f = frames(spark, sf)
     fit = robust.scale_and_shift(f, "raw", "rendered", ["frame_idx"])
-    return rounded(f.join(F.broadcast(fit), "frame_idx").select("frame_idx", "v", "u", (F.col("scale") * F.col("raw") + F.col("shift")).alias("aligned")), 4)
+    return rounded(f.join(fit, "frame_idx").select("frame_idx", "v", "u", (F.col("scale") * F.col("raw") + F.col("shift")).alias("aligned")), 4)
 
 
 def _irls_sql(rounds: int) -> str:
@@ -303,18 +304,18 @@ def ag5(spark, sf):
 def ag20(spark, sf):
     d = splats(spark, sf).select("frame_idx", G.norm(F.col("x"), F.col("y"), F.col("z")).alias("d"))
     f = d.groupBy("frame_idx").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY d)").alias("m"))
-    return rounded(f.agg(F.percentile("m", 0.5).alias("radius")))
+    return rounded(quantiles(f, "m", [0.5]).select(F.col("p")[0].alias("radius")))
 
 
 @query("ag22_disparity_quantiles", sql_rounded((SPLATS_SQL, "SELECT quantile_cont(1/z, 0.1) AS p10, quantile_cont(1/z, 0.9) AS p90 FROM splats WHERE z > 0"), "", ["p10", "p90"], 4))
 def ag22(spark, sf):
-    d = splats(spark, sf).where("z > 0").agg(F.percentile(1 / F.col("z"), [0.1, 0.9]).alias("p"))
+    d = quantiles(splats(spark, sf).where("z > 0"), 1 / F.col("z"), [0.1, 0.9])
     return rounded(d.select(F.col("p")[0].alias("p10"), F.col("p")[1].alias("p90")), 4)
 
 
 @query("ag23_depth_quantiles", sql_rounded((SPLATS_SQL, "SELECT quantile_cont(z, 0.001) AS a, quantile_cont(z, 0.1) AS b, quantile_cont(z, 0.999) AS c FROM splats WHERE z > 0"), "", ["a", "b", "c"]))
 def ag23(spark, sf):
-    d = splats(spark, sf).where("z > 0").agg(F.percentile("z", [0.001, 0.1, 0.999]).alias("p"))
+    d = quantiles(splats(spark, sf).where("z > 0"), "z", [0.001, 0.1, 0.999])
     return rounded(d.select(*[F.col("p")[i].alias(n) for i, n in enumerate("abc")]))
 
 
@@ -556,12 +557,10 @@ SELECT ba.v, ba.u, round(ba.m*ba.g + bb.m, 5) + 0.0 AS depth FROM ba JOIN bb USI
 def ud10(spark, sf):
     d = raster(spark, sf).select("v", "u", F.col("depth").alias("p"), F.least(F.col("depth") / 50, F.lit(1.0)).alias("g"))
     d = d.withColumns({"gp": F.col("g") * F.col("p"), "gg": F.col("g") ** 2})
-    for c in ("p", "g", "gp", "gg"):
-        d = stencils.box_sum_mean(d, c, f"m_{c}", 4)
+    d = stencils.box_means(d, {c: f"m_{c}" for c in ("p", "g", "gp", "gg")}, 4)
     d = d.withColumn("a", (F.col("m_gp") - F.col("m_g") * F.col("m_p")) / (F.col("m_gg") - F.col("m_g") ** 2 + 1e-4))
     d = d.withColumn("b", F.col("m_p") - F.col("a") * F.col("m_g"))
-    for c in ("a", "b"):
-        d = stencils.box_sum_mean(d, c, f"n_{c}", 4)
+    d = stencils.box_means(d, {c: f"n_{c}" for c in ("a", "b")}, 4)
     return rounded(d.select("v", "u", (F.col("n_a") * F.col("g") + F.col("n_b")).alias("depth")), 5)
 
 

@@ -11,6 +11,7 @@ from skyloom.functions import encoding as E
 from skyloom.functions import geometry as G
 from skyloom.functions import rotations as R
 from skyloom.operators import generators, splats as S
+from skyloom.operators.quantiles import quantiles
 from skyloom.plans.tables import FRAMES_SQL, RASTER_SQL, SPLATS_SQL, WIDTH, frames, height, query, raster, rounded, splats, sql_rounded, width
 
 PI = "pi()"
@@ -323,7 +324,7 @@ def pr22(spark, sf):
 @query("pr27_preview", "WITH " + RASTER_SQL + ", l AS (SELECT v, u, ln(1 + depth) AS l FROM raster), p AS (SELECT quantile_cont(l, 0.01) AS a, quantile_cont(l, 0.99) AS b FROM l) SELECT v, u, trunc(round(least(greatest((l-a)/(b-a), 0), 1)*255, 6))::INTEGER AS shade FROM l, p")
 def pr27(spark, sf):
     d = raster(spark, sf).select("v", "u", F.log1p("depth").alias("l"))
-    p = d.agg(F.percentile("l", [0.01, 0.99]).alias("p"))
+    p = quantiles(d, "l", [0.01, 0.99])
     share = G.clamp((F.col("l") - F.col("p")[0]) / (F.col("p")[1] - F.col("p")[0]), 0.0, 1.0)
     return d.join(F.broadcast(p)).select("v", "u", F.round(share * 255, 6).cast("int").alias("shade"))
 
