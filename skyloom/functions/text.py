@@ -46,3 +46,44 @@ def to_unix_path(path: Column) -> Column:
 
 def age_seconds(now: Column, then: Column) -> Column:
     return (F.unix_micros(now.cast("timestamp")) - F.unix_micros(then.cast("timestamp"))) / 1e6
+
+
+#: What a request may hold: least and greatest number, or the words allowed.
+RANGES = {
+    "stride": (1, 8), "depth_min": (0.01, None), "depth_max": (None, 1000.0), "outlier_pruning": (0.0, 1.0), "sparse_pruning": (0.0, 1.0), "grazing_angle": (30.0, 90.0),
+    "global_scale": (0.1, 10.0), "side_count": (2, 12), "sharp_cap_fov": (90.0, 170.0), "sharp_seam_latitude": (10.0, 60.0),
+}
+WORDS = {"depth_model": ("dap", "da360"), "generator": ("da360", "dap", "sharp360", "unisharp360", "pager"), "unisharp_format_mode": ("copy", "convert")}
+
+
+def problems(columns: list[str]) -> Column:
+    """The names of a request's fields that are out of range, in the order of its columns; nulls are in order."""
+    out = []
+    for c in columns:
+        low, high = RANGES.get(c, (None, None))
+        bad = F.lit(False)
+        if low is not None:
+            bad = bad | (F.col(c) < low)
+        if high is not None:
+            bad = bad | (F.col(c) > high)
+        if c in WORDS:
+            bad = ~F.col(c).isin(*WORDS[c])
+        if c in RANGES or c in WORDS:
+            out.append(F.when(bad, F.lit(c)))
+    if {"depth_min", "depth_max"} <= set(columns):
+        out.append(F.when(F.col("depth_min") >= F.col("depth_max"), F.lit("depth_min >= depth_max")))
+    return F.array_compact(F.array(*out))
+
+
+def overlaid(base: dict, *changes: dict) -> dict:
+    """Nested options with later ones over earlier ones; a null takes an option away."""
+    out = dict(base)
+    for change in changes:
+        for k, v in change.items():
+            if isinstance(v, dict):
+                out[k] = overlaid(out.get(k) if isinstance(out.get(k), dict) else {}, v)
+            elif v is None:
+                out.pop(k, None)
+            else:
+                out[k] = v
+    return out

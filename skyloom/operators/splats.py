@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.functions import encoding as E
@@ -17,6 +17,30 @@ from skyloom.operators.spatial import knn
 COLUMNS = ["splat_id", "x", "y", "z", "sx", "sy", "sz", "qx", "qy", "qz", "qw", "r", "g", "b", "opacity"]
 
 
+def none(spark: SparkSession) -> DataFrame:
+    """The splat table without rows."""
+    return spark.createDataFrame([], "splat_id long, " + ", ".join(f"{c} double" for c in COLUMNS[1:]))
+
+
+def min_neighbours(strength: Column) -> Column:
+    """How many near neighbours a splat needs at a pruning strength of 0 to 1."""
+    return F.greatest(F.lit(1), (1 + 5 * strength).cast("int"))
+
+
+def seeded(seeds: DataFrame, log_scale: float = -5.0) -> DataFrame:
+    """Stored form of seeds at their opacity: grey, unturned, of one size."""
+    grey = {c: F.lit(0.5) for c in "rgb"}
+    turn = {"qw": F.lit(1.0), "qx": F.lit(0.0), "qy": F.lit(0.0), "qz": F.lit(0.0)}
+    return seeds.withColumns(grey | {"log_scale": F.lit(log_scale)} | turn | {"opacity_logit": E.logit(F.col("opacity"))}).drop("opacity")
+
+
+def assert_z_depth(df: DataFrame, depth: str, reference: str, by: list[str], most: float = 1.5) -> DataFrame:
+    """(by, ratio) of the greatest depths, NaN left out; an error where a ratio says that ``depth`` is radial. A coarse guard."""
+    top = lambda c: F.max(F.when(~F.isnan(c), F.col(c)))
+    ratios = df.groupBy(*by).agg((top(depth) / (top(reference) + 1e-8)).alias("ratio"))
+    return ratios.withColumn("ratio", F.when(F.col("ratio") > most, F.raise_error(F.concat(F.lit("depth is radial, not z: ratio "), F.col("ratio").cast("string"))).cast("double")).otherwise(F.col("ratio")))
+
+
 def scene_defaults(raster: DataFrame, depth: str = "depth") -> DataFrame:
     """One row: sky_threshold, depth_min, depth_max, orbit, decay_rows base p50, from exact percentiles of valid depths."""
     d = F.when((F.col(depth) > 0.01) & G.finite(F.col(depth)), F.col(depth))

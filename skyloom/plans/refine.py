@@ -419,7 +419,7 @@ def jn7(spark, sf):
     return rounded(stencils.bilinear(p, r, "depth", "depth", width(), height(r), ["splat_id"]))
 
 
-@query("jn9_perspective_view")
+@query("jn9_perspective_view")  # its SQL stands in extra.py
 def jn9(spark, sf):
     r = raster(spark, sf)
     v = spark.createDataFrame([(k, 90.0 * k, 0.0) for k in range(4)] + [(4, 0.0, 90.0), (5, 0.0, -90.0)], "view_id int, yaw_deg double, pitch_deg double")
