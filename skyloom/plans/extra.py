@@ -9,11 +9,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skyloom.functions import geometry as G
+from skyloom.functions import rotations
 from skyloom.functions import text as T
 from skyloom.operators import cameras, rasters, splats as S
 from skyloom.operators.quantiles import quantiles
 from skyloom.plans.refine import SHARES_SQL, shares
+from skyloom.plans.scene import SPLAT_GRID_SQL, kept_cells
 from skyloom.plans.tables import FRAMES_SQL, JOBS_SQL, MASKS_SQL, ORACLE_SQL, RASTER_SQL, SPLATS_SQL, frames, height, jobs, masks, query, raster, rounded, splats, sql_rounded, width
+from skyloom.sources import ply
 
 #: A view of 640 x 480 pixels, 500 pixels of focal length, turned by 30 degrees and moved.
 _A = math.radians(30)
@@ -218,3 +221,23 @@ def jn6(spark, sf):
 def tk11(spark, sf):
     cams = masks(spark, sf).select("cam_id").distinct()  # a row for each camera
     return cams.select("cam_id", F.row_number().over(Window.orderBy(F.md5(F.concat_ws(":", "cam_id", F.lit("7"))), "cam_id")).alias("place"))
+
+
+@query("pr1_splat_frame", sql_rounded((SPLAT_GRID_SQL + """, y AS (SELECT (v::BIGINT*200 + u)::BIGINT AS splat_id, sin(phi)*cos(theta) AS rx, cos(phi) AS ry, -sin(phi)*sin(theta) AS rz FROM kang),
+n AS (SELECT *, CASE WHEN abs(ry) > 0.99 THEN 0 ELSE 1 END AS ky, CASE WHEN abs(ry) > 0.99 THEN 1 ELSE 0 END AS kz FROM y), c AS (SELECT *, -ky*rz + kz*ry AS cx, -kz*rx AS cy, ky*rx AS cz FROM n),
+a AS (SELECT *, cx/sqrt(cx*cx + cy*cy + cz*cz) AS ax, cy/sqrt(cx*cx + cy*cy + cz*cz) AS ay, cz/sqrt(cx*cx + cy*cy + cz*cz) AS az FROM c)""", "SELECT splat_id, ax AS m00, -ry*az + rz*ay AS m01, -rx AS m02, ay AS m10, -rz*ax + rx*az AS m11, -ry AS m12, az AS m20, -rx*ay + ry*ax AS m21, -rz AS m22 FROM a"), "splat_id", [f"m{i}{j}" for i in range(3) for j in range(3)]))
+def pr1_frame(spark, sf):
+    """The rotation that a splat's quaternion stands for: its tangent frame and the ray back to the origin."""
+    r, cells = kept_cells(spark, sf)
+    s = S.from_depth(cells, height(r), width())
+    m = rotations.matrix(tuple(F.col(f"q{a}") for a in "wxyz"))
+    return rounded(s.select("splat_id", *[c.alias(f"m{k // 3}{k % 3}") for k, c in enumerate(m)]))
+
+
+_LOGIT = "ln(least(greatest(opacity, 1e-6), 1 - 1e-6)/(1 - least(greatest(opacity, 1e-6), 1 - 1e-6)))"
+
+
+@query("sk1_all_columns", sql_rounded((SPLATS_SQL, f"SELECT splat_id, x AS c_x, y AS c_y, z AS c_z, (r - 0.5)/0.28209479177387814 AS f_dc_0, (g - 0.5)/0.28209479177387814 AS f_dc_1, (b - 0.5)/0.28209479177387814 AS f_dc_2, {_LOGIT} AS c_opacity, ln(greatest(sx, 1e-7)) AS scale_0, ln(greatest(sy, 1e-7)) AS scale_1, ln(greatest(sz, 1e-7)) AS scale_2, qw AS rot_0, qx AS rot_1, qy AS rot_2, qz AS rot_3 FROM splats"), "splat_id", ["c_x", "c_y", "c_z", "f_dc_0", "f_dc_1", "f_dc_2", "c_opacity", "scale_0", "scale_1", "scale_2", "rot_0", "rot_1", "rot_2", "rot_3"]))
+def sk1_all(spark, sf):
+    d = S.encoded(splats(spark, sf)).select("splat_id", *[F.col(c).alias(f"c_{stored}" if stored in ("x", "y", "z", "opacity") else stored) for c, stored in ply.FIELDS.items()])
+    return rounded(d)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions import text as T
 from skyloom.operators import cameras, numeric, splats as S
-from skyloom.sources import outputs, ply
+from skyloom.sources import images, outputs, ply
 from tests.test_splats import some  # noqa: F401  a fixture
 
 
@@ -129,3 +129,33 @@ def test_solvers_equal_plain_numpy(spark):
     assert np.allclose(got, want, atol=1e-3)
     fused = numeric.laplacian_fusion(d, "id", "x", "y", 2, 1).toPandas().pivot(index="v", columns="u", values="value").to_numpy()
     assert np.allclose(fused, a + 1)  # details of x on the level of y = x + 1
+
+
+def tagged(grey, orientation, focal=None, film=None):
+    """A grey PNG with an EXIF block."""
+    own = [(0x920A, 5, focal)] * (focal is not None) + [(0xA405, 3, film)] * (film is not None)
+    head = b"II*\0" + struct.pack("<I", 8) + struct.pack("<H", 2) + struct.pack("<HHIHH", 0x0112, 3, 1, orientation, 0) + struct.pack("<HHII", 0x8769, 4, 1, 38) + struct.pack("<I", 0)
+    entries, extra, at = b"", b"", 38 + 2 + 12 * len(own) + 4
+    for tag, kind, value in own:
+        entries += struct.pack("<HHI", tag, kind, 1) + (struct.pack("<I", at) if kind == 5 else struct.pack("<HH", value, 0))
+        extra += struct.pack("<II", int(value * 100), 100) if kind == 5 else b""
+    block = head + struct.pack("<H", len(own)) + entries + struct.pack("<I", 0) + extra
+    data = outputs.png(grey)
+    chunk = struct.pack(">I", len(block)) + b"eXIf" + block + struct.pack(">I", zlib.crc32(b"eXIf" + block))
+    return data[:33] + chunk + data[33:]
+
+
+def test_photographs(spark, tmp_path):
+    grey = np.arange(8, dtype=np.uint8).reshape(2, 4) * 20
+    for name, data in {"plain": outputs.png(grey), "turned": tagged(grey, 6, focal=4.0), "mirror": tagged(grey, 2, film=28), "broken": b"no image"}.items():
+        (tmp_path / f"{name}.png").write_bytes(data)
+    got = {r.origin.rsplit("/", 1)[1][:-4]: r for r in images.photographs(spark, str(tmp_path)).collect()}
+    assert got["broken"].error and got["broken"].data is None and len(got) == 4
+    shown = {k: np.frombuffer(r.data, np.uint8).reshape(r.height, r.width, 3)[..., 0] for k, r in got.items() if r.data}
+    assert (shown["plain"] == grey).all() and (shown["turned"] == np.rot90(grey, -1)).all() and (shown["mirror"] == grey[:, ::-1]).all()
+    assert [got[k].focal_mm for k in ("plain", "turned", "mirror")] == [30.0, 4.0 * 8.4, 28.0]
+    assert abs(got["plain"].focal_px - 30 * np.hypot(4, 2) / np.hypot(36, 24)) < 1e-9
+    errors = {r.origin.rsplit("/", 1)[1][:-4]: r.error for r in images.panoramas(spark, str(tmp_path)).collect()}
+    assert errors["plain"] is None and "panorama" in errors["turned"] and errors["broken"] == "cannot be decoded"
+    assert images.pixels(images.panoramas(spark, str(tmp_path))).where("r > 0").count() == 14
+    assert images.exif(b"\xff\xd8\xff") == {} == images.exif(b"")
