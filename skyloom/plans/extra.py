@@ -42,10 +42,10 @@ def pr24(spark, sf):
     return rounded(s.select("splat_id", (here[0] - 1.0).alias("x2"), here[1].alias("y2"), (here[2] + 2.0).alias("z2")))
 
 
-@query("pr24_unproject_depth", sql_rounded((RASTER_SQL, "SELECT v, u, (u - 100.0)/120*depth AS x, (v - 40.0)/110*depth AS y, depth AS z, degrees(2*atan(200.0/(2*(100 + u)))) AS fov FROM raster"), "v, u", ["x", "y", "z", "fov"]))
+@query("pr24_unproject_depth", sql_rounded((RASTER_SQL, "SELECT v, u, (u - 100.0)/123.457*depth AS x, (v - 40.0)/111.713*depth AS y, depth AS z, degrees(2*atan(200.0/(2*(100 + u)))) AS fov FROM raster"), "v, u", ["x", "y", "z", "fov"]))
 def pr24_depth(spark, sf):
     c = F.col
-    ray = cameras.pixel_ray(c("u"), c("v"), F.lit(120.0), F.lit(110.0), F.lit(100.0), F.lit(40.0))
+    ray = cameras.pixel_ray(c("u"), c("v"), F.lit(123.457), F.lit(111.713), F.lit(100.0), F.lit(40.0))
     d = raster(spark, sf).select("v", "u", *[(r * c("depth")).alias(a) for r, a in zip(ray, "xyz")], cameras.field_of_view(100.0 + c("u"), F.lit(200.0)).alias("fov"))
     return rounded(d)
 
