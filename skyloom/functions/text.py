@@ -48,7 +48,7 @@ def age_seconds(now: Column, then: Column) -> Column:
     return (F.unix_micros(now.cast("timestamp")) - F.unix_micros(then.cast("timestamp"))) / 1e6
 
 
-#: What a request may hold: least and greatest number, or the words allowed.
+#: Fixed values of requests: least and greatest number of a field, or the words allowed.
 RANGES = {
     "stride": (1, 8), "depth_min": (0.01, None), "depth_max": (None, 1000.0), "outlier_pruning": (0.0, 1.0), "sparse_pruning": (0.0, 1.0), "grazing_angle": (30.0, 90.0),
     "global_scale": (0.1, 10.0), "side_count": (2, 12), "sharp_cap_fov": (90.0, 170.0), "sharp_seam_latitude": (10.0, 60.0),

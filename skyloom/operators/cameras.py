@@ -163,3 +163,19 @@ def interpolated(points: DataFrame, grid: DataFrame, value: str, columns: int, r
     corner = lambda a, b: F.struct(F.least(x0 + a, F.lit(columns - 1)).cast("int").alias("cx"), F.least(y0 + b, F.lit(rows - 1)).cast("int").alias("cy"), ((wx if a else 1 - wx) * (wy if b else 1 - wy)).alias("k"))
     corners = points.select(*by, *keys, F.explode(F.array(*[corner(a, b) for a in (0, 1) for b in (0, 1)])).alias("c")).select(*by, *keys, "c.cx", "c.cy", "c.k")
     return corners.join(grid, [*by, "cy", "cx"]).groupBy(*by, *keys).agg(F.sum(F.col("k") * F.col(value)).alias(value))
+
+
+def face_weight(ray: G.Vec, ahead: G.Vec, up: G.Vec, fov_deg: float, overlap: float = 0.25) -> tuple[Column, Column, Column]:
+    """(place right, place up, weight) of a ray on a face: a Gaussian of the angle to its centre times a squared cosine
+    that falls from the face proper to the end of its overlap; 0 behind and outside."""
+    forward = G.unit(ahead)
+    right = G.unit(G.cross(up, forward))
+    above = G.cross(right, forward)
+    along = G.dot(ray, forward)
+    reach, fov = math.tan(math.radians(fov_deg) / 2), math.radians(fov_deg)
+    a, b = (G.dot(ray, side) / F.greatest(along, F.lit(0.1)) / reach for side in (right, above))
+    inner = 1.0 / (1.0 + overlap)
+    edge = G.clamp((F.greatest(F.abs(a), F.abs(b)) - inner) / max(1 - inner, 1e-6), 0.0, 1.0)
+    angle = F.acos(G.clamp(along, -1.0, 1.0))
+    seen = (along > 0.1) & (F.abs(a) <= 1) & (F.abs(b) <= 1)
+    return a, b, F.when(seen, F.exp(-(angle**2) / (fov**2 / 4)) * F.cos(edge * (math.pi / 2)) ** 2).otherwise(0.0)

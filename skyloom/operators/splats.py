@@ -170,3 +170,34 @@ def merged(parts: list[DataFrame], order: str = "part") -> DataFrame:
     for i, p in enumerate(parts[1:], 1):
         out = out.unionByName(p.withColumn(order, F.lit(i)), allowMissingColumns=True)
     return out
+
+
+def scale_constants(low: float, high: float) -> tuple[float, float]:
+    """Slope and offset that make the scale's sigmoid 1 with slope 1 at a change of 0."""
+    share = (1 - low) / (high - low)
+    return (high - low) / (1 - low) / (high - 1), math.log(share / (1 - share))
+
+
+def composed(df: DataFrame, factor: dict[str, float], low: float = 0.0, high: float = 10.0) -> DataFrame:
+    """Base values and predicted changes as splats: z by a softplus of the disparity, sizes, colours and opacity by sigmoids.
+
+    Bases: x_ndc, y_ndc, disparity, size, qw..qz, r, g, b, opacity; changes have the same names with a leading d_ (d_z for
+    the disparity). ``factor`` weighs the changes of xy, z, scale, quaternion, color, opacity.
+    """
+    c, d = F.col, lambda n, kind: F.col(f"d_{n}") * factor[kind]
+    z = 1.0 / (E.softplus(E.inverse_softplus(c("disparity")) + d("z", "z")) + 1e-3)
+    slope, offset = scale_constants(low, high)
+    size = c("size") * ((high - low) * E.sigmoid(slope * d("size", "scale") + offset) + low)
+    bound = {n: G.clamp(c(n), 0.01, 0.99) for n in "rgb"}
+    colours = {n: E.sigmoid(F.ln(x / (1 - x)) + d(n, "color")) for n, x in bound.items()}
+    opacity = E.sigmoid(F.ln(c("opacity") / (1 - c("opacity"))) + d("opacity", "opacity"))
+    turn = {q: c(q) + d(q, "quaternion") for q in ("qw", "qx", "qy", "qz")}
+    return df.withColumns({"z": z, "x": z * (c("x_ndc") + d("x", "xy")), "y": z * (c("y_ndc") + d("y", "xy")), "size": size} | turn | colours | {"opacity": opacity})
+
+
+def metric_depth(raw: Column, log_depth: bool, least: float, most: float, scale: Column, ray_factor: Column, sky: Column) -> Column:
+    """A depth head's output in metres along the ray: bounded, out of its logarithm, scaled, from z to distance, and
+    blended in the logarithm towards the greatest depth where ``sky`` (0 to 1) says so."""
+    bounded = F.exp(G.clamp(raw, math.log(least), math.log(most))) if log_depth else G.clamp(raw, least, most)
+    distance = bounded * scale * ray_factor
+    return F.exp((1.0 - sky) * F.ln(F.greatest(distance, F.lit(1e-6))) + sky * F.ln(most * scale))

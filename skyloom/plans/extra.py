@@ -241,3 +241,38 @@ _LOGIT = "ln(least(greatest(opacity, 1e-6), 1 - 1e-6)/(1 - least(greatest(opacit
 def sk1_all(spark, sf):
     d = S.encoded(splats(spark, sf)).select("splat_id", *[F.col(c).alias(f"c_{stored}" if stored in ("x", "y", "z", "opacity") else stored) for c, stored in ply.FIELDS.items()])
     return rounded(d)
+
+
+@query("ag25_face_weights", sql_rounded((RASTER_SQL + """, y AS (SELECT v, u, sin(v/(h - 1)*pi())*cos((1 - u/199.0)*2*pi()) AS x, cos(v/(h - 1)*pi()) AS y, -sin(v/(h - 1)*pi())*sin((1 - u/199.0)*2*pi()) AS z FROM raster, dims),
+f AS (SELECT * FROM (VALUES (0, 1.0, 0.0), (1, 0.0, 1.0), (2, -1.0, 0.0), (3, 0.0, -1.0)) t(face, fx, fz)), p AS (SELECT face, v, u, x*fx + z*fz AS d, (x*fz - z*fx) AS a, -y AS b FROM y, f),
+q AS (SELECT face, v, u, d, a/greatest(d, 0.1)/tan(radians(50.0)) AS a, b/greatest(d, 0.1)/tan(radians(50.0)) AS b FROM p)""",
+"SELECT face, v, u, CASE WHEN d > 0.1 AND abs(a) <= 1 AND abs(b) <= 1 THEN exp(-(acos(greatest(least(d, 1), -1))**2)/(radians(100.0)**2/4))*cos(greatest(least((greatest(abs(a), abs(b)) - 0.8)/0.2, 1), 0)*pi()/2)**2 ELSE 0 END AS weight FROM q"), "face, v, u", ["weight"]))
+def ag25(spark, sf):
+    r = raster(spark, sf)
+    faces = F.broadcast(spark.createDataFrame([(0, 1.0, 0.0), (1, 0.0, 1.0), (2, -1.0, 0.0), (3, 0.0, -1.0)], "face int, fx double, fz double"))
+    one = F.lit(1.0)
+    ray = G.turn_ray(*G.turn_angles(G.fraction(F.col("u"), width(), "span"), G.fraction(F.col("v"), height(r), "span"), one, one))
+    d = r.select("v", "u", *[c.alias(a) for c, a in zip(ray, "xyz")]).join(faces)
+    _, _, weight = cameras.face_weight(tuple(F.col(a) for a in "xyz"), (F.col("fx"), F.lit(0.0), F.col("fz")), (F.lit(0.0), F.lit(1.0), F.lit(0.0)), 100.0)
+    return rounded(d.select("face", "v", "u", weight.alias("weight")))
+
+
+_FACTORS = {"xy": 0.001, "z": 0.001, "scale": 1.0, "quaternion": 1.0, "color": 0.1, "opacity": 1.0}
+_SLOPE, _OFFSET = S.scale_constants(0.0, 10.0)
+_CHANGES = {"d_x": "y", "d_y": "z", "d_z": "x", "d_size": "qx", "d_qw": "x", "d_qx": "y", "d_qy": "z", "d_qz": "qy", "d_r": "x", "d_g": "y", "d_b": "z", "d_opacity": "qz"}
+
+
+@query("pr29_composed", sql_rounded((SPLATS_SQL + """, b AS (SELECT *, sx AS disparity, greatest(least(r, 0.99), 0.01) AS cr FROM splats), z AS (SELECT *, sx + ln(1 - exp(-sx)) + 0.001*x AS t FROM b),
+w AS (SELECT *, 1/(greatest(t, 0) + ln(1 + exp(-abs(t))) + 1e-3) AS pz FROM z)""", f"SELECT splat_id, pz*(x + 0.001*y) AS px, pz*(y + 0.001*z) AS py, pz, sy*10/(1 + exp(-({_SLOPE!r}*qx + ({_OFFSET!r})))) AS size, qw + x AS qw2, 1/(1 + exp(-(ln(cr/(1 - cr)) + 0.1*x))) AS r2, 1/(1 + exp(-(ln(opacity/(1 - opacity)) + qz))) AS opacity2 FROM w"), "splat_id", ["px", "py", "pz", "size", "qw2", "r2", "opacity2"], 5))
+def pr29(spark, sf):
+    s = splats(spark, sf)
+    bases = s.select("splat_id", F.col("x").alias("x_ndc"), F.col("y").alias("y_ndc"), F.col("sx").alias("disparity"), F.col("sy").alias("size"), "qw", "qx", "qy", "qz", "r", "g", "b", "opacity", *[F.col(c).alias(n) for n, c in _CHANGES.items()])
+    d = S.composed(bases, _FACTORS)
+    return rounded(d.select("splat_id", F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"), "size", F.col("qw").alias("qw2"), F.col("r").alias("r2"), F.col("opacity").alias("opacity2")), 5)
+
+
+@query("sf13_depth_output", sql_rounded((RASTER_SQL + ", s AS (SELECT v, u, exp(greatest(least(depth/10, ln(75)), ln(0.01)))*1.25*sqrt(((u - 100)/100.0)**2 + ((v - 40)/100.0)**2 + 1) AS d, (u % 11)/10.0 AS sky FROM raster)", "SELECT v, u, exp((1 - sky)*ln(greatest(d, 1e-6)) + sky*ln(75*1.25)) AS depth FROM s"), "v, u", ["depth"], 5))
+def sf13(spark, sf):
+    r = raster(spark, sf)
+    factor = G.z_to_euclidean(F.lit(1.0), F.col("u"), F.col("v"), 100.0, 100.0, 100.0, 40.0)
+    return rounded(r.select("v", "u", S.metric_depth(F.col("depth") / 10, True, 0.01, 75.0, F.lit(1.25), factor, (F.col("u") % 11) / 10.0).alias("depth")), 5)

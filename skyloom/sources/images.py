@@ -105,7 +105,7 @@ def panoramas(spark: SparkSession, path: str, low: float = 1.9, high: float = 2.
     return d if force else d.withColumn("error", F.coalesce("error", flat))
 
 
-def sharp_panoramas(spark: SparkSession, path: str) -> DataFrame:
+def narrow_panoramas(spark: SparkSession, path: str) -> DataFrame:
     """``panoramas`` with the narrower bounds 2 +- 0.05."""
     return panoramas(spark, path, 1.95, 2.05)
 
