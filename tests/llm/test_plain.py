@@ -193,3 +193,31 @@ def test_windows_cut_long_tokens_whole():
     t = b"short " + b"x" * 200
     assert toxicity.windows(t) == [b"short"] + [b"x" * 64] * 5 + [b"x" * 40]  # every 32 bytes: no run is cut by all
     assert toxicity.Gauge(b"", b"").score(b"") == (0.0, 0, 0)
+
+
+def test_lm_messages_grow_with_the_batches():
+    from skyloom.llm import lm
+
+    def messages(nodes, ranges=1):
+        own = ranges * nodes * lm.parts_of(nodes, 1)
+        return own if nodes <= lm.LAST else own + messages(-(-nodes // lm.FAN), ranges * lm.FAN)
+
+    for batches in (10, 512, 5_000, 400_000, 12_500_000):  # the last is 100 TB
+        assert messages(batches) <= 3 * 64 * batches + 512 * lm.FAN
+
+
+def test_lm_hubs_add_up_what_batches_count():
+    from skyloom.llm import lm
+
+    r = random.Random(7)
+    texts = [[" ".join(r.choice("abcdefgh") * r.randint(1, 3) for _ in range(50)).encode() for _ in range(3)] for _ in range(6)]
+    batches = [lm.Batch(t, np.array([True, True, False])) for t in texts]
+    asked = lm.pa.concat_tables([b.asks().messages(0, k, 0, 1) for k, b in enumerate(batches)])
+    told = lm.tell(asked)
+    for k, b in enumerate(batches):
+        row = told.filter(lm.pa.array([n == k for n in told["node"].to_pylist()]))
+        distinct, total, w, _ = lm._gathered(b.asks(), row, 0, 1)
+        seen = [x for t in texts for d in t[:2] for x in [*d.lower().split(), b""]]
+        assert total == len(seen) and distinct == len(set(seen))
+        words = [b.words[i] for i in b.word_order]
+        assert w.tolist() == [seen.count(x) for x in words]
