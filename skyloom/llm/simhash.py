@@ -30,6 +30,8 @@ LARGE = 64
 MAX_COMMON = 50_000
 #: Classes by hash in which shingles are counted; common shingles are at most the lesser counts, class by class.
 CLASSES = 256
+#: Greatest count of a class that is told apart; it stands for more, too, and rules nothing out.
+MOST = 65_535
 #: Bits of the bitmap of the texts that are compared: a text marked by chance is computed in vain, no other harm.
 MARKS = 1 << 26
 
@@ -208,24 +210,37 @@ def _first(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
+def _class_counts(own: np.ndarray) -> np.ndarray:
+    """How many of a text's shingles fall into each of CLASSES; common shingles are at most the lesser counts."""
+    return np.bincount((own % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES)
+
+
 def _bucket_pairs(rows: list[tuple], percent: int, stars: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of the texts (sid, n, pos, root) that have one shingle among their first, at place pos, and may be similar enough.
+    """Pairs of the texts (sid, n, pos, root, own) that have one shingle among their first, at place pos, and may be similar enough.
 
-    With ``stars`` only pairs with the two texts that have the fewest rare shingles; pairs of one root are left out.
+    With ``stars`` only pairs with the two texts that have the fewest rare shingles; pairs of one root are left out, and
+    those whose class counts ``own`` (if not None; the greatest number stands for more) are too far apart.
     """
-    sid, n, pos, root = np.array(sorted(rows, key=lambda r: (r[2], r[0])), np.int64).T
+    rows = sorted(rows, key=lambda r: (r[2], r[0]))
+    sid, n, pos, root = np.array([r[:4] for r in rows], np.int64).T
+    own = None if rows[0][4] is None else np.frombuffer(b"".join(r[4] for r in rows), "<u2").reshape(len(rows), CLASSES)
     for i in range(2 if stars else len(sid) - 1):
-        rest = slice(i + 1, None)
-        ok = _reaches(1 + np.minimum(n[i] - pos[i] - 1, n[rest] - pos[rest] - 1), n[i], n[rest], percent)
-        ok &= root[rest] != root[i]
-        if ok.any():
-            other = sid[rest][ok]
-            yield np.minimum(other, sid[i]), np.maximum(other, sid[i])
+        ok = _reaches(1 + np.minimum(n[i] - pos[i] - 1, n[i + 1 :] - pos[i + 1 :] - 1), n[i], n[i + 1 :], percent)
+        at = i + 1 + np.flatnonzero(ok & (root[i + 1 :] != root[i]))
+        if own is not None:
+            for part in np.array_split(at, len(at) // 50_000 + 1):
+                least = np.minimum(own[part], own[i])
+                fits = _reaches(least.sum(1, dtype=np.int64), n[i], n[part], percent) | (least == MOST).any(1)
+                if fits.any():
+                    yield np.minimum(sid[part[fits]], sid[i]), np.maximum(sid[part[fits]], sid[i])
+        elif len(at):
+            yield np.minimum(sid[at], sid[i]), np.maximum(sid[at], sid[i])
 
 
 def _pairs(tokens: DataFrame, percent: int, again: bool) -> DataFrame:
-    """(a, b, token, n, pos) over the buckets of ``tokens(token, sid, n, pos, root)``: pairs (a, b), where token is null,
-    and the rows (a = sid) of buckets of over LARGE texts. Those give stars only, and all pairs of two roots when they come ``again``."""
+    """(a, b, token, n, pos) over the buckets of ``tokens(token, sid, n, pos, root, own)``: pairs (a, b), where token is null,
+    and the rows (a = sid) of buckets of over LARGE texts. Those give stars only, and all pairs of two roots that may be
+    similar when they come ``again``, with their class counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(token: int, held: dict) -> Iterator[list[np.ndarray]]:
@@ -234,7 +249,7 @@ def _pairs(tokens: DataFrame, percent: int, again: bool) -> DataFrame:
                 for a, b in _bucket_pairs(list(held.values()), percent, large):
                     yield [a, b, np.full(len(a), -1), np.full(len(a), -1), np.full(len(a), -1)]
             if large:
-                sid, n, pos, _ = np.array(list(held.values()), np.int64).T
+                sid, n, pos = np.array([r[:3] for r in held.values()], np.int64).T
                 yield [sid, sid, np.full(len(sid), token), n, pos]
 
         def found() -> Iterator[list[np.ndarray]]:
@@ -261,7 +276,7 @@ def _pairs(tokens: DataFrame, percent: int, again: bool) -> DataFrame:
         if some:
             yield out(some)
 
-    by_token = tokens.select("token", "sid", "n", "pos", "root").repartition("token").sortWithinPartitions("token")
+    by_token = tokens.select("token", "sid", "n", "pos", "root", "own").repartition("token").sortWithinPartitions("token")
     return by_token.mapInArrow(run, "a bigint, b bigint, token bigint, n bigint, pos bigint")
 
 
@@ -340,9 +355,11 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
         return source.select(bit.alias("bit"), "t").mapInArrow(run, f"sid bigint, {name} binary").dropDuplicates(["sid"])
 
     def classes(own: np.ndarray) -> bytes:
-        return np.bincount((own % np.uint64(CLASSES)).astype(np.int64), minlength=CLASSES).astype("<u4").tobytes()
+        return np.minimum(_class_counts(own), MOST).astype("<u2").tobytes()
 
     def kept(pairs: DataFrame, of: Callable[[np.ndarray], bytes], fits: Callable[[bytes, bytes], bool]) -> DataFrame:
+        """The pairs that fit by what ``of`` gives."""
+
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
             return b.select([0, 1]).filter(pa.array([bool(fits(x.as_py(), y.as_py())) for x, y in zip(b.column(2), b.column(3))], pa.bool_()))
 
@@ -351,25 +368,29 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
         return cut(map_rows(both.select("a", "b", "x", "y"), "a bigint, b bigint", run))
 
     def may(x: bytes, y: bytes) -> bool:
-        x, y = (np.frombuffer(v, "<u4").astype(np.int64) for v in (x, y))
-        return _reaches(np.minimum(x, y).sum(), x.sum(), y.sum(), percent)
+        x, y = (np.frombuffer(v, "<u2").astype(np.int64) for v in (x, y))
+        least = np.minimum(x, y)
+        return (least == MOST).any() or _reaches(least.sum(), x.sum(), y.sum(), percent)
 
     def similar(x: bytes, y: bytes) -> bool:
         x, y = (np.frombuffer(v, np.uint64) for v in (x, y))
         return _reaches(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), percent)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The pairs that are similar enough; sets travel only for those whose numbers of shingles by class allow it."""
-        return kept(kept(cut(pairs), classes, may), lambda own: own.tobytes(), similar)
+        """The pairs that are similar enough."""
+        return kept(pairs, lambda own: own.tobytes(), similar)
 
     tokens = source.mapInArrow(first, "token bigint, sid bigint, n bigint, pos bigint")
-    found = cut(_pairs(tokens.withColumn("root", F.col("sid")), percent, False))
-    edges = verified(found.where("token is null").select("a", "b").distinct())
+    found = cut(_pairs(tokens.withColumns({"root": F.col("sid"), "own": F.lit(None).cast("binary")}), percent, False))
+    # Sets travel only for pairs whose numbers of shingles by class allow it.
+    edges = verified(kept(cut(found.where("token is null").select("a", "b").distinct()), classes, may))
     hot = found.where("token is not null").select("token", F.col("a").alias("sid"), "n", "pos")
     if not hot.isEmpty():
+        # Many texts of a hot bucket are not alike but for a passage: there the class counts go to the bucket, not to its pairs.
         near = components(edges).select(F.col("node").alias("sid"), F.col("component").alias("root"))
-        rest = _pairs(hot.join(near, "sid", "left").withColumn("root", F.coalesce("root", "sid")), percent, True)
-        edges = edges.union(verified(rest.select("a", "b").distinct()))
+        counts = asked(hot.select(F.col("sid").alias("a"), F.col("sid").alias("b")), "own", classes)
+        rest = _pairs(hot.join(near, "sid", "left").join(counts, "sid").withColumn("root", F.coalesce("root", "sid")), percent, True)
+        edges = edges.union(verified(cut(rest.select("a", "b").distinct())))
     groups = components(edges).select(F.col("node").alias("sid"), F.col("component").alias("root"))
     least = hashed.groupBy("sid").agg(F.min(key).alias("least"), F.count("*").alias("n"))
     rooted = least.join(groups, "sid", "left").select("sid", "least", "n", F.coalesce("root", "sid").alias("root"))
