@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import bpe, embed_dedup, html_extract, lm, mixing, quality, simhash, topk, toxicity, url_filter
+from skyloom.llm import bpe, embed_dedup, fim, html_extract, licenses, lm, mixing, prefix_trie, quality, simhash, topk, toxicity, url_filter
 from skyloom.llm.common import is_fold, table
 
 RULES = [
@@ -82,6 +82,20 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fim.transform(table(spark, sf_dir, "documents"))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_topk": op2_topk,
@@ -93,6 +107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embed_dedup": op8_embed_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_simhash": op10_simhash,
+    "op11_fim": op11_fim,
+    "op12_licenses": op12_licenses,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 USABLE = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
@@ -134,5 +151,22 @@ p AS (SELECT page_id, regexp_replace(url, '#.*$', '') AS node, coalesce(translat
 SELECT page_id, host, path, CASE WHEN {_FITS['f2']} THEN '{RULES[2].text}' WHEN {_FITS['f1']} THEN '{RULES[1].text}' WHEN {_FITS['f3']} THEN '{RULES[3].text}' WHEN {_FITS['f4']} THEN '{RULES[4].text}' WHEN {_FITS['f0']} THEN '{RULES[0].text}' END AS rule,
  coalesce({_VERDICT.format(**_FITS)}, CASE WHEN allowed THEN 'allow' WHEN blocked THEN 'block' END, 'allow') AS verdict FROM p LEFT JOIN carried USING (node)"""
 
-#: Trained scores, random draws, merges and XXH64 are beyond SQL: the other queries are tested against plain versions.
-ORACLE_SQL: dict[str, str] = {"op2_topk": TOPK_SQL, "op6_lm": LM_SQL, "op8_embed_dedup": DEDUP_SQL, "op9_url_filter": URL_SQL}
+_DRAW = "('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), {i}, 8))::BIGINT"
+FIM_SQL = rf"""WITH d AS (SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS t,
+ {_DRAW.format(i=1)} AS h1, {_DRAW.format(i=9)} AS h2, {_DRAW.format(i=17)} AS h3, {_DRAW.format(i=25)} AS h4 FROM documents),
+f AS (SELECT *, len(t) AS n, least(h1 % (len(t) + 1), h2 % (len(t) + 1)) AS a, greatest(h1 % (len(t) + 1), h2 % (len(t) + 1)) AS b,
+ CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d),
+g AS (SELECT *, array_to_string(t[:a], '') AS p, array_to_string(t[a + 1:b], '') AS m, array_to_string(t[b + 1:], '') AS s FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN x WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256, sha256(x) AS restored_sha256 FROM g"""
+
+TRIE_SQL = f"""WITH o AS (SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) AS l, {CRC32.format(x="conv_id::VARCHAR")} % 9 AS h FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+r AS (SELECT o.conv_id, list_concat(coalesce(b.l[:o.h], []), o.l[o.h + 1:]) AS l FROM o LEFT JOIN o b ON b.conv_id = o.conv_id - o.conv_id % 5),
+m AS (SELECT conv_id, d, l[:d] AS k, d = len(l) AS ends FROM (SELECT *, unnest(range(0, len(l) + 1)) AS d FROM r)),
+n AS (SELECT d, k, MIN(conv_id) AS conv_id, COUNT(*) AS n_convs, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM m GROUP BY d, k),
+c AS (SELECT n.*, p.conv_id AS parent_conv_id, (SELECT COUNT(*) FROM n x WHERE x.d = n.d + 1 AND x.k[:n.d] = n.k) AS n_children FROM n LEFT JOIN n p ON p.d = n.d - 1 AND p.k = n.k[:n.d - 1])
+SELECT a.conv_id, a.d AS depth, a.parent_conv_id, a.n_convs, a.n_children, COUNT(*) FILTER (WHERE u.n_children = 0) AS n_leaves, SUM((u.n_convs - 1) * coalesce(strlen(u.k[u.d].t), 0))::BIGINT AS saved_tokens, a.ends_sha256
+FROM c a JOIN c u ON u.d >= a.d AND u.k[:a.d] = a.k GROUP BY a.conv_id, a.d, a.parent_conv_id, a.n_convs, a.n_children, a.ends_sha256"""
+
+#: Trained scores, random draws, merges, XXH64 and grammars are beyond SQL: the other queries are tested against plain versions.
+ORACLE_SQL: dict[str, str] = {"op2_topk": TOPK_SQL, "op6_lm": LM_SQL, "op8_embed_dedup": DEDUP_SQL, "op9_url_filter": URL_SQL, "op11_fim": FIM_SQL, "op13_prefix_trie": TRIE_SQL}
