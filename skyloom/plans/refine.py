@@ -527,11 +527,30 @@ def wn12(spark, sf):
     return J.tail(spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id"), 20, "user_id", "event_id")
 
 
-@query("jn20_active_files", f"WITH {JOBS_SQL} SELECT 'out_' || job_id || '.ply' AS path FROM jobs WHERE status <> 'processing'")
+@query("jn20_active_files", f"WITH {JOBS_SQL}, f AS (SELECT lpad(job_id::VARCHAR, 9, '0') AS id, status FROM jobs) SELECT 'out_' || id || '.ply' AS path FROM f WHERE NOT EXISTS (SELECT 1 FROM f a WHERE a.status = 'processing' AND contains('out_' || f.id || '.ply', a.id))")
 def jn20(spark, sf):
-    j = jobs(spark, sf)
-    files = j.select(F.concat(F.lit("out_"), F.col("job_id").cast("string"), F.lit(".ply")).alias("path"))
-    return J.unprotected_files(files, j.where("status = 'processing'").select(F.col("job_id").cast("string").alias("job_id")))
+    j = jobs(spark, sf).withColumn("job_id", F.lpad(F.col("job_id").cast("string"), 9, "0"))
+    files = j.select(F.concat(F.lit("out_"), "job_id", F.lit(".ply")).alias("path"))
+    return J.unprotected_files(files, j.where("status = 'processing'").select("job_id"))
+
+
+_UUID_SQL = "substr(md5(job_id::VARCHAR), 1, 8) || '-' || substr(md5(job_id::VARCHAR), 9, 4) || '-' || substr(md5(job_id::VARCHAR), 13, 4) || '-' || substr(md5(job_id::VARCHAR), 17, 4) || '-' || substr(md5(job_id::VARCHAR), 21, 12)"
+
+
+@query("jn20_uuid_files", f"""WITH {JOBS_SQL}, u AS (SELECT job_id AS n, status, CASE WHEN job_id % 97 = 0 THEN substr(md5(job_id::VARCHAR), 1, 5) ELSE {_UUID_SQL} END AS id, {_UUID_SQL} AS name FROM jobs),
+f AS (SELECT 'results/' || CASE n % 3 WHEN 0 THEN name || '.ply' WHEN 1 THEN 'upload_' || name || '_out.ply' ELSE name || '-depth.npy' END AS path FROM u), a AS (SELECT id FROM u WHERE status = 'processing')
+SELECT path, MIN(id) AS first_id, COUNT(id)::BIGINT AS n_ids FROM f LEFT JOIN a ON contains(path, id) GROUP BY path""")
+def jn20_uuid(spark, sf):
+    """Files named after UUIDs with the active jobs whose id they hold; some ids are short and lie in longer ones."""
+    digest = F.md5(F.col("job_id").cast("string").cast("binary"))
+    at = [F.substring(digest, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    j = jobs(spark, sf).select(F.col("job_id").alias("n"), "status", digest.alias("digest"), F.concat_ws("-", *at).alias("name"))
+    kind = F.col("n") % 3
+    path = F.concat(F.lit("results/"), F.when(kind == 0, F.concat("name", F.lit(".ply"))).when(kind == 1, F.concat(F.lit("upload_"), "name", F.lit("_out.ply"))).otherwise(F.concat("name", F.lit("-depth.npy"))))
+    files = j.select(path.alias("path")).distinct()
+    active = j.where("status = 'processing'").select(F.when(F.col("n") % 97 == 0, F.substring("digest", 1, 5)).otherwise(F.col("name")).alias("job_id"))
+    held = J.containing(files, active).groupBy("path").agg(F.min("job_id").alias("first_id"), F.count("*").alias("n_ids"))
+    return files.join(held, "path", "left").fillna(0, ["n_ids"])
 
 
 @query("ag31_gallery", f"WITH {MASKS_SQL} SELECT cam_id::VARCHAR AS cam, array_to_string(list(DISTINCT k ORDER BY k), ',') AS kinds FROM (SELECT cam_id, CASE WHEN hole THEN 'mask' ELSE 'rgb' END AS k FROM masks) GROUP BY 1")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyloom.functions.text import age_seconds, progress
+from skyloom.operators.textjoin import containing
 
 LIFETIME_S = 7200
 
@@ -35,9 +36,12 @@ def queue_positions(jobs: DataFrame, shards_by: str = "job_id") -> DataFrame:
 
 
 def unprotected_files(files: DataFrame, active: DataFrame) -> DataFrame:
-    """Files whose name holds no active job's id; names are split at what ids cannot hold, so the match is an equi-join."""
-    parts = files.select("path", F.explode(F.split("path", "[^A-Za-z0-9]+")).alias("job_id"))
-    return files.join(parts.join(active.select("job_id").distinct(), "job_id").select("path").distinct(), "path", "left_anti")
+    """Files whose path contains no active job's id, wherever in it; null and empty ids protect nothing.
+
+    Repeated paths stay as often as they come, a null path is unprotected.
+    """
+    held = containing(files, active, "path", "job_id").select("path").distinct()
+    return files.join(held, "path", "left_anti")
 
 
 def tail(lines: DataFrame, n: int, by: str, order: str) -> DataFrame:
