@@ -13,6 +13,8 @@ from skyloom.functions import rotations as R
 from skyloom.operators import generators, splats as S
 from skyloom.operators.quantiles import quantiles
 from skyloom.plans.tables import FRAMES_SQL, RASTER_SQL, SPLATS_SQL, WIDTH, frames, height, query, raster, rounded, splats, sql_rounded, width
+from skyloom.session import shared_folder
+from skyloom.sources import ply, ply_table
 
 PI = "pi()"
 TURN_SQL = RASTER_SQL + """,
@@ -277,6 +279,30 @@ def sc5(spark, sf):
     return rounded(S.decoded(S.encoded(splats(spark, sf))).select("splat_id", "sx", "opacity", "r"))
 
 
+_STORED_SQL = ", ".join(["x::FLOAT::DOUBLE AS x", "y::FLOAT::DOUBLE AS y", "z::FLOAT::DOUBLE AS z", *[f"exp(ln(greatest({c}, 1e-7))::FLOAT::DOUBLE) AS {c}" for c in ("sx", "sy", "sz")], *[f"0.5 + 0.28209479177387814 * (({c} - 0.5) / 0.28209479177387814)::FLOAT::DOUBLE AS {c}" for c in "rgb"], *[f"{c}::FLOAT::DOUBLE AS {c}" for c in ("qw", "qx", "qy", "qz")], "1 / (1 + exp(-(ln(least(greatest(opacity, 1e-6), 1 - 1e-6) / (1 - least(greatest(opacity, 1e-6), 1 - 1e-6))))::FLOAT::DOUBLE)) AS opacity"])
+_STORED = ["x", "y", "z", "sx", "sy", "sz", "r", "g", "b", "qw", "qx", "qy", "qz", "opacity"]
+
+
+@query("sc7_ply_parts", sql_rounded((SPLATS_SQL, f"SELECT row_number() OVER (ORDER BY splat_id) - 1 AS splat_id, {_STORED_SQL} FROM splats"), "splat_id", _STORED, 5))
+def sc7(spark, sf):
+    """The splats written as a folder of PLY files and read back in byte ranges, numbered in their order."""
+    folder = shared_folder(spark, "ply")
+    ply.write_parts(splats(spark, sf), folder)
+    return rounded(ply_table.numbered(ply.read(spark, folder)).select("splat_id", *_STORED), 5)
+
+
+@query("sc8_ply_headers", f"WITH {SPLATS_SQL} SELECT frame_idx, COUNT(*) AS vertices, true AS has_core_fields, 17::BIGINT AS n_fields, 'linearRGB' AS color_space FROM splats GROUP BY 1")
+def sc8(spark, sf):
+    """Counts and fields of splat files, one folder of them for each frame, from headers alone."""
+    folder = shared_folder(spark, "frames")
+    stored = S.encoded(splats(spark, sf)).select("frame_idx", *[F.col(c).cast("float").alias(ply.FIELDS.get(c, c)) for c in ply.FIELDS], *[F.lit(0.0).cast("float").alias(c) for c in ("nx", "ny", "nz")])
+    ply_table.save(stored.withColumn("frame_idx", F.col("frame_idx").cast("int")).repartitionByRange("frame_idx"), folder, color_space="linearRGB")
+    parts = ply_table.scan(spark, folder, ["path", "frame_idx"]).groupBy("path", "frame_idx").agg(F.count("*").alias("vertices"))
+    whole = parts.join(ply.inspect(spark, folder).drop("vertices"), "path")
+    inside = whole.groupBy("frame_idx").agg(F.sum("vertices").alias("vertices"), F.min("has_core_fields").alias("has_core_fields"), F.min(F.size("fields") - 1).cast("long").alias("n_fields"), F.min("color_space").alias("color_space"))
+    return inside.select(F.col("frame_idx").cast("long").alias("frame_idx"), "vertices", "has_core_fields", "n_fields", "color_space")
+
+
 @query("sf6_color_spaces", sql_rounded((SPLATS_SQL, "SELECT splat_id, CASE WHEN r <= 0.0031308 THEN r*12.92 ELSE 1.055*pow(r, 1/2.4) - 0.055 END AS srgb, CASE WHEN g <= 0.04045 THEN g/12.92 ELSE pow((g+0.055)/1.055, 2.4) END AS linear FROM splats"), "splat_id", ["srgb", "linear"]))
 def sf6(spark, sf):
     return rounded(splats(spark, sf).select("splat_id", E.to_srgb(F.col("r")).alias("srgb"), E.to_linear(F.col("g")).alias("linear")))

@@ -1,7 +1,8 @@
 """PLY and COLMAP files: tables in and out.
 
-Binary little-endian PLY files are read whole by ``binaryFile`` (2 GB each at most), one row per vertex; columns
-are found by name. A writer makes one file from a table; its records are packed on the executors.
+Binary little-endian PLY files are read in byte ranges (see ``ply_table``), one row per vertex; columns are found by
+name. Here are the formats and the writers of one file, whose records are packed on the executors; a folder of parts is
+written by the tasks themselves.
 """
 
 from __future__ import annotations
@@ -62,34 +63,21 @@ def elements_of(data: bytes) -> dict[str, np.ndarray]:
 
 
 def inspect(spark: SparkSession, path: str) -> DataFrame:
-    """(path, vertices, fields, elements, has_core_fields, color_space) of each file."""
+    """(path, vertices, fields, elements, has_core_fields, color_space) of each file; only headers are read."""
+    from skyloom.sources.ply_table import heads
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for p, data in zip(b["path"], b["content"]):
-                found, comments, _ = header(bytes(data))
-                fields = next((list(t.names or ()) for n, _, t in found if n == "vertex"), [])
-                rows.append((p, next((k for n, k, _ in found if n == "vertex"), 0), fields, [n for n, _, _ in found], set(CORE) <= set(fields), color_space(comments)))
-            yield pd.DataFrame(rows, columns=["path", "vertices", "fields", "elements", "has_core_fields", "color_space"])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, vertices long, fields array<string>, elements array<string>, has_core_fields boolean, color_space string")
+    core = F.size(F.array_intersect("fields", F.lit(CORE))) == len(CORE)
+    words = F.transform("comments", lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " "))
+    space = F.filter(words, lambda w: (F.size(w) == 2) & (w[0] == "color_space"))
+    return heads(spark, path).select("path", "vertices", "fields", "elements", core.alias("has_core_fields"), F.try_element_at(space, F.lit(1))[1].alias("color_space"))
 
 
-def read_stored(spark: SparkSession, path: str, chunk: int = 1 << 16) -> DataFrame:
+def read_stored(spark: SparkSession, path: str, split: int | None = None) -> DataFrame:
     """Splat files as they are stored: path, splat_id (place in the file) and the core columns; KeyError without one."""
+    from skyloom.sources.ply_table import SPLIT, scan
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for p, data in zip(b["path"], b["content"]):
-                v = elements_of(bytes(data))["vertex"]
-                if missing := [c for c in CORE if c not in (v.dtype.names or ())]:
-                    raise KeyError(f"{p}: missing columns {missing}")
-                for at in range(0, len(v), chunk):
-                    part = v[at : at + chunk]
-                    yield pd.DataFrame({"path": p, "splat_id": np.arange(at, at + len(part)), **{c: part[c].astype(np.float64) for c in CORE}})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, splat_id long, " + ", ".join(f"{c} double" for c in CORE))
+    d = scan(spark, path, ["path", "splat_id", *CORE], split=split or SPLIT)
+    return d.select("path", "splat_id", *[F.col(c).cast("double").alias(c) for c in CORE])
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -101,6 +89,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def count(spark: SparkSession, path: str) -> int:
+    """Vertices of all files by their headers."""
     return int(inspect(spark, path).agg(F.coalesce(F.sum("vertices"), F.lit(0))).first()[0])
 
 
@@ -157,6 +146,20 @@ def write(splats: DataFrame, path: str, color: str | None = "sRGB", encode: bool
     return n
 
 
+def write_parts(splats: DataFrame, folder: str, color: str | None = "sRGB", encode: bool = True, sh_degree: int = 0, mode: str = "overwrite") -> None:
+    """A folder of PLY files in the order of splat_id, each written whole by its task; nothing passes through the driver.
+
+    Columns and nulls are as in ``write``. Lost tasks are written again; files count once all tasks are done.
+    """
+    from skyloom.operators.splats import encoded
+    from skyloom.sources.ply_table import ordered, save
+
+    d = _stored(encoded(splats) if encode else splats)
+    columns = [*STORED[:9], *rest_fields(sh_degree), *STORED[9:]]
+    stored = d.select("splat_id", *[(F.col(c) if c in d.columns else F.lit(0.0)).cast("float").alias(c) for c in columns])
+    save(ordered(stored), folder, mode, **({"color_space": color} if color else {}))
+
+
 #: Fixed values of the format: the supplement's elements with their types, and codes of colour spaces.
 SUPPLEMENT = {"extrinsic": "float", "intrinsic": "float", "image_size": "uint", "frame": "int", "disparity": "float", "color_space": "uchar", "version": "uchar"}
 COLOR_SPACES = {"sRGB": 0, "linearRGB": 1}
