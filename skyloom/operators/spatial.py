@@ -43,21 +43,6 @@ def radius_join(left: DataFrame, right: DataFrame, radius: float, left_id: str =
     return pairs.where(F.col("dist") <= radius)
 
 
-def near_any(left: DataFrame, right: DataFrame, radius: float, id: str = "splat_id") -> DataFrame:
-    """The ids of ``left`` with some point of ``right`` at distance <= radius, without a list of the pairs.
-
-    In cells whose diagonal is under half the radius, all points of the same and of the next cells are near; only points
-    that no occupied cell decides are compared with points.
-    """
-    edge = radius / (2 * 3**0.5) * (1 - 1e-9)
-    occupied = right.select(*[cell(F.col(a), edge).alias(f"c{a}") for a in AXES]).distinct()
-    steps = F.array(*[F.struct(*[F.lit(d).alias(a) for d, a in zip((i, j, k), AXES)]) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
-    around = left.select(id, *AXES, F.explode(steps).alias("d")).select(id, *[(cell(F.col(a), edge) + F.col(f"d.{a}")).alias(f"c{a}") for a in AXES])
-    sure = cut(around.join(occupied, [f"c{a}" for a in AXES], "left_semi").select(id).distinct())
-    rest = left.join(sure, id, "left_anti")
-    return sure.union(radius_join(rest, right, radius, id, id).select(F.col("lid").alias(id)).distinct())
-
-
 #: Points of a leaf of the k-d tree at most and at least, about; points of a tile within a leaf.
 LEAF, LEAST_LEAF, TILE = 50_000, 2_000, 256
 #: Points that the tree is made of for each leaf, and leaves at most.

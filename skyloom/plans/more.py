@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skyloom.functions import geometry as G
-from skyloom.operators import generators, models, robust, spatial, stencils, views
+from skyloom.operators import generators, models, nearness, robust, spatial, stencils, views
 from skyloom.operators.quantiles import quantiles
 from skyloom.plans.refine import GAPS_SQL, SHARES_SQL, SQUARE, shares
 from skyloom.plans.tables import FRAMES_SQL, MASKS_SQL, RASTER_SQL, SPLATS_SQL, frames, masks, query, raster, rounded, splats, sql_rounded
@@ -65,10 +65,8 @@ def fl20(spark, sf):
     s = splats(spark, sf).select("splat_id", "x", "y", "z").withColumn("d", G.norm(F.col("x"), F.col("y"), F.col("z")))
     far = quantiles(s, "d", [0.9]).first()["p"][0]
     out, near = s.where(F.col("d") > far), s.where(F.col("d") <= far)
-    links = spatial.radius_join(out, out, 0.2 * far).where("lid < rid").select(F.col("lid").alias("a"), F.col("rid").alias("b"))
-    parts = spatial.components(links)
-    named = out.select("splat_id").join(parts, F.col("splat_id") == F.col("node"), "left").select("splat_id", F.coalesce("component", "splat_id").alias("component"))
-    close = spatial.near_any(out, near, 0.5 * far).withColumn("close", F.lit(1))
+    named = nearness.near_components(out, 0.2 * far).withColumnRenamed("node", "splat_id")
+    close = nearness.near_any(out, near, 0.5 * far).withColumn("close", F.lit(1))
     bad = named.join(close, "splat_id", "left").groupBy("component").agg(F.count("*").alias("n"), F.count("close").alias("c")).where("n <= 500 and c = 0")
     return s.join(named.join(bad, "component", "left_semi").select("splat_id"), "splat_id", "left_anti").select("splat_id")
 

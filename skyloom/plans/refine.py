@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skyloom.functions import encoding as E
 from skyloom.functions import geometry as G
 from skyloom.functions import text as T
-from skyloom.operators import generators, rasters, robust, spatial, splats as S, stencils, views
+from skyloom.operators import generators, nearness, rasters, robust, spatial, splats as S, stencils, views
 from skyloom.operators.quantiles import quantiles
 from skyloom.plans.tables import FRAMES_SQL, JOBS_SQL, MASKS_SQL, RASTER_SQL, SPLATS_SQL, WIDTH, frames, height, jobs, masks, query, raster, rounded, splats, sql_rounded, width
 from skyloom.streaming import jobs as J
@@ -174,26 +174,25 @@ def jn3(spark, sf):
     return rounded(spatial.radius_join(s, s, 0.06))
 
 
-@query("jn4_isolated", f"WITH {SPLATS_SQL} SELECT a.splat_id FROM splats a WHERE a.frame_idx = 3 AND NOT EXISTS (SELECT 1 FROM splats b WHERE b.frame_idx <> 3 AND sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2) <= 0.08)")
+@query("jn4_isolated", f"WITH {SPLATS_SQL} SELECT a.splat_id, a.frame_idx FROM splats a WHERE NOT EXISTS (SELECT 1 FROM splats b WHERE b.frame_idx <> a.frame_idx AND sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2) <= 0.08)")
 def jn4(spark, sf):
-    s = splats(spark, sf)
-    near = spatial.radius_join(s.where("frame_idx = 3"), s.where("frame_idx <> 3"), 0.08)
-    return s.where("frame_idx = 3").join(near.select(F.col("lid").alias("splat_id")), "splat_id", "left_anti").select("splat_id")
+    """Splats without one of another frame nearby."""
+    s = splats(spark, sf).select("splat_id", "frame_idx", "x", "y", "z")
+    near = nearness.near_groups(s, s.withColumnRenamed("frame_idx", "other"), 0.08, group="other")
+    return s.select("splat_id", "frame_idx").join(near, (s["splat_id"] == near["splat_id"]) & (s["frame_idx"] != near["other"]), "left_anti")
 
 
 @query("fl19_consistency_gate", f"WITH {SPLATS_SQL}, n AS (SELECT a.splat_id, COUNT(DISTINCT b.frame_idx) AS support FROM splats a JOIN splats b ON sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2) <= 0.12 GROUP BY 1) SELECT splat_id, support FROM n WHERE support >= 3")
 def fl19(spark, sf):
     s = splats(spark, sf)
-    near = spatial.radius_join(s, s, 0.12).join(s.select(F.col("splat_id").alias("rid"), "frame_idx"), "rid")
-    return near.groupBy(F.col("lid").alias("splat_id")).agg(F.countDistinct("frame_idx").alias("support")).where("support >= 3")
+    return nearness.near_groups(s, s, 0.12).groupBy("splat_id").agg(F.count("*").alias("support")).where("support >= 3")
 
 
 @query("ag15_components", "WITH RECURSIVE " + SPLATS_SQL + """, e AS (SELECT a.splat_id AS a, b.splat_id AS b FROM splats a JOIN splats b ON a.splat_id <> b.splat_id AND sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2) <= 0.045),
 w AS (SELECT a AS node, a AS seen FROM e UNION SELECT w.node, e.b FROM w JOIN e ON w.seen = e.a) SELECT node, MIN(seen) AS component FROM w GROUP BY 1 HAVING MIN(seen) < node""")
 def ag15(spark, sf):
     s = splats(spark, sf)
-    pairs = spatial.radius_join(s, s, 0.045).where("lid < rid").select(F.col("lid").alias("a"), F.col("rid").alias("b"))
-    return spatial.components(pairs)
+    return nearness.near_components(s, 0.045).where("component < node")
 
 
 @query("ag19_voxel_size", f"WITH {SPLATS_SQL}, p AS (SELECT a.splat_id, sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2) AS d, row_number() OVER (PARTITION BY a.splat_id ORDER BY sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2), b.splat_id) AS k FROM splats a JOIN splats b ON a.splat_id <> b.splat_id) SELECT round(quantile_cont(d, 0.5), 6) + 0.0 AS voxel FROM p WHERE k <= 5")
