@@ -1,4 +1,4 @@
-"""What column expressions cannot say: batched linear algebra and solvers on whole rasters, in Arrow batches."""
+"""What column expressions cannot say: batched linear algebra."""
 
 from __future__ import annotations
 
@@ -22,87 +22,3 @@ def decompose(cov: DataFrame, id: str = "splat_id") -> DataFrame:
 
     fields = ", ".join([f"{id} {cov.schema[id].dataType.simpleString()}", *[f"s{i} double" for i in (1, 2, 3)], *[f"r{i}{j} double" for i in range(3) for j in range(3)]])
     return cov.mapInPandas(run, fields)
-
-
-def _square(pdf: pd.DataFrame, value: str) -> np.ndarray:
-    out = np.full((int(pdf["v"].max()) + 1, int(pdf["u"].max()) + 1), np.nan)
-    out[pdf["v"], pdf["u"]] = pdf[value]
-    return out
-
-
-def _long(a: np.ndarray, **keys) -> pd.DataFrame:
-    v, u = np.indices(a.shape)
-    return pd.DataFrame({**keys, "v": v.ravel().astype(np.int32), "u": u.ravel().astype(np.int32), "value": a.ravel()})
-
-
-_KERNEL = np.array([1, 4, 6, 4, 1]) / 16.0
-
-
-def _blur(a: np.ndarray) -> np.ndarray:
-    for axis in (0, 1):
-        pad = np.pad(a, [(2, 2) if k == axis else (0, 0) for k in (0, 1)], mode="reflect" if a.shape[axis] > 2 else "edge")
-        a = sum(w * np.take(pad, range(k, k + a.shape[axis]), axis) for k, w in enumerate(_KERNEL))
-    return a
-
-
-def _grow(a: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
-    return np.kron(a, np.ones((2, 2)))[: shape[0], : shape[1]]
-
-
-def pyramid(a: np.ndarray, levels: int) -> list[np.ndarray]:
-    """Differences between blurred and halved levels, the coarsest level last."""
-    out = []
-    for _ in range(levels):
-        if min(a.shape) < 2:
-            break
-        small = _blur(a)[::2, ::2]
-        out.append(a - _grow(small, a.shape))
-        a = small
-    return [*out, a]
-
-
-def fuse(fine: np.ndarray, coarse: np.ndarray, levels: int, cutoff: int) -> np.ndarray:
-    """The coarsest ``cutoff`` levels of one raster with the finer ones of the other."""
-    a, b = pyramid(fine, levels), pyramid(coarse, levels)
-    at = len(a) - cutoff
-    mix = a[:at] + b[at:]
-    out = mix[-1]
-    for d in reversed(mix[:-1]):
-        out = d + _grow(out, d.shape)
-    return out
-
-
-def laplacian_fusion(rasters: DataFrame, by: str, fine: str, coarse: str, levels: int = 4, cutoff: int = 2) -> DataFrame:
-    """(by, v, u, value) for each raster of ``rasters(by, v, u, fine, coarse)``; a raster is one group."""
-    kind = rasters.schema[by].dataType.simpleString()
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return _long(fuse(_square(pdf, fine), _square(pdf, coarse), levels, cutoff), **{by: pdf[by].iloc[0]})
-
-    return rasters.groupBy(by).applyInPandas(run, f"{by} {kind}, v int, u int, value double")
-
-
-def poisson_fill(rasters: DataFrame, by: str, value: str, known: str, rounds: int = 500, tolerance: float = 1e-8) -> DataFrame:
-    """Unknown cells by Laplace's equation with the known ones fixed, conjugate gradients, results not below zero."""
-    kind = rasters.schema[by].dataType.simpleString()
-
-    def laplacian(x: np.ndarray) -> np.ndarray:
-        p = np.pad(x, 1, mode="edge")
-        return 4 * x - p[:-2, 1:-1] - p[2:, 1:-1] - p[1:-1, :-2] - p[1:-1, 2:]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        fixed = np.nan_to_num(_square(pdf, known)) > 0
-        x = np.where(fixed, np.nan_to_num(_square(pdf, value)), 0.0)
-        r = np.where(fixed, 0.0, -laplacian(x))
-        p, rr = r.copy(), float((r * r).sum())
-        for _ in range(rounds):
-            if rr < tolerance:
-                break
-            ap = np.where(fixed, 0.0, laplacian(p))
-            step = rr / max(float((p * ap).sum()), 1e-300)
-            x, r = x + step * p, r - step * ap
-            rr, old = float((r * r).sum()), rr
-            p = r + rr / old * p
-        return _long(np.maximum(x, 0), **{by: pdf[by].iloc[0]})
-
-    return rasters.groupBy(by).applyInPandas(run, f"{by} {kind}, v int, u int, value double")

@@ -580,19 +580,3 @@ def ud10(spark, sf):
     d = d.withColumn("b", F.col("m_p") - F.col("a") * F.col("m_g"))
     d = stencils.box_means(d, {c: f"n_{c}" for c in ("a", "b")}, 4)
     return rounded(d.select("v", "u", (F.col("n_a") * F.col("g") + F.col("n_b")).alias("depth")), 5)
-
-
-@query("ud11_laplacian_fusion")
-def ud11(spark, sf):
-    from skyloom.operators.numeric import laplacian_fusion
-
-    d = raster(spark, sf).select(F.lit(0).alias("raster_id"), "v", "u", "depth", F.greatest(F.col("depth"), F.lit(10.0)).alias("coarse"))
-    return laplacian_fusion(d, "raster_id", "depth", "coarse")
-
-
-@query("ud12_poisson_fill")
-def ud12(spark, sf):
-    from skyloom.operators.numeric import poisson_fill
-
-    d = raster(spark, sf).select(F.lit(0).alias("raster_id"), "v", "u", "depth", (F.col("depth") > 10).cast("int").alias("known"))
-    return poisson_fill(d, "raster_id", "depth", "known")

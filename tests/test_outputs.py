@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyloom.functions import text as T
-from skyloom.operators import cameras, numeric, splats as S
+from skyloom.operators import cameras, poisson, pyramids, splats as S
 from skyloom.sources import images, outputs, ply
 from tests.test_splats import some  # noqa: F401  a fixture
 
@@ -120,14 +120,14 @@ def test_solvers_equal_plain_numpy(spark):
     r = np.random.default_rng(2)
     a, known = r.uniform(1, 5, (8, 9)), r.uniform(size=(8, 9)) < 0.5
     d = spark.createDataFrame([(0, v, u, float(a[v, u]), int(known[v, u]), float(a[v, u] + 1)) for v in range(8) for u in range(9)], "id int, v int, u int, x double, k int, y double")
-    got = numeric.poisson_fill(d, "id", "x", "k").toPandas().pivot(index="v", columns="u", values="value").to_numpy()
+    got = poisson.fill(d, "id", "x", "k").toPandas().pivot(index="v", columns="u", values="value").to_numpy()
     want = np.where(known, a, 0.0)  # Gauss-Seidel on the same equations
     for _ in range(4000):
         p = np.pad(want, 1, mode="edge")
         mean = (p[:-2, 1:-1] + p[2:, 1:-1] + p[1:-1, :-2] + p[1:-1, 2:]) / 4
         want = np.where(known, a, mean)
-    assert np.allclose(got, want, atol=1e-3)
-    fused = numeric.laplacian_fusion(d, "id", "x", "y", 2, 1).toPandas().pivot(index="v", columns="u", values="value").to_numpy()
+    assert np.allclose(got, want, atol=1e-6)
+    fused = pyramids.laplacian_fusion(d, "id", "x", "y", 2, 1).toPandas().pivot(index="v", columns="u", values="value").to_numpy()
     assert np.allclose(fused, a + 1)  # details of x on the level of y = x + 1
 
 

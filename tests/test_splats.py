@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skyloom.functions import encoding as E
 from skyloom.functions import geometry as G
 from skyloom.functions import text as T
-from skyloom.operators import generators, numeric, rasters, robust, splats as S, stencils, views
+from skyloom.operators import generators, numeric, poisson, rasters, robust, splats as S, stencils, views
 from skyloom.sources import ply
 from skyloom.streaming import jobs as J
 
@@ -148,8 +148,8 @@ def test_focal_and_look_at(spark):
 
 def test_poisson_fill_is_harmonic(spark):
     d = pd.DataFrame([(0, v, u, float(u), 0 if 2 <= u <= 6 and 2 <= v <= 6 else 1) for v in range(9) for u in range(9)], columns=["k", "v", "u", "x", "known"])
-    out = numeric.poisson_fill(spark.createDataFrame(d), "k", "x", "known").toPandas()
-    assert np.allclose(out["value"], out["u"], atol=1e-3)
+    out = poisson.fill(spark.createDataFrame(d), "k", "x", "known").toPandas()
+    assert np.allclose(out["value"], out["u"], atol=1e-6)
 
 
 def test_progress_stream(spark, tmp_path):
