@@ -39,7 +39,10 @@ def _conjugate(matvec, b: np.ndarray, x: np.ndarray, scale: np.ndarray, rounds:
         if rz <= 0 or np.abs(r).max() <= least:
             break
         q = matvec(p)
-        step = rz / max(float((p * q).sum()), 1e-300)
+        bend = float((p * q).sum())
+        if not bend > 1e-14 * float((p * p).sum()):  # constant over a region that nothing holds
+            break
+        step = rz / bend
         x, r = x + step * p, r - step * q
         z = r * scale
         rz, old = float((r * z).sum()), rz
@@ -161,47 +164,51 @@ def solve(cells: DataFrame, by: str = "raster_id", rhs: str = "rhs", fixed: str
     array = lambda data, kind=np.float64: np.frombuffer(data, kind).reshape(t.side, t.side).copy()
     state = cut(dealt.groupBy(*key).applyInPandas(pack, static))
 
+    columns = [*key, "x", "rhs", "there", "free", "matrix"]
+    none = [F.lit(None).cast(k).alias(c) for c, k in (("dy", "int"), ("dx", "int"), ("part", "binary"))]
+    empty = [F.lit(None).cast("binary").alias(c) for c in columns[3:]]
+
     def strips(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = [(r[by], r["ty"] + dy, r["tx"] + dx, dy, dx, s.tobytes()) for r in pdf.to_dict("records") for dy, dx, s in t.strips(array(r["x"]))]
-            yield pd.DataFrame(out, columns=[*key, "dy", "dx", "strip"])
+            yield pd.DataFrame(out, columns=[*key, "dy", "dx", "part"])
 
-    def meet(own: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf[pdf["part"].isna()]
+        out = own[columns]
         if own.empty:  # a place beyond the raster
-            return own.assign(most=[], sums=[])
+            return out.assign(most=[], sums=[])
         r = own.iloc[0]
         x, there, free = array(r["x"]), array(r["there"], bool), array(r["free"], bool)
-        for dy, dx, s in zip(sent["dy"], sent["dx"], sent["strip"], strict=True):
-            shape = tuple(rim if d else block for d in (dy, dx))
-            t.place(x, dy, dx, np.frombuffer(s).reshape(shape))
+        sent = pdf[pdf["part"].notna()]
+        for dy, dx, s in zip(sent["dy"].astype(int), sent["dx"].astype(int), sent["part"], strict=True):
+            t.place(x, dy, dx, np.frombuffer(s).reshape(tuple(rim if d else block for d in (dy, dx))))
         res = t.residual(x, there, free, array(r["rhs"]))
-        return own.assign(x=[x.tobytes()], most=np.abs(res).max(), sums=[t.coarse_sums(res, int(r["ty"]), int(r["tx"])).tobytes()])
+        return out.assign(x=[x.tobytes()], most=float(np.nan_to_num(np.abs(res), nan=np.inf).max()), sums=[t.coarse_sums(res, int(r["ty"]), int(r["tx"])).tobytes()])
 
     def coarse(pdf: pd.DataFrame) -> pd.DataFrame:
         value = _coarse_solve(pdf)
         four = lambda ty, tx: np.array([value.get((ty - 1 + i, tx - 1 + j), 0.0) for i in range(4) for j in range(4)]).tobytes()
-        return pdf[key].assign(nodes=[four(ty, tx) for ty, tx in zip(pdf["ty"], pdf["tx"], strict=True)])
+        return pdf[key].assign(part=[four(ty, tx) for ty, tx in zip(pdf["ty"], pdf["tx"], strict=True)])
 
-    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for r in pdf.to_dict("records"):
-                x, there, free, b = array(r["x"]), array(r["there"], bool), array(r["free"], bool), array(r["rhs"])
-                x += np.where(free, t.raised(np.frombuffer(r["nodes"]).reshape(4, 4), int(r["ty"]), int(r["tx"])), 0.0)
-                out.append(t.solved(x, there, free, b, least / 4).tobytes())
-            yield pdf.assign(x=out)[[*key, "x", "rhs", "there", "free", "matrix"]]
+    def step(pdf: pd.DataFrame) -> pd.DataFrame:
+        r, nodes = pdf[pdf["part"].isna()].iloc[0], np.frombuffer(pdf["part"].dropna().iloc[0]).reshape(4, 4)
+        x, there, free, b = array(r["x"]), array(r["there"], bool), array(r["free"], bool), array(r["rhs"])
+        x += np.where(free, t.raised(nodes, int(r["ty"]), int(r["tx"])), 0.0)
+        return pdf[pdf["part"].isna()][columns].assign(x=[t.solved(x, there, free, b, least / 4).tobytes()])
 
-    columns = [*key, "x", "rhs", "there", "free", "matrix"]
+    # Blocks and what is sent to them meet as one table grouped by block: sizes of joins in rounds would be estimated as
+    # products of products.
     for done in range(rounds + 1):
-        sent = state.mapInPandas(strips, f"{by} {kind}, ty long, tx long, dy int, dx int, strip binary")
-        met = cut(state.groupBy(*key).cogroup(sent.groupBy(*key)).applyInPandas(meet, f"{static}, most double, sums binary"))
+        sent = state.mapInPandas(strips, f"{by} {kind}, ty long, tx long, dy int, dx int, part binary").select(*key, *empty, "dy", "dx", "part")
+        met = cut(state.select(*columns, *none).union(sent).groupBy(*key).applyInPandas(meet, f"{static}, most double, sums binary"))
         most = met.agg(F.max("most")).first()[0]
         if most is None or most <= least:
             break
         if done == rounds:
             raise RuntimeError(f"a residual of {most} is left after {rounds} rounds; {least} is asked")
-        nodes = met.select(*key, "matrix", "sums").groupBy(by).applyInPandas(coarse, f"{by} {kind}, ty long, tx long, nodes binary")
-        state = met.select(*columns).join(nodes, key).mapInPandas(step, static)
+        nodes = met.select(*key, "matrix", "sums").groupBy(by).applyInPandas(coarse, f"{by} {kind}, ty long, tx long, part binary").select(*key, *empty, "part")
+        state = cut(met.select(*columns, none[2]).union(nodes).groupBy(*key).applyInPandas(step, static))
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
