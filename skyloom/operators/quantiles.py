@@ -1,47 +1,88 @@
-"""Exact percentiles in bounded memory."""
+"""Exact percentiles in bounded memory, by radix selection over the ordered bits of doubles."""
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from skyloom.session import cut
 
 #: Rows whose percentiles one aggregate finds at once: its buffer holds each distinct value.
 BOUND = 1_000_000
-#: Half the width, as a share of the rows, of the bands that larger tables are searched in, and the sketch's accuracy,
-#: whose error is a tenth of that.
-BAND, ACCURACY = 1e-3, 10_000
+#: Bits that a round decides: a task ranks 2^16 counts of one prefix at most.
+BITS = 16
+#: Prefixes that are sent to all tasks at most; more meet their rows by key.
+SENT = 10_000
+
+
+def _turned(bits: np.ndarray) -> np.ndarray:
+    """The bits of doubles as whole numbers in the order of the doubles, and back."""
+    return bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))
+
+
+@F.arrow_udf(T.LongType())
+def ordered_bits(v: pa.Array) -> pa.Array:
+    x = v.to_numpy(zero_copy_only=False) + 0.0  # one zero
+    return pa.array(_turned(np.where(np.isnan(x), np.nan, x).view(np.int64)), pa.int64())
+
+
+@F.arrow_udf(T.DoubleType())
+def from_bits(k: pa.Array) -> pa.Array:
+    return pa.array(_turned(k.to_numpy(zero_copy_only=False)).view(np.float64), pa.float64())
+
+
+def select_ranks(rows: DataFrame, targets: DataFrame, by: list[str]) -> DataFrame:
+    """(by, i, value): the value of rank ``rank`` (from 0) among each group's, for ``rows(by, k)`` and ``targets(by, i, rank)``.
+
+    Four rounds count the next sixteen bits behind the prefixes still sought, so ties cost a count and no task holds
+    more than the counts of one prefix. Prefixes that are few are broadcast, else they meet the rows by group and prefix.
+    """
+    upto = lambda shift: F.shiftright("k", shift) if shift < 64 else F.lit(0).cast("long")
+    sought = targets.select(*by, "i", "rank", F.lit(0).cast("long").alias("prefix"))
+    for shift in range(64 - BITS, -1, -BITS):
+        counted = rows.select(*by, upto(shift + BITS).alias("prefix"), upto(shift).alias("next"))
+        if shift + BITS < 64:
+            wanted = sought.select(*by, "prefix").distinct()
+            wanted = F.broadcast(wanted) if wanted.limit(SENT + 1).count() <= SENT else wanted
+            counted = counted.join(wanted, [*by, "prefix"], "left_semi")
+        hist = counted.groupBy(*by, "prefix", "next").agg(F.count("*").alias("c"))
+        below = F.sum("c").over(Window.partitionBy(*by, "prefix").orderBy("next")) - F.col("c")
+        met = sought.join(hist.withColumn("below", below), [*by, "prefix"])
+        met = met.where((F.col("below") <= F.col("rank")) & (F.col("rank") < F.col("below") + F.col("c")))
+        sought = cut(met.select(*by, "i", (F.col("rank") - F.col("below")).alias("rank"), F.col("next").alias("prefix")))
+    return sought.select(*by, "i", from_bits("prefix").alias("value"))
 
 
-def quantiles(df: DataFrame, value: str | Column, probs: list[float], by: tuple[str, ...] | list[str] = ()) -> DataFrame:
-    """(by, p, n): the percentiles of each group with linear interpolation, as an array, and its number of values.
+def quantiles(df: DataFrame, value: str | Column, probs: list[float], by: tuple[str, ...] | list[str] = (), discrete: bool = False) -> DataFrame:
+    """(by, p, n): the percentiles of each group as an array, and its number of values.
 
-    Nulls do not count; without values ``p`` is null and, but for no groups at all, there is no row. A table of at most
-    BOUND rows takes one aggregate. In a larger one a sketch gives a narrow band around each percentile; the rows below
-    are counted and only the distinct values inside are ranked, so no buffer grows with the table.
+    With linear interpolation, or if ``discrete`` the least value whose share of the rows reaches the probability. Nulls
+    do not count, NaN is the largest; without values ``p`` is null and, but for no groups at all, there is no row. A
+    table of at most BOUND rows takes one aggregate, a larger one radix selection. Groups must not be null there.
     """
-    v = F.col(value) if isinstance(value, str) else value
+    v, by = F.col(value) if isinstance(value, str) else value, list(by)
     rows = df.select(*by, v.cast("double").alias("_v")).where("_v is not null")
     if rows.limit(BOUND + 1).count() <= BOUND:
-        return rows.groupBy(*by).agg(F.percentile("_v", list(probs)).alias("p"), F.count("*").alias("n"))
-    ends = [x for p in probs for x in (max(p - BAND, 0.0), min(p + BAND, 1.0))]
-    sketch = rows.groupBy(*by).agg(F.percentile_approx("_v", ends, ACCURACY).alias("_e"), F.count("*").alias("n"))
-    # an end of the range is no limit
-    at = lambda k: F.lit(float("-inf") if k % 2 == 0 else float("inf")) if ends[k] in (0.0, 1.0) else F.col("_e")[k]
-    sketch = sketch.withColumn("_band", F.array(*[F.struct(F.lit(i).alias("i"), at(2 * i).alias("low"), at(2 * i + 1).alias("high"), (F.lit(float(p)) * (F.col("n") - 1)).alias("rank")) for i, p in enumerate(probs)])).drop("_e")
-    joined = rows.join(sketch, list(by)) if by else rows.join(F.broadcast(sketch))
-    below = joined.groupBy(*by).agg(*[F.sum((F.col("_v") < F.col("_band")[i]["low"]).cast("long")).alias(f"_b{i}") for i in range(len(probs))])
-    inside = joined.select(*by, "_v", "n", F.explode(F.filter("_band", lambda b: (F.col("_v") >= b["low"]) & (F.col("_v") <= b["high"]))).alias("b"))
-    values = inside.groupBy(*by, "n", "b.i", "b.rank", "_v").agg(F.count("*").alias("_c"))
-    values = values.join(below, list(by)) if by else values.join(F.broadcast(below))
-    start = F.element_at(F.array(*[F.col(f"_b{i}") for i in range(len(probs))]), F.col("i") + 1)
-    upto = start + F.sum("_c").over(Window.partitionBy(*by, "i").orderBy("_v"))
-    ranked = values.withColumns({"_to": upto, "_k": F.floor("rank")})
-    holds = lambda k: (F.col("_to") > k) & (F.col("_to") - F.col("_c") <= k)
-    picked = ranked.groupBy(*by, "n", "i", "rank").agg(F.max(F.when(holds(F.col("_k")), F.col("_v"))).alias("a"), F.max(F.when(holds(F.least(F.col("_k") + 1, F.col("n") - 1)), F.col("_v"))).alias("b"))
-    done = picked.withColumn("q", F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - F.floor("rank")))
-    return done.groupBy(*by, "n").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda x: x["q"]).alias("p")).select(*by, "p", "n")
+        disc = F.array(*[F.expr(f"percentile_disc({float(p)!r}) WITHIN GROUP (ORDER BY _v)") for p in probs])
+        out = rows.groupBy(*by).agg(disc.alias("p") if discrete else F.percentile("_v", list(probs)).alias("p"), F.count("*").alias("n"))
+        return out.withColumn("p", F.when(F.col("n") > 0, F.col("p")))
+    rows = cut(rows.select(*by, ordered_bits("_v").alias("k")))
+    sizes = cut(rows.groupBy(*by).agg(F.count("*").alias("n")))
+    at = [F.greatest(F.ceil(F.lit(float(p)) * F.col("n")) - 1, F.lit(0)).cast("double") if discrete else F.lit(float(p)) * (F.col("n") - 1) for p in probs]
+    ranks = sizes.select(*by, "n", F.posexplode(F.array(*at)).alias("i", "at"))
+    ends = F.array(F.floor("at"), F.least(F.floor("at") + 1, F.col("n") - 1))
+    targets = ranks.select(*by, "i", F.posexplode(ends).alias("end", "rank")).select(*by, (F.col("i") * 2 + F.col("end")).alias("i"), "rank")
+    found = select_ranks(rows, targets, by).select(*by, F.floor(F.col("i") / 2).cast("int").alias("i"), (F.col("i") % 2).alias("end"), "value")
+    pairs = found.groupBy(*by, "i").agg(F.max(F.when(F.col("end") == 0, F.col("value"))).alias("a"), F.max(F.when(F.col("end") == 1, F.col("value"))).alias("b"))
+    part = F.col("at") - F.floor("at")
+    q = F.when(part > 0, F.col("a") * (1 - part) + F.col("b") * part).otherwise(F.col("a"))
+    done = ranks.join(pairs, [*by, "i"]).select(*by, "n", F.struct("i", q.alias("q")).alias("x"))
+    return done.groupBy(*by, "n").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["q"]).alias("p")).select(*by, "p", "n")
 
 
 def with_quantiles(df: DataFrame, value: str | Column, probs: list[float], by: tuple[str, ...] | list[str] = (), name: str = "p") -> DataFrame:

@@ -302,7 +302,7 @@ def ag5(spark, sf):
 @query("ag20_median_radius", sql_rounded((SPLATS_SQL + ", f AS (SELECT frame_idx, quantile_disc(sqrt(x*x+y*y+z*z), 0.5) AS m FROM splats GROUP BY 1)", "SELECT quantile_cont(m, 0.5) AS radius FROM f"), "", ["radius"]))
 def ag20(spark, sf):
     d = splats(spark, sf).select("frame_idx", G.norm(F.col("x"), F.col("y"), F.col("z")).alias("d"))
-    f = d.groupBy("frame_idx").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY d)").alias("m"))
+    f = quantiles(d, "d", [0.5], ["frame_idx"], discrete=True).select("frame_idx", F.col("p")[0].alias("m"))
     return rounded(quantiles(f, "m", [0.5]).select(F.col("p")[0].alias("radius")))
 
 

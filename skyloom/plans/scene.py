@@ -343,7 +343,7 @@ def pr7(spark, sf):
 @query("pr22_disparity_depth", sql_rounded((RASTER_SQL + ", d AS (SELECT v, u, 1/(abs(depth) + 1e-6) AS d FROM raster), m AS (SELECT quantile_disc(d, 0.5) AS m FROM d)", "SELECT v, u, d*5/m AS d FROM d, m"), "v, u", ["d"]))
 def pr22(spark, sf):
     d = raster(spark, sf).select("v", "u", (1.0 / (F.abs("depth") + 1e-6)).alias("d"))
-    lower = d.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY d)")).scalar()
+    lower = quantiles(d, "d", [0.5], discrete=True).select(F.col("p")[0]).scalar()
     return rounded(d.select("v", "u", (F.col("d") * 5.0 / lower).alias("d")))
 
 
