@@ -1,4 +1,4 @@
-"""Queries of pyramids, Poisson's equation and other work in rounds, over the orders raster cut to bands."""
+"""Queries of pyramids and Poisson's equation over the orders raster cut to bands, and of streams with state."""
 
 from __future__ import annotations
 
@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from skyloom.operators import poisson, pyramids
 from skyloom.operators.stencils import along, gaussian_weights
-from skyloom.plans.tables import RASTER_SQL, query, raster, rounded
+from skyloom.plans.tables import JOBS_SQL, RASTER_SQL, query, raster, rounded
+from skyloom.session import shared_folder
+from skyloom.streaming import state
 
 #: Rows of the rasters that the orders raster is cut to.
 BAND = 40
@@ -80,3 +82,18 @@ def ud12_blend(spark, sf):
     d = d.withColumn("rhs", F.when(inside, 4 * F.col("depth") - sum(around, F.lit(0.0))))
     d = d.withColumn("border", F.when(F.col("rhs").isNull(), F.col("depth"))).drop("depth")
     return rounded(poisson.bordered(d, "raster_id", "rhs", "border", block=32, rim=12, tolerance=1e-12))
+
+
+@query("sr2_expired_stream", f"WITH {JOBS_SQL}, n AS (SELECT MAX(last_updated) AS now FROM jobs) SELECT job_id, status FROM jobs, n WHERE status IN ('complete', 'error') AND epoch_us(now) - epoch_us(last_updated) > 7200000000")
+def sr2(spark, sf):
+    """The events as a stream of job updates; timers give out the finished jobs that have been still for two hours."""
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    state.use_state_store(spark)
+    try:
+        found = spark.readStream.schema("event_id long, ts timestamp, event_type string").parquet(f"{sf}/events*.parquet")
+        status = F.when(F.col("event_type") == "purchase", "complete").when(F.col("event_type") == "error", "error").when(F.col("event_type") == "click", "queued").otherwise("processing")
+        updates = found.select(F.col("event_id").alias("job_id"), status.alias("status"), F.col("ts").alias("last_updated"))
+        folder = shared_folder(spark, "expired")
+        return state.run_to_end(state.expired_stream(updates), f"{folder}/out", f"{folder}/state").select("job_id", "status")
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
