@@ -111,12 +111,18 @@ def weighted_scatter(points: DataFrame, keys: list[str], value: str, weight: str
     return points.groupBy(*keys).agg((F.sum(F.col(weight) * F.col(value)) / F.nullif(total, F.lit(0.0))).alias("value"), F.count("*").alias("samples"))
 
 
-def unproject(df: DataFrame, width: Column, height: Column, z: str, least: float = 0.01) -> DataFrame:
-    """Points of z-depths along camera rays through pixel corners: ray * z / ray_z, where z exceeds ``least``."""
+def unproject(df: DataFrame, width: Column, height: Column, z: str, least: float = 0.01, pose: list[list[Column]] | None = None) -> DataFrame:
+    """Points of z-depths along camera rays through pixel corners: ray * (z / ray_z), where z exceeds ``least``.
+
+    ``pose`` has the three rows (rotation, translation) that take the camera to the world; without it they stay there.
+    """
     lon, lat = G.lonlat(F.col("u"), F.col("v"), width, height)
     ray = G.lonlat_ray(lon, lat)
     k = F.col(z) / (ray[2] + 1e-8)
-    return df.where(F.col(z) > least).withColumns({"x": ray[0] * k, "y": ray[1] * k, "z": ray[2] * k})
+    points = df.where(F.col(z) > least).withColumns({"x": ray[0] * k, "y": ray[1] * k, "z": ray[2] * k})
+    if pose is None:
+        return points
+    return points.withColumns({a: row[0] * F.col("x") + row[1] * F.col("y") + row[2] * F.col("z") + row[3] for a, row in zip("xyz", pose, strict=True)})
 
 
 def perspective_rays(size: int, fov_deg: float, yaw_deg: Column, pitch_deg: Column, i: Column, j: Column) -> G.Vec:

@@ -89,12 +89,21 @@ def integral(df: DataFrame, value: str, out: str, by: tuple[str, ...] = ()) -> D
     return df.withColumn("_line", F.sum(value).over(run("u"))).withColumn(out, F.sum("_line").over(run("v"))).drop("_line")
 
 
-def neighbourhood(cells: DataFrame, raster: DataFrame, value: str, radius: int, agg: Column, keys: list[str]) -> DataFrame:
-    """``agg`` over the values of the square around each of ``cells``, clipped at the border."""
-    d = F.sequence(F.lit(-radius), F.lit(radius))
-    asked = cells.select(*keys, "v", "u", F.explode(d).alias("_dv")).select("*", F.explode(d).alias("_du"))
-    asked = asked.select(*keys, (F.col("v") + F.col("_dv")).alias("v"), (F.col("u") + F.col("_du")).alias("u"))
-    return asked.join(raster.select("v", "u", F.col(value).alias("_value")), ["v", "u"]).groupBy(*keys).agg(agg)
+def median(df: DataFrame, value: str, out: str, radius: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with the median over the square around each cell, of the cells that are there; null values do not count.
+
+    Values go to the 2 radius + 1 columns around theirs, where a column's windows gather and sort what lies in them: one
+    shuffle by cell and one by column, no pairs. Rows that share a cell all count and all come out.
+    """
+    key = [*by, "v", "u"]
+    cells = df.groupBy(*key).agg(F.collect_list(value).alias("_values"), F.collect_list(F.struct(*[c for c in df.columns if c not in key])).alias("_rows"))
+    none = F.array().cast(cells.schema["_rows"].dataType)
+    spread = cells.select("*", F.explode(F.sequence(F.lit(-radius), F.lit(radius))).alias("_d"))
+    lines = spread.groupBy(*by, "v", (F.col("u") + F.col("_d")).alias("u")).agg(F.flatten(F.collect_list("_values")).alias("_line"), F.flatten(F.collect_list(F.when(F.col("_d") == 0, F.col("_rows")).otherwise(none))).alias("_rows"))
+    box = lines.withColumn("_box", F.array_sort(F.flatten(F.collect_list("_line").over(along("v", by).rangeBetween(-radius, radius)))))
+    n = F.size("_box")
+    middle = F.when(n > 0, (F.col("_box")[F.floor((n - 1) / 2).cast("int")] + F.col("_box")[F.floor(n / 2).cast("int")]) / 2)
+    return box.select(*key, F.explode("_rows").alias("_row"), middle.alias(out)).select(*[c if c in key else F.col(f"_row.{c}").alias(c) for c in df.columns], out)
 
 
 def bilinear(points: DataFrame, raster: DataFrame, value: str, out: str, width: int | Column, height: int | Column, keys: list[str]) -> DataFrame:

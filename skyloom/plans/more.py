@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skyloom.functions import geometry as G
-from skyloom.operators import generators, models, nearness, robust, spatial, stencils, views
+from skyloom.operators import generators, models, nearness, patches, robust, spatial, stencils, views
 from skyloom.operators.quantiles import quantiles
 from skyloom.plans.refine import GAPS_SQL, SHARES_SQL, SQUARE, shares
 from skyloom.plans.tables import FRAMES_SQL, MASKS_SQL, RASTER_SQL, SPLATS_SQL, frames, masks, query, raster, rounded, splats, sql_rounded
@@ -42,6 +42,22 @@ def wn10(spark, sf):
     return generators.tiles(spark, 1536, 384, 0.25)
 
 
+_PATCHES_SQL = f"WITH {RASTER_SQL} SELECT v, u, round(depth, 6) AS depth, r::INTEGER AS row, c::INTEGER AS col, (v - r * 36)::INTEGER AS i, (u - c * 36)::INTEGER AS j FROM raster JOIN dims ON true JOIN range(1000) a(r) ON v >= r * 36 AND v < r * 36 + 48 AND r <= greatest(ceil((h - 48) / 36), 0) JOIN range(1000) b(c) ON u >= c * 36 AND u < c * 36 + 48 AND c <= greatest(ceil((w - 48) / 36), 0)"
+
+
+@query("wn10_split_patches", _PATCHES_SQL)
+def wn10_split(spark, sf):
+    """Patches of 48 cells that share a quarter with the next."""
+    return rounded(patches.split(raster(spark, sf).select("v", "u", "depth"), 48)).select("v", "u", "depth", "row", "col", "i", "j")
+
+
+@query("wn10_merge_patches", f"WITH {RASTER_SQL} SELECT v, u, round(depth, 6) AS depth FROM raster")
+def wn10_merge(spark, sf):
+    """The patches less half of what they share, side by side: the raster again."""
+    cut = patches.split(raster(spark, sf).select("v", "u", "depth"), 48).drop("v", "u")
+    return rounded(patches.merge(cut, 48, 6).select("v", "u", "depth"))
+
+
 @query("wn8_cumulative_steps", "SELECT l_orderkey, l_linenumber, round(SUM(s) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber), 6) + 0.0 AS travelled FROM (SELECT l_orderkey, l_linenumber, SUM(l_quantity) AS s FROM lineitem GROUP BY 1, 2)")
 def wn8(spark, sf):
     from pyspark.sql import Window
@@ -150,10 +166,12 @@ def sf24(spark, sf):
     return spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.concat_ws(",", a).alias("part"))
 
 
-@query("sf28_logging_stretch", sql_rounded((RASTER_SQL + ", p AS (SELECT MIN(depth) AS a, MAX(depth) AS b FROM raster)", "SELECT v, u, (depth-a)/(b-a) AS share FROM raster, p"), "v, u", ["share"]))
+@query("sf28_logging_stretch", f"WITH {RASTER_SQL}, m AS (SELECT a.v, a.u, median(b.depth) AS m FROM raster a JOIN raster b ON b.v BETWEEN a.v - 1 AND a.v + 1 AND b.u BETWEEN a.u - 1 AND a.u + 1 GROUP BY 1, 2), p AS (SELECT MIN(m) AS a, MAX(m) AS b FROM m) SELECT v, u, round((m - a) / (b - a + 1e-8), 6) + 0.0 AS share FROM m, p")
 def sf28(spark, sf):
-    d = raster(spark, sf).withColumn("one", F.lit(1))
-    return rounded(robust.minmax(d, "depth", ["one"], "share").select("v", "u", "share"))
+    """The preview's share of the range, after a 3 x 3 median that is clipped at the border."""
+    d = stencils.median(raster(spark, sf), "depth", "m", 1)
+    ends = d.agg(F.min("m").alias("a"), F.max("m").alias("b"))
+    return rounded(d.join(F.broadcast(ends)).select("v", "u", ((F.col("m") - F.col("a")) / (F.col("b") - F.col("a") + 1e-8)).alias("share")))
 
 
 @query("sf27_job_age", "SELECT event_id, epoch_us((SELECT MAX(ts) FROM events)) - epoch_us(ts) AS age_us FROM events")

@@ -143,12 +143,8 @@ holes AS (SELECT f.*, CASE WHEN alpha < 0.3 THEN 'alpha' WHEN alpha < 0.9 AND ra
 
 def hole_candidates(spark: SparkSession, sf: str) -> DataFrame:
     f = frames(spark, sf)
-    d = F.sequence(F.lit(-2), F.lit(2))
-    asked = f.select("frame_idx", "v", "u", F.explode(d).alias("dv")).select("*", F.explode(d).alias("du"))
-    asked = asked.select("frame_idx", F.col("v").alias("cv"), F.col("u").alias("cu"), (F.col("v") + F.col("dv")).alias("v"), (F.col("u") + F.col("du")).alias("u"))
-    near = asked.join(f.select("frame_idx", "v", "u", "rendered"), ["frame_idx", "v", "u"]).groupBy("frame_idx", F.col("cv").alias("v"), F.col("cu").alias("u")).agg(F.percentile("rendered", 0.5).alias("scale"))
-    mode = rasters.hole_mode(F.col("alpha"), F.col("raw"), F.col("rendered"), F.col("scale"))
-    return f.join(near, ["frame_idx", "v", "u"]).withColumn("hole_mode", mode)
+    near = stencils.median(f, "rendered", "scale", 2, ("frame_idx",))
+    return near.withColumn("hole_mode", rasters.hole_mode(F.col("alpha"), F.col("raw"), F.col("rendered"), F.col("scale")))
 
 
 @query("fl13_hole_filter", f"WITH {HOLES_SQL} SELECT frame_idx, v, u, hole_mode FROM holes WHERE hole_mode IS NOT NULL")
@@ -164,8 +160,7 @@ def ag29(spark, sf):
 
 @query("jn8_median_patch", sql_rounded((RASTER_SQL, "SELECT a.v, a.u, median(b.depth) AS m FROM raster a JOIN raster b ON b.v BETWEEN a.v-2 AND a.v+2 AND b.u BETWEEN a.u-2 AND a.u+2 GROUP BY 1, 2"), "v, u", ["m"], 9))
 def jn8(spark, sf):
-    r = raster(spark, sf).withColumns({"cv": F.col("v"), "cu": F.col("u")})
-    return rounded(stencils.neighbourhood(r, r, "depth", 2, F.percentile("_value", 0.5).alias("m"), ["cv", "cu"]).select(F.col("cv").alias("v"), F.col("cu").alias("u"), "m"), 9)
+    return rounded(stencils.median(raster(spark, sf), "depth", "m", 2).select("v", "u", "m"), 9)
 
 
 @query("jn3_radius_join", f"WITH {SPLATS_SQL} SELECT a.splat_id AS lid, b.splat_id AS rid, round(sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2), 6) + 0.0 AS dist FROM splats a JOIN splats b ON sqrt((a.x-b.x)**2 + (a.y-b.y)**2 + (a.z-b.z)**2) <= 0.06")

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyloom.functions import encoding as E
 from skyloom.functions import geometry as G
 from skyloom.functions import rotations as R
-from skyloom.operators import generators, splats as S
+from skyloom.operators import generators, randoms, splats as S
 from skyloom.operators.quantiles import quantiles
 from skyloom.plans.tables import FRAMES_SQL, RASTER_SQL, SPLATS_SQL, WIDTH, frames, height, query, raster, rounded, splats, sql_rounded, width
 from skyloom.session import shared_folder
@@ -129,10 +130,26 @@ def fl1(spark, sf):
     return raster(spark, sf).select("v", "u", S.is_sky(F.col("depth"), F.lit(100.0), 0.3).alias("sky"))
 
 
-@query("fl3_pole_thinning", f"WITH {RASTER_SQL} SELECT v, u, {UNIFORM_SQL} < least(greatest(sin(v/h*pi()), 0.3), 1.0) AS keep FROM raster, dims")
+def _draw_sql(seed: int, bits: int) -> str:
+    """The generator's doubles at places k, in 128-bit steps of two halves: a jump for each bit of the place."""
+    half = 2**64
+    start = np.random.PCG64(seed).state["state"]["state"]
+    out = [f"s0 AS (SELECT v, u, v::BIGINT * {WIDTH} + u + 1 AS k, {start // half}::UHUGEINT AS hi, {start % half}::UHUGEINT AS lo FROM raster)"]
+    for i, (a, c) in enumerate(randoms.jump_sql(seed, bits)):
+        ah, al, ch, cl = a // half, a % half, c // half, c % half
+        low, carry = f"((lo * {al}::UHUGEINT) % {half}::UHUGEINT + {cl}::UHUGEINT)", f"((lo * {al}::UHUGEINT) // {half}::UHUGEINT)"
+        high = f"((hi * {al}::UHUGEINT) % {half}::UHUGEINT + (lo * {ah}::UHUGEINT) % {half}::UHUGEINT + {carry} + {ch}::UHUGEINT + {low} // {half}::UHUGEINT) % {half}::UHUGEINT"
+        out.append(f"s{i + 1} AS (SELECT v, u, k, CASE WHEN (k >> {i}) & 1 = 1 THEN {high} ELSE hi END AS hi, CASE WHEN (k >> {i}) & 1 = 1 THEN {low} % {half}::UHUGEINT ELSE lo END AS lo FROM s{i})")
+    turn = "power(2::DOUBLE, (hi >> 58)::INTEGER)::UHUGEINT"
+    out.append(f"x AS (SELECT v, u, xor(hi, lo) AS x, {turn} AS t FROM s{bits}), o AS (SELECT v, u, x // t + (x % t) * ({half}::UHUGEINT // t) AS o FROM x), draws AS (SELECT v, u, (o // 2048)::DOUBLE / {2**53}::DOUBLE AS draw FROM o)")
+    return ",\n".join(out)
+
+
+@query("fl3_pole_thinning", f"WITH {RASTER_SQL}, {_draw_sql(42, 21)} SELECT v, u, draw < least(greatest(sin(v/h*pi()), 0.3), 1.0) AS keep FROM draws, dims")
 def fl3(spark, sf):
+    """The seeded mask over the raster, row by row; its SQL makes the generator's steps itself."""
     r = raster(spark, sf)
-    return r.select("v", "u", (S.uniform(F.col("v"), F.col("u")) < S.pole_density(F.col("v"), height(r))).alias("keep"))
+    return r.select("v", "u", (randoms.seeded_uniform(F.col("v"), F.col("u"), WIDTH) < S.pole_density(F.col("v"), height(r))).alias("keep"))
 
 
 @query("fl4_row_stride", f"WITH {RASTER_SQL}, r AS (SELECT DISTINCT v, h FROM raster, dims) SELECT v, least(greatest(round_even(2/least(greatest(sin((v+0.5)/h*pi()), 0.25), 1.0), 0), 2), 8)::INTEGER AS stride FROM r")
@@ -381,15 +398,24 @@ def pr21(spark, sf):
     return rounded(splats(spark, sf).select("splat_id", u.alias("pu"), v.alias("pv")))
 
 
-@query("pr4_unproject", sql_rounded((FRAMES_SQL + ", a AS (SELECT frame_idx, v, u, raw, (u/w - 0.5)*2*pi() AS lo, (0.5 - v/h)*pi() AS la FROM frames, dims WHERE raw > 0.01), r AS (SELECT *, cos(la)*sin(lo) AS rx, sin(la) AS ry, cos(la)*cos(lo) AS rz FROM a WHERE cos(lo) > 0.2)", "SELECT frame_idx, v, u, rx*raw/(rz+1e-8) AS x, ry*raw/(rz+1e-8) AS y, rz*raw/(rz+1e-8) AS z FROM r"), "frame_idx, v, u", ["x", "y", "z"], 4))
+_FAR = "round({c}, CASE WHEN abs({c}) < 1e5 THEN 4 ELSE 0 END) + 0.0 AS {c}"  # at a quarter turn points lie 1e8 times as far
+
+
+@query("pr4_unproject", f"""WITH {FRAMES_SQL}, a AS (SELECT frame_idx, v, u, raw, (u/w - 0.5)*2*pi() AS lo, (0.5 - v/h)*pi() AS la FROM frames, dims WHERE raw > 0.01),
+r AS (SELECT *, cos(la)*sin(lo) AS rx, sin(la) AS ry, cos(la)*cos(lo) AS rz FROM a), c AS (SELECT frame_idx, v, u, rx*(raw/(rz+1e-8)) AS cx, ry*(raw/(rz+1e-8)) AS cy, rz*(raw/(rz+1e-8)) AS cz FROM r),
+p AS (SELECT frame_idx, v, u, 0.96*cx + 0.28*cz + 0.02*frame_idx AS x, cy - 1.5 AS y, 0.96*cz - 0.28*cx + 0.5 AS z FROM c)
+SELECT frame_idx, v, u, {', '.join(_FAR.format(c=c) for c in 'xyz')} FROM p""")
 def pr4(spark, sf):
+    """Every valid cell of every frame as a point of the world, under the pose of its frame."""
     from skyloom.operators.rasters import unproject
     from skyloom.plans.tables import raster as base
 
     h = height(base(spark, sf))
-    lon, _ = G.lonlat(F.col("u"), F.col("v"), width(), h)
-    f = frames(spark, sf).where(F.cos(lon) > 0.2)
-    return rounded(unproject(f, width(), h, "raw").select("frame_idx", "v", "u", "x", "y", "z"), 4)
+    one, zero = F.lit(1.0), F.lit(0.0)
+    pose = [[F.lit(0.96), zero, F.lit(0.28), 0.02 * F.col("frame_idx")], [zero, one, zero, F.lit(-1.5)], [F.lit(-0.28), zero, F.lit(0.96), F.lit(0.5)]]
+    p = unproject(frames(spark, sf), width(), h, "raw", pose=pose)
+    near = lambda c: F.when(F.abs(c) < 1e5, F.round(c, 4)).otherwise(F.round(c, 0)) + 0.0
+    return p.select("frame_idx", "v", "u", *[near(F.col(c)).alias(c) for c in "xyz"])
 
 
 @query("flagship_panorama_to_splats", f"""WITH {SPLAT_GRID_SQL}, splats AS (SELECT (v::BIGINT*{WIDTH} + u)::BIGINT AS splat_id, depth*sin(phi)*cos(theta) AS x, depth*cos(phi) AS y, -depth*sin(phi)*sin(theta) AS z FROM kang),
