@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from skyloom.functions import geometry as G
 from skyloom.operators import rasters as R
 from skyloom.operators import stencils as S
+from skyloom.session import cut
 
 #: Yaw and pitch of the faces of a cube, in the numbering of ``geometry.cube_face``.
 CUBE = ((0.0, 0.0), (90.0, 0.0), (180.0, 0.0), (270.0, 0.0), (0.0, 90.0), (0.0, -90.0))
@@ -136,19 +137,27 @@ def from_cube(faces: DataFrame, cells: DataFrame, value: str, size: int, width:
     return corners.join(faces.select("face", "row", "col", F.col(value).alias("_value")), ["face", "row", "col"]).groupBy("v", "u").agg(F.sum(F.col("k") * F.col("_value")).alias(value))
 
 
+def axes(planes: DataFrame, key: str = "face") -> DataFrame:
+    """(key, f, r, a): unit axes ahead, right and above of each plane, made once for each and not for each ray."""
+    ahead = planes.select(key, F.struct(*[c.alias(n) for c, n in zip(G.unit(tuple(F.col(f"f{a}") for a in "xyz")), "xyz", strict=True)]).alias("f"), *[f"u{a}" for a in "xyz"])
+    f = tuple(F.col(f"f.{a}") for a in "xyz")
+    right = ahead.select(key, "f", F.struct(*[c.alias(n) for c, n in zip(G.unit(G.cross(tuple(F.col(f"u{a}") for a in "xyz"), f)), "xyz", strict=True)]).alias("r"))
+    above = G.cross(tuple(F.col(f"r.{a}") for a in "xyz"), f)
+    return right.select(key, "f", "r", F.struct(*[c.alias(n) for c, n in zip(above, "xyz", strict=True)]).alias("a"))
+
+
 def tangent_faces(planes: DataFrame, raster: DataFrame, value: str, size: int, fov_deg: float, width: int, height: Column, key: str = "face") -> DataFrame:
     """(key, row, col, value) on planes that touch the sphere at ``planes(key, fx..fz, ux..uz)``: gnomonic, corner to corner.
 
     The grid's convention holds: azimuth from +x towards -z, columns clamped at the seam, as a border-padded sampler does.
     """
-    ahead = G.unit(tuple(F.col(f"f{a}") for a in "xyz"))
-    right = G.unit(G.cross(tuple(F.col(f"u{a}") for a in "xyz"), ahead))
-    up = G.cross(right, ahead)
     reach = math.tan(math.radians(fov_deg) / 2)
     d = F.sequence(F.lit(0), F.lit(size - 1))
-    px = planes.select("*", F.explode(d).alias("row")).select("*", F.explode(d).alias("col"))
+    px = cut(axes(planes, key)).select("*", F.explode(d).alias("row")).select("*", F.explode(d).alias("col"))
     at = lambda c: -reach + F.col(c) * (2 * reach / max(size - 1, 1))
-    x, y, z = G.unit(tuple(ahead[k] + at("col") * right[k] + at("row") * up[k] for k in range(3)))
+    px = px.select(key, "row", "col", *[(F.col(f"f.{c}") + at("col") * F.col(f"r.{c}") + at("row") * F.col(f"a.{c}")).alias(f"_{c}") for c in "xyz"])
+    x, y, z = (F.col(f"_{c}") for c in "xyz")
+    y = y / G.norm(x, y, z)
     theta = F.pmod(F.atan2(-z, x), F.lit(2 * math.pi))
     pu = (1.0 - theta / math.pi + 1) / 2 * (width - 1)
     pv = F.acos(G.clamp(y, -1.0, 1.0)) / math.pi * (height - 1)
@@ -170,7 +179,11 @@ def face_weight(ray: G.Vec, ahead: G.Vec, up: G.Vec, fov_deg: float, overlap: fl
     that falls from the face proper to the end of its overlap; 0 behind and outside."""
     forward = G.unit(ahead)
     right = G.unit(G.cross(up, forward))
-    above = G.cross(right, forward)
+    return axes_weight(ray, forward, right, G.cross(right, forward), fov_deg, overlap)
+
+
+def axes_weight(ray: G.Vec, forward: G.Vec, right: G.Vec, above: G.Vec, fov_deg: float, overlap: float = 0.25) -> tuple[Column, Column, Column]:
+    """``face_weight`` by the unit axes of a face."""
     along = G.dot(ray, forward)
     reach, fov = math.tan(math.radians(fov_deg) / 2), math.radians(fov_deg)
     a, b = (G.dot(ray, side) / F.greatest(along, F.lit(0.1)) / reach for side in (right, above))

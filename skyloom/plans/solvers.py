@@ -1,12 +1,15 @@
-"""Queries of pyramids and Poisson's equation over the orders raster cut to bands, and of streams with state."""
+"""Queries of pyramids and Poisson's equation over the orders raster cut to bands, of faces and back, and of streams with state."""
 
 from __future__ import annotations
 
+import itertools
+import math
+
 from pyspark.sql import functions as F
 
-from skyloom.operators import poisson, pyramids
+from skyloom.operators import poisson, projection, pyramids
 from skyloom.operators.stencils import along, gaussian_weights
-from skyloom.plans.tables import JOBS_SQL, RASTER_SQL, query, raster, rounded
+from skyloom.plans.tables import JOBS_SQL, RASTER_SQL, WIDTH, height, query, raster, rounded, width
 from skyloom.session import shared_folder
 from skyloom.streaming import state
 
@@ -84,6 +87,48 @@ def ud12_blend(spark, sf):
     return rounded(poisson.bordered(d, "raster_id", "rhs", "border", block=32, rim=12, tolerance=1e-12))
 
 
+def _icosahedron() -> list[tuple[float, ...]]:
+    """Unit middles of the triples of corners at edge distance, from low z, y, x to high."""
+    g = (1 + math.sqrt(5)) / 2
+    corners = [v for a in (-1, 1) for b in (-g, g) for v in ((0, a, b), (a, b, 0), (b, 0, a))]
+    triples = [t for t in itertools.combinations(corners, 3) if all(math.dist(p, q) < 2.1 for p, q in itertools.combinations(t, 2))]
+    middles = [tuple(sum(c) / math.hypot(*map(sum, zip(*t))) for c in zip(*t)) for t in triples]
+    return sorted(middles, key=lambda m: tuple(round(c, 6) + 0.0 for c in reversed(m)))
+
+
+def faces_sql(kind: str, size: int) -> str:
+    """The raster on each face, ``face_values``, and each cell's place and weight on each face that covers it, ``seen``."""
+    rows = [(k, *d, *u) for k, (d, u) in enumerate(projection.CUBE)] if kind == "cube" else [(k, *m, 0, 1, 0) for k, m in enumerate(_icosahedron())]
+    fov, overlap = math.radians(projection.field(kind)), projection.OVERLAP[kind]
+    inner, reach, last = 1 / (1 + overlap), math.tan(fov / 2), WIDTH - 1
+    return f"""{RASTER_SQL}, planes AS (SELECT face, fx::DOUBLE AS fx, fy::DOUBLE AS fy, fz::DOUBLE AS fz, ux::DOUBLE AS ux, uy::DOUBLE AS uy, uz::DOUBLE AS uz FROM (VALUES {', '.join(map(str, rows))}) t(face, fx, fy, fz, ux, uy, uz)),
+g1 AS (SELECT *, uy*fz - uz*fy AS ax, uz*fx - ux*fz AS ay, ux*fy - uy*fx AS az FROM planes), g2 AS (SELECT face, fx, fy, fz, ax/sqrt(ax*ax + ay*ay + az*az) AS ax, ay/sqrt(ax*ax + ay*ay + az*az) AS ay, az/sqrt(ax*ax + ay*ay + az*az) AS az FROM g1),
+g AS (SELECT *, ay*fz - az*fy AS bx, az*fx - ax*fz AS "by", ax*fy - ay*fx AS bz FROM g2),
+t AS (SELECT g.*, i::INTEGER AS "row", j::INTEGER AS col, {-reach!r} + j*{2 * reach / (size - 1)!r} AS p, {-reach!r} + i*{2 * reach / (size - 1)!r} AS q FROM g, range({size}) y(i), range({size}) x(j)),
+d AS (SELECT face, "row", col, fx + p*ax + q*bx AS x, fy + p*ay + q*"by" AS y, fz + p*az + q*bz AS z FROM t), n AS (SELECT face, "row", col, x/m AS x, y/m AS y, z/m AS z FROM (SELECT *, sqrt(x*x + y*y + z*z) AS m FROM d)),
+e AS (SELECT face, "row", col, (2 - (CASE WHEN atan2(-z, x) < 0 THEN atan2(-z, x) + 2*pi() ELSE atan2(-z, x) END)/pi())/2*{last} AS pu, acos(least(greatest(y, -1), 1))/pi()*(h - 1) AS pv, h FROM n, dims),
+k AS (SELECT face, "row", col, least(greatest(floor(pv) + b, 0), h - 1)::INTEGER AS v, ((floor(pu)::INTEGER + a) % {WIDTH} + {WIDTH}) % {WIDTH} AS u, (CASE a WHEN 1 THEN pu - floor(pu) ELSE 1 - pu + floor(pu) END)*(CASE b WHEN 1 THEN pv - floor(pv) ELSE 1 - pv + floor(pv) END) AS k FROM (SELECT face, "row", col, least(greatest(pu, 0), {last}) AS pu, pv, h FROM e), (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(a, b)),
+face_values AS (SELECT face, "row", col, SUM(k*depth) AS value FROM k JOIN raster USING (v, u) GROUP BY 1, 2, 3),
+rays AS (SELECT v, u, sin(v/(h - 1)*pi())*cos((1 - u/{last}.0)*2*pi()) AS x, cos(v/(h - 1)*pi()) AS y, -sin(v/(h - 1)*pi())*sin((1 - u/{last}.0)*2*pi()) AS z FROM raster, dims),
+s1 AS (SELECT face, v, u, x*fx + y*fy + z*fz AS d, x*ax + y*ay + z*az AS a, x*bx + y*"by" + z*bz AS b FROM rays, g), s2 AS (SELECT face, v, u, d, a/greatest(d, 0.1)/{reach!r} AS a, b/greatest(d, 0.1)/{reach!r} AS b FROM s1),
+seen AS (SELECT face, v, u, (a + 1)/2*{size - 1} AS pc, (b + 1)/2*{size - 1} AS pr, exp(-(acos(greatest(least(d, 1), -1))**2)/{fov * fov / 4!r})*cos(greatest(least((greatest(abs(a), abs(b)) - {inner!r})/{1 - inner!r}, 1), 0)*pi()/2)**2 AS w FROM s2 WHERE d > 0.1 AND abs(a) <= 1 AND abs(b) <= 1),
+c AS (SELECT face, v, u, w, floor(pc)::INTEGER + i AS col, floor(pr)::INTEGER + j AS "row", (CASE i WHEN 1 THEN pc - floor(pc) ELSE 1 - pc + floor(pc) END)*(CASE j WHEN 1 THEN pr - floor(pr) ELSE 1 - pr + floor(pr) END) AS k FROM seen, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) o(i, j) WHERE w > 0)"""
+
+
+def _reprojected(name: str, kind: str, size: int) -> None:
+    @query(name, f"WITH {faces_sql(kind, size)} SELECT c.v, c.u, round(SUM(w*k*coalesce(value, 0))/greatest(SUM(w*k), 1e-6), 4) + 0.0 AS depth, round(SUM(w*k), 4) + 0.0 AS weight FROM c LEFT JOIN face_values f USING (face, \"row\", col) GROUP BY 1, 2")
+    def run(spark, sf):
+        """The depth raster on all faces, and back as the weighted mean of the faces that cover a cell."""
+        r = raster(spark, sf)
+        planes, fov = projection.faces(spark, kind), projection.field(kind)
+        values = projection.project(r, "depth", planes, size, fov, WIDTH, height(r))
+        return rounded(projection.reproject(values, "depth", planes, r.select("v", "u"), size, fov, projection.OVERLAP[kind], width(), height(r)), 4)
+
+
+_reprojected("ag25_reprojected_cube", "cube", 24)
+_reprojected("ag25_reprojected_icosahedron", "icosahedron", 16)
+
+
 @query("sr2_expired_stream", f"WITH {JOBS_SQL}, n AS (SELECT MAX(last_updated) AS now FROM jobs) SELECT job_id, status FROM jobs, n WHERE status IN ('complete', 'error') AND epoch_us(now) - epoch_us(last_updated) > 7200000000")
 def sr2(spark, sf):
     """The events as a stream of job updates; timers give out the finished jobs that have been still for two hours."""
