@@ -164,6 +164,28 @@ def decoded(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.exp(c) for c in ("sx", "sy", "sz")} | {"opacity": E.sigmoid(F.col("opacity"))} | {c: E.sh_to_rgb(F.col(c)) for c in "rgb"})
 
 
+#: What becomes of cells of sky.
+SKY_MODES = ("skip", "background_sphere", "low_opacity")
+
+
+def with_sky(splats: DataFrame, sky: DataFrame, height: Column, width: Column, mode: str, depth_max: float = 100.0, sky_radius: float = 200.0, opacity: float = 0.15) -> DataFrame:
+    """``splats`` and a flat splat for each cell of ``sky(v, u, splat_id, r, g, b)``, on a sphere around the camera.
+
+    The sphere's radius is ``sky_radius`` (background_sphere) or half as much again as ``depth_max`` (low_opacity); skip
+    leaves the splats as they are. Columns that only splats have are null for the sky, those that only the sky has go.
+    """
+    if mode not in SKY_MODES:
+        raise ValueError(f"sky mode {mode!r} is none of {SKY_MODES}")
+    if mode == "skip":
+        return splats
+    r = sky_radius if mode == "background_sphere" else 1.5 * depth_max
+    theta, phi = F.col("v") / height * math.pi, F.col("u") / width * (2 * math.pi)
+    at = {"x": r * F.sin(theta) * F.cos(phi), "y": r * F.cos(theta), "z": -r * F.sin(theta) * F.sin(phi)}
+    flat = {"sx": 0.04 * sky_radius, "sy": 0.04 * sky_radius, "sz": 0.0004 * sky_radius, "qw": 1.0, "qx": 0.0, "qy": 0.0, "qz": 0.0, "opacity": opacity}
+    made = sky.withColumns(at | {c: F.lit(v) for c, v in flat.items()})
+    return splats.unionByName(made.select(*[c for c in made.columns if c in splats.columns]), allowMissingColumns=True)
+
+
 def merged(parts: list[DataFrame], order: str = "part") -> DataFrame:
     """Bag union with the ordinal of the part."""
     out = parts[0].withColumn(order, F.lit(0))

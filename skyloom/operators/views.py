@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +51,14 @@ def anchor_passes(base: Column, current: Column, floor: float = 25.0, most_drop:
     return (current >= floor) & (F.greatest(base - current, F.lit(0.0)) <= most_drop)
 
 
+def at_scales(df: DataFrame, low: float, high: float, n: int, scale: str = "s") -> DataFrame:
+    """Each row at ``n`` scales, evenly spread over the logarithms of ``low`` to ``high``; ValueError unless 0 < low < high."""
+    if not 0 < low < high or n < 1:
+        raise ValueError(f"no scales from {low} to {high} in {n}")
+    a, b = math.log10(low), math.log10(high)
+    return df.select("*", F.explode(F.array(*[F.lit(10 ** (a + (b - a) * k / max(n - 1, 1))) for k in range(n)])).alias(scale))
+
+
 def best_scale(renders: DataFrame, scale: str, a: str, b: str, least: float = 0.3) -> DataFrame:
     """One row: the scale whose renders are closest to the reference by cosine, the first of equal ones; 1 below ``least``."""
     x, y = F.col(a), F.col(b)

@@ -318,9 +318,10 @@ def ag24(spark, sf):
     return rounded(rasters.weighted_scatter(frames(spark, sf), ["v", "u"], "raw", "alpha").withColumn("value", F.sqrt("value")))
 
 
-@query("ag26_scale_search", sql_rounded((FRAMES_SQL + ", c AS (SELECT s, SUM(least(raw*s, 60)*rendered)/(sqrt(SUM(least(raw*s, 60)**2))*sqrt(SUM(rendered**2))) AS cosine FROM frames, (SELECT unnest([0.25, 0.5, 1.0, 2.0, 4.0]) AS s) GROUP BY 1)", "SELECT CASE WHEN MAX(cosine) >= 0.3 THEN arg_max(s, cosine) ELSE 1 END AS scale, MAX(cosine) AS cosine FROM c"), "", ["scale", "cosine"]))
+@query("ag26_scale_search", sql_rounded((FRAMES_SQL + ", c AS (SELECT s, SUM(least(raw*s, 60)*rendered)/(sqrt(SUM(least(raw*s, 60)**2))*sqrt(SUM(rendered**2))) AS cosine FROM frames, (SELECT pow(10, -1 + 2*k/31.0) AS s FROM range(32) t(k)) GROUP BY 1)", "SELECT CASE WHEN MAX(cosine) >= 0.3 THEN arg_max(s, cosine) ELSE 1 END AS scale, MAX(cosine) AS cosine FROM c"), "", ["scale", "cosine"]))
 def ag26(spark, sf):
-    f = frames(spark, sf).select("raw", "rendered", F.explode(F.array(*map(F.lit, (0.25, 0.5, 1.0, 2.0, 4.0)))).alias("s"))
+    """The best of 32 scales, evenly spread over the logarithms of 0.1 to 10."""
+    f = views.at_scales(frames(spark, sf).select("raw", "rendered"), 0.1, 10.0, 32)
     return rounded(views.best_scale(f.withColumn("a", F.least(F.col("raw") * F.col("s"), F.lit(60.0))), "s", "a", "rendered"))
 
 
@@ -441,12 +442,23 @@ def st1(spark, sf):
     return S.merged([s.where("frame_idx < 5"), s.where("frame_idx >= 3")]).select("splat_id", "part")
 
 
-@query("st2_sky_append", f"WITH {SPLATS_SQL} SELECT splat_id, round(x, 6) + 0.0 AS x, false AS sky FROM splats UNION ALL SELECT -1 - (v*8 + u), round(200*sin((v+0.5)/4*pi())*cos((1-(u+0.5)/8)*2*pi()), 6) + 0.0, true FROM range(4) a(v), range(8) b(u)")
-def st2(spark, sf):
-    g = generators.cells(spark, 4, 8)
-    theta, phi = G.turn_angles(F.col("u"), F.col("v"), F.lit(8.0), F.lit(4.0))
-    sky = g.select((-1 - (F.col("row") * 8 + F.col("col"))).cast("long").alias("splat_id"), (200.0 * G.turn_ray(theta, phi)[0]).alias("x"), F.lit(True).alias("sky"))
-    return rounded(splats(spark, sf).select("splat_id", "x", F.lit(False).alias("sky")).unionByName(sky))
+_SKY_SQL = SPLATS_SQL + ", " + RASTER_SQL + """, base AS (SELECT splat_id, frame_idx, x, y, z, sx, sy, sz, qw, qx, qy, qz, r, g, b, opacity FROM splats),
+sky AS (SELECT -1 - (v::BIGINT*200 + u) AS splat_id, NULL::BIGINT AS frame_idx, {r}*sin(v/h*pi())*cos(u/w*2*pi()) AS x, {r}*cos(v/h*pi()) AS y, -{r}*sin(v/h*pi())*sin(u/w*2*pi()) AS z, 8.0 AS sx, 8.0 AS sy, 0.08 AS sz, 1.0 AS qw, 0.0 AS qx, 0.0 AS qy, 0.0 AS qz,
+ (u % 7)/7.0 AS r, (v % 5)/5.0 AS g, 0.5 AS b, 0.15 AS opacity FROM raster, dims WHERE depth > 45), both_ AS (SELECT * FROM base UNION ALL SELECT * FROM sky)"""
+_SKY_COLUMNS = ["x", "y", "z", "sx", "sy", "sz", "qw", "qx", "qy", "qz", "r", "g", "b", "opacity"]
+
+
+def _sky(name: str, mode: str, radius: float) -> None:
+    @query(name, sql_rounded((_SKY_SQL.format(r=radius), "SELECT * FROM both_"), "splat_id, frame_idx", _SKY_COLUMNS))
+    def run(spark, sf):
+        """All splats and one for each cell of sky, with every column; frames have no sky splats."""
+        d = raster(spark, sf)
+        sky = d.where("depth > 45").select("v", "u", (-1 - (F.col("v").cast("long") * WIDTH + F.col("u"))).alias("splat_id"), ((F.col("u") % 7) / 7.0).alias("r"), ((F.col("v") % 5) / 5.0).alias("g"), F.lit(0.5).alias("b"))
+        return rounded(S.with_sky(splats(spark, sf).drop("opacity_logit"), sky, height(d), width(), mode).select("splat_id", "frame_idx", *_SKY_COLUMNS))
+
+
+_sky("st2_sky_append", "background_sphere", 200.0)
+_sky("st2_sky_low_opacity", "low_opacity", 150.0)
 
 
 @query("st7_distinct_frames", f"WITH {VOXEL_SQL.split(', vox AS')[0]} SELECT CAST(floor(x/0.2) AS BIGINT) AS vx, COUNT(DISTINCT frame_idx) AS n FROM splats GROUP BY 1")

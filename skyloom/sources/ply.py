@@ -98,9 +98,9 @@ def rest_fields(degree: int) -> list[str]:
     return [f"f_rest_{i}" for i in range(3 * (degree + 1) ** 2 - 3)]
 
 
-def blocks(stored: DataFrame, columns: list[str], order: str = "splat_id") -> Iterator[bytes]:
+def blocks(stored: DataFrame, columns: list[str], order: str | list[str] = "splat_id", kind: str = "<f4") -> Iterator[bytes]:
     """The records of a table in order, packed on the executors; the driver sees one partition's bytes at a time."""
-    kind = np.dtype([(c, "<f4") for c in columns])
+    kind = np.dtype([(c, kind) for c in columns])
     names = [c for c in columns if c in stored.columns]
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -112,7 +112,8 @@ def blocks(stored: DataFrame, columns: list[str], order: str = "splat_id") -> It
             out.append(a.tobytes())
         yield pd.DataFrame({"block": [b"".join(out)]})
 
-    d = stored.repartitionByRange(order).sortWithinPartitions(order).select(*names)
+    order = [order] if isinstance(order, str) else order
+    d = stored.repartitionByRange(*order).sortWithinPartitions(*order).select(*names)
     for row in d.mapInPandas(pack, "block binary").toLocalIterator():
         yield bytes(row["block"])
 

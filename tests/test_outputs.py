@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyloom.functions import text as T
-from skyloom.operators import cameras, poisson, pyramids, splats as S
+from skyloom.operators import cameras, poisson, pyramids, splats as S, views
 from skyloom.sources import images, outputs, ply
 from tests.test_splats import some  # noqa: F401  a fixture
 
@@ -85,10 +85,45 @@ def test_glb(some, tmp_path):  # noqa: F811
     magic, version, size, n, kind = struct.unpack("<IIIII", data[:20])
     scene = json.loads(data[20 : 20 + n])
     assert (magic, version, size, kind) == (0x46546C67, 2, len(data), 0x4E4F534A) and scene["accessors"][0]["count"] == 60 and size == 28 + n + 60 * 16
+    at = np.frombuffer(data, "<f4", 180, 28 + n).reshape(60, 3)
+    colours = np.frombuffer(data, np.uint8, 240, 28 + n + 720).reshape(60, 4)
+    rows = some.orderBy("x", "y", "z").toPandas()
+    assert np.allclose(at, rows[["x", "y", "z"]]) and (colours[:, 3] == 255).all()
+    assert (colours[:, :3] == np.floor(rows[["r", "g", "b"]].clip(0, 1) * 255).to_numpy()).all()
+    assert np.allclose(scene["accessors"][0]["min"], at.min(0)) and np.allclose(scene["accessors"][0]["max"], at.max(0))
+    outputs.write_glb(some, str(path), up="z")
+    turned = np.frombuffer(path.read_bytes()[-60 * 16 :], "<f4", 180).reshape(60, 3)
+    assert np.allclose(turned, np.stack([at[:, 0], at[:, 2], -at[:, 1]], 1))
     with pytest.raises(ValueError):
         outputs.write_glb(some.limit(0), str(path))
 
 
+def test_raster_files_with_gaps(spark, tmp_path):
+    """Missing cells and whole missing rows; rows come in order however they were dealt."""
+    d = spark.createDataFrame([(v, u, float(100 * v + u)) for v in range(300) for u in range(5) if v != 7 and (v, u) != (9, 2)], "v int, u int, x double").repartition(7)
+    assert outputs.write_npy(d, "x", str(tmp_path / "a.npy")) == (300, 5)
+    want = np.arange(300)[:, None] * 100.0 + np.arange(5)
+    want[7], want[9, 2] = np.nan, np.nan
+    assert np.array_equal(np.load(tmp_path / "a.npy"), want.astype(np.float32), equal_nan=True)
+    assert outputs.write_npy(d.where("false"), "x", str(tmp_path / "b.npy")) == (0, 0) and np.load(tmp_path / "b.npy").shape == (0, 0)
+
+
+def test_sky_modes(spark, some):  # noqa: F811
+    sky = spark.createDataFrame([(0, 0, -1, 0.1, 0.2, 0.3)], "v int, u int, splat_id long, r double, g double, b double")
+    h, w = F.lit(4.0), F.lit(8.0)
+    assert S.with_sky(some, sky, h, w, "skip").count() == 60
+    extra = some.withColumn("tag", F.lit("t")).drop("b")
+    made = S.with_sky(extra, sky, h, w, "low_opacity").where("splat_id = -1").first()
+    assert made.tag is None and "b" not in made and (made.y, made.opacity, made.r) == (150.0, 0.15, 0.1)
+    with pytest.raises(ValueError):
+        S.with_sky(some, sky, h, w, "blue")
+
+
+def test_scales():
+    with pytest.raises(ValueError):
+        views.at_scales(None, 2.0, 1.0, 3)
+
+
 def test_diagnostics(spark, tmp_path):
     d = spark.createDataFrame([(2, float("nan")), (1, 0.5)], "frame int, loss double")
     outputs.write_diagnostics(str(tmp_path / "a.json"), {"frames": d, "rounds": 3})

@@ -6,7 +6,7 @@ import os
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from test_splats import some  # noqa: F401
+from tests.test_splats import some  # noqa: F401
 
 from skyloom.sources import ply, ply_table
 
