@@ -18,6 +18,8 @@ from skyloom.session import cut
 
 #: Cells of a block's side, and of the rim that it shares.
 BLOCK, RIM = 64, 24
+#: Passes over enclosed regions at most, to settle last bits.
+SWEEPS = 200
 
 
 def _matvec(x: np.ndarray, there: np.ndarray, degree: np.ndarray) -> np.ndarray:
@@ -108,6 +110,27 @@ class Tiling:
         scale = np.where(inner, 1 / np.maximum(degree, 1), 0.0)
         return x + _conjugate(lambda p: np.where(inner, _matvec(p, there, degree), 0.0), r, np.zeros_like(x), scale, 12 * self.side, least)
 
+    def settled(self, x: np.ndarray, there: np.ndarray, free: np.ndarray, rhs: np.ndarray) -> np.ndarray:
+        """Regions of free cells that known ones enclose within the block and its rim, to the last bits.
+
+        Such a region depends on nothing else, so each cell is set to the mean of its neighbours until none changes.
+        """
+        left = free.copy()  # what the outermost cells do not reach
+        left[[0, -1], :] = left[:, [0, -1]] = False
+        reached = free & ~left
+        while reached.any():
+            p = np.pad(reached, 1)
+            reached = left & (p[:-2, 1:-1] | p[2:, 1:-1] | p[1:-1, :-2] | p[1:-1, 2:])
+            left &= ~reached
+        degree = np.maximum(_degree(there), 1)
+        for _ in range(SWEEPS if left.any() else 0):
+            p = np.pad(np.where(there, x, 0.0), 1)
+            new = np.where(left, (p[1:-1, :-2] + p[1:-1, 2:] + p[:-2, 1:-1] + p[2:, 1:-1] + rhs) / degree, x)
+            if np.array_equal(new, x):
+                break
+            x = new
+        return x
+
 
 def _coarse_solve(blocks: pd.DataFrame) -> dict[tuple[int, int], float]:
     """The nodes of one raster: a number for each corner of its blocks."""
@@ -136,8 +159,9 @@ def solve(cells: DataFrame, by: str = "raster_id", rhs: str = "rhs", fixed: str
 
     ``cells(by, v >= 0, u >= 0, rhs, fixed)``: a cell where fixed is null is unknown, a null rhs is zero. Neighbours that
     are not there drop out, so a border without fixed cells is free. The largest residual is at most ``tolerance`` times
-    the largest of 1, rhs and fixed; should ``rounds`` not do, as where some region has no fixed cell and a rhs that
-    allows no answer, this raises. A task holds a block, or one number for each block of a raster.
+    the largest of 1, rhs and fixed; regions that fixed cells enclose within a block and its rim settle to the last bits.
+    Should ``rounds`` not do, as where some region has no fixed cell and a rhs that allows no answer, this raises. A task
+    holds a block, or one number for each block of a raster.
     """
     t = Tiling(block, rim)
     kind = cells.schema[by].dataType.simpleString()
@@ -213,8 +237,10 @@ def solve(cells: DataFrame, by: str = "raster_id", rhs: str = "rhs", fixed: str
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.to_dict("records"):
-                i, j = np.nonzero(array(r["there"], bool)[t.own])
-                yield pd.DataFrame({by: r[by], "v": (i + r["ty"] * block).astype(np.int32), "u": (j + r["tx"] * block).astype(np.int32), "value": array(r["x"])[t.own][i, j]})
+                there = array(r["there"], bool)
+                x = t.settled(array(r["x"]), there, array(r["free"], bool), array(r["rhs"]))
+                i, j = np.nonzero(there[t.own])
+                yield pd.DataFrame({by: r[by], "v": (i + r["ty"] * block).astype(np.int32), "u": (j + r["tx"] * block).astype(np.int32), "value": x[t.own][i, j]})
 
     return met.mapInPandas(unpack, f"{by} {kind}, v int, u int, value double")
 
