@@ -75,7 +75,12 @@ def psnr(mse: Column) -> Column:
 
 
 def trimmed_median(df: DataFrame, value: str, by: list[str], low: float, high: float, at_least: int = 1) -> DataFrame:
-    """(by, median, n): the median of what lies between two percentiles of each group of enough rows."""
+    """(by, median, n): the median of what lies between two percentiles of each group of enough rows.
+
+    The rows are written once and read back, so that a value computed anew, as a sum in another order, is not held
+    against a percentile that was itself.
+    """
+    df = cut(df.select(*by, value))
     p = quantiles(df, value, [low, high], by).select(*by, F.col("p").alias("_p"), "n").where(F.col("n") >= at_least)
     joined = df.join(p, by) if by else df.join(F.broadcast(p))
     kept = joined.where((F.col(value) >= F.col("_p")[0]) & (F.col(value) <= F.col("_p")[1])).drop("_p", "n")
