@@ -5,9 +5,10 @@ still large are keyed once more by their open bits, split the same way, so no bu
 copies. Inside a bucket Hamming distances are verified and a spanning forest of the links is kept; components over
 these edges are the groups.
 
-``near_copies`` groups by the Jaccard similarity of the shingles themselves: at 0.8 fingerprints differ in about ten
-bits, too many for blocks that still tell texts apart. Its candidates share one of their first shingles in an order of
-all shingles, which no pair that is similar enough can fail to do.
+``near_copies`` groups by the Jaccard similarity of the shingles themselves. Links of close fingerprints come first, each
+verified on the whole sets. At 0.8 fingerprints differ in about ten bits, too many for blocks that still tell texts
+apart, so an exact search follows for the rest: its candidates share one of their first shingles in an order of all
+shingles, which no pair that is similar enough can fail to do. Pairs that the fingerprints have joined are not sent on.
 """
 
 from __future__ import annotations
@@ -38,7 +39,11 @@ MARKS = 1 << 26
 
 def fingerprint(text: bytes, shingle_words: int = 3, seed: int = 42) -> int:
     """Majority bits of the XXH64 of all word shingles, A-Z lowered; 0 without words."""
-    hashes = shingles(text, shingle_words, seed)
+    return _majority(shingles(text, shingle_words, seed))
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """Bits that are set in over half of the hashes; 0 without any."""
     if not len(hashes):
         return 0
     ones = np.zeros(BITS, np.int64)
@@ -280,12 +285,12 @@ def _pairs(tokens: DataFrame, percent: int, again: bool) -> DataFrame:
     return by_token.mapInArrow(run, "a bigint, b bigint, token bigint, n bigint, pos bigint")
 
 
-def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = 5, seed: int = 42, percent: int = 80) -> DataFrame:
+def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle_words: int = 5, seed: int = 42, percent: int = 80, distance: int = 2, blocks: int = 4) -> DataFrame:
     """One row per document: key, component_id (least key of its group).
 
     Two texts are linked when the Jaccard similarity of their sets of word shingles is ``percent`` or more. Every such
-    pair is linked: candidates come from an exact prefix filter and each is verified on the whole sets. Texts of the
-    same set, and those without words, count as copies. Keys are as in ``near_duplicates``, but rows that share a key
+    pair is linked: SimHash fingerprints of the sets within ``distance`` bits give the first links, an exact prefix filter
+    the candidates for all others, and each is verified on the whole sets. Texts of the same set, and those without words, count as copies. Keys are as in ``near_duplicates``, but rows that share a key
     must share their text.
     """
     spark = docs.sparkSession
@@ -297,14 +302,16 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
         return xxhash.xxh64_intdigest(own.astype("<u8").tobytes(), seed) - (1 << 63), own
 
     def ids(b: pa.RecordBatch) -> pa.RecordBatch:
-        sid, some = [], []
+        sid, fp, some = [], [], []
         for t in b.column(1):
             i, own = sets(t.as_py())
             sid.append(i)
+            fp.append(_majority(own))
             some.append(own[: _first(len(own), percent)].view(np.int64).tolist() if i % 16 == 0 else None)
-        return pa.RecordBatch.from_arrays([b.column(0), pa.array(sid, pa.int64()), pa.array(some, pa.list_(pa.int64()))], names=[key, "sid", "some"])
+        fps = pa.array(np.array(fp, np.uint64).view(np.int64))
+        return pa.RecordBatch.from_arrays([b.column(0), pa.array(sid, pa.int64()), fps, pa.array(some, pa.list_(pa.int64()))], names=[key, "sid", "fp", "some"])
 
-    hashed = cut(map_rows(source, f"`{key}` {kind}, sid bigint, some array<bigint>", ids))
+    hashed = cut(map_rows(source, f"`{key}` {kind}, sid bigint, fp bigint, some array<bigint>", ids))
     # Any order of the shingles gives all pairs; with common ones last, the buckets are small.
     counts = hashed.where("some is not null").select("sid", F.explode("some").alias("token")).distinct().groupBy("token").agg(F.count("*").alias("n"))
     common = Shipped(spark, np.array(sorted(r["token"] for r in counts.where(F.col("n") > LARGE // 16).orderBy(F.desc("n"), "token").limit(MAX_COMMON).collect()), np.int64).view(np.uint64))
@@ -380,10 +387,25 @@ def near_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", shingl
         """The pairs that are similar enough."""
         return kept(pairs, lambda own: own.tobytes(), similar)
 
+    # Close fingerprints first: texts of one fingerprint meet its least set, close fingerprints meet by these.
+    alike = cut(hashed.select("fp", "sid").distinct())
+    heads = alike.groupBy("fp").agg(F.min("sid").alias("head"))
+    close = links(heads, distance, blocks)
+    ends = close.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
+    same = alike.join(heads, "fp").where("sid <> head").select(F.col("head").alias("x"), F.col("sid").alias("y"))
+    edges = verified(cut(same.union(ends.select("x", "y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()))
+    joined = components(edges).select(F.col("node").alias("sid"), F.col("component").alias("root"))
+
+    def apart(pairs: DataFrame) -> DataFrame:
+        """Distinct pairs whose texts the fingerprints have not joined."""
+        a, b = (joined.select(F.col("sid").alias(c), F.col("root").alias(r)) for c, r in (("a", "x"), ("b", "y")))
+        met = pairs.select("a", "b").distinct().join(a, "a", "left").join(b, "b", "left")
+        return met.where(F.coalesce("x", "a") != F.coalesce("y", "b")).select("a", "b")
+
     tokens = source.mapInArrow(first, "token bigint, sid bigint, n bigint, pos bigint")
     found = cut(_pairs(tokens.withColumns({"root": F.col("sid"), "own": F.lit(None).cast("binary")}), percent, False))
     # Sets travel only for pairs whose numbers of shingles by class allow it.
-    edges = verified(kept(cut(found.where("token is null").select("a", "b").distinct()), classes, may))
+    edges = edges.union(verified(kept(cut(apart(found.where("token is null"))), classes, may)))
     hot = found.where("token is not null").select("token", F.col("a").alias("sid"), "n", "pos")
     if not hot.isEmpty():
         # Many texts of a hot bucket are not alike but for a passage: there the class counts go to the bucket, not to its pairs.

@@ -217,27 +217,34 @@ def knn(points: DataFrame, k: int, id: str = "splat_id") -> DataFrame:
     return both.select(F.col("id").alias(id), "neighbor", "dist", "rank")
 
 
+#: Edges of a partition while components are contracted, about.
+EDGES = 200_000
+
+
 def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """Connected components of ``edges(a, b)``: rows (node, component), component the least node reached.
 
     Alternating large-star and small-star contraction. Each round is joins and min-aggregates over edges, so no
     component or neighbour list is gathered anywhere; a hub meets its one minimum in a join that Spark may split.
     Every round is cut by a reliable checkpoint. Nulls and self-loops are ignored. Nodes in no edge are not returned.
+    Partitions are as many as the edges need, so that few edges do not become many small files in each round.
     Rounds grow with the logarithm of the nodes; should ``max_rounds`` not do, this raises rather than return part.
     """
-    mark = None
+    mark, parts = None, None
+    few = lambda df: df if parts is None else df.coalesce(parts)
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     for _ in range(max_rounds):
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if not now[0] or now == mark:
             return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        mark = now
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        e = cut(small)
+        mark, parts = now, 1 + now[0] // EDGES
+        e = few(e)
+        both = few(e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        low = few(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = few(few(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")).distinct())
+        least = few(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = few(large.join(least, "u")).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        e = cut(few(small))
     raise RuntimeError(f"components are not contracted after {max_rounds} rounds")
 
 
