@@ -133,7 +133,7 @@ _reprojected("ag25_reprojected_icosahedron", "icosahedron", 16)
 
 @query("sr2_expired_stream", f"WITH {JOBS_SQL}, n AS (SELECT MAX(last_updated) AS now FROM jobs) SELECT job_id, status FROM jobs, n WHERE status IN ('complete', 'error') AND epoch_us(now) - epoch_us(last_updated) > 7200000000")
 def sr2(spark, sf):
-    """The events as a stream of job updates; timers give out the finished jobs that have been still for two hours."""
+    """The events as a stream of job updates; closed sessions give out the finished jobs that have been still for two hours."""
     before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     state.use_state_store(spark)
     try:

@@ -1,4 +1,4 @@
-"""Job state in streams: expiry by timers, the last lines of each job, and progress for a callback.
+"""Job state in streams: expiry by session windows, the last lines of each job, and progress for a callback.
 
 State lives in the state store of the query and its checkpoint, so a query that is started again goes on where it was.
 """
@@ -23,50 +23,20 @@ def use_state_store(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
 
 
-class Expiry(StatefulProcessor):
-    """Keeps the last update of each job; a timer fires once a finished job has been still for its lifetime."""
-
-    def __init__(self, lifetime_ms: int):
-        self.lifetime_ms = lifetime_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "updated_us long, status string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        old = self.last.get() if self.last.exists() else None
-        newest = tuple(old) if old is not None else None
-        for pdf in rows:
-            for at, status in zip(pdf["updated_us"].tolist(), pdf["status"].tolist(), strict=True):
-                newest = max(newest, (at, status)) if newest else (at, status)
-        if newest != (tuple(old) if old is not None else None):
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.last.update(newest)
-            if newest[1] in DONE:
-                self.handle.registerTimer(newest[0] // 1000 + self.lifetime_ms + 1)
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        updated, status = self.last.get()
-        self.last.clear()
-        yield pd.DataFrame({"job_id": [key[0]], "status": [status], "updated_us": [updated], "expired_ms": [expiredTimerInfo.getExpiryTimeInMs()]})
-
-    def close(self) -> None:
-        pass
-
-
 def expired_stream(updates: DataFrame, lifetime: float = LIFETIME_S, late: str = "0 seconds") -> DataFrame:
     """Stream of (job_id, status, updated_us, expired_ms) from a stream of ``updates(job_id, status, last_updated)``.
 
     Time is that of the updates: a job expires when some update is more than ``lifetime`` seconds later than its own last
-    one, to the millisecond. An update starts its job's time afresh, also after it has expired; of updates at one time
-    the greatest status counts. Updates that are ``late`` behind the newest by more are dropped, those without time too.
+    one, to the millisecond. An update starts its job's time afresh, also after it has expired, however batches are cut:
+    updates of a job that follow each other within its lifetime are one session, given out by its last update when the
+    watermark passes its end. State lives in Spark's session windows, without a call to Python for each job. Of updates
+    at one time the greatest status counts. Updates that are ``late`` behind the newest by more are dropped, those without time too.
     """
-    kind = updates.schema["job_id"].dataType.simpleString()
-    rows = updates.where("job_id is not null and last_updated is not null").select("job_id", F.coalesce("status", F.lit("")).alias("status"), F.col("last_updated").cast("timestamp").alias("last_updated"))
-    timed = rows.withColumn("updated_us", F.unix_micros("last_updated")).withWatermark("last_updated", late)
-    return timed.groupBy("job_id").transformWithStateInPandas(Expiry(round(1000 * lifetime)), f"job_id {kind}, status string, updated_us long, expired_ms long", "Append", "EventTime")
+    rows = updates.where("job_id is not null and last_updated is not null").select("job_id", F.coalesce("status", F.lit("")).alias("status"), F.col("last_updated").cast("timestamp").alias("at"))
+    timed = rows.select("job_id", "status", F.unix_micros("at").alias("updated_us"), F.date_trunc("millisecond", "at").alias("last_updated")).withWatermark("last_updated", late)
+    still = F.session_window("last_updated", f"{round(1000 * lifetime) + 1} milliseconds")
+    last = timed.groupBy(still.alias("span"), "job_id").agg(F.max(F.struct("updated_us", "status")).alias("last"))
+    return last.where(F.col("last.status").isin(*DONE)).select("job_id", "last.status", "last.updated_us", F.unix_millis("span.end").alias("expired_ms"))
 
 
 class Tail(StatefulProcessor):
