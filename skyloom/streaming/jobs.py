@@ -41,7 +41,7 @@ def unprotected_files(files: DataFrame, active: DataFrame) -> DataFrame:
     Repeated paths stay as often as they come, a null path is unprotected.
     """
     held = containing(files, active, "path", "job_id").select("path").distinct()
-    return files.join(held, "path", "left_anti")
+    return files.join(held.hint("merge"), "path", "left_anti")
 
 
 def tail(lines: DataFrame, n: int, by: str, order: str) -> DataFrame:
