@@ -3,10 +3,13 @@
 Unknown cells satisfy ``n x - (sum of the n neighbours there are) = rhs``. A raster is dealt to square blocks that know a
 rim of their neighbours' cells. In a round each block gets its rim anew, a coarse grid with a node at each corner of
 the blocks carries the smooth part of the error across the raster, and each block solves its own cells with its rim held.
+Cells are dealt by groups of blocks. A group that nothing lies around, as a small raster, has no rim to wait for: its
+task solves it at once, and only groups with neighbours take part in the rounds.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,13 +21,19 @@ from skyloom.session import cut
 
 #: Cells of a block's side, and of the rim that it shares.
 BLOCK, RIM = 64, 24
+#: Blocks of a group's side.
+GROUP = 8
 #: Passes over enclosed regions at most, to settle last bits.
 SWEEPS = 200
 
 
 def _matvec(x: np.ndarray, there: np.ndarray, degree: np.ndarray) -> np.ndarray:
-    p = np.pad(np.where(there, x, 0.0), 1)
-    return degree * x - p[:-2, 1:-1] - p[2:, 1:-1] - p[1:-1, :-2] - p[1:-1, 2:]
+    p, out = np.where(there, x, 0.0), degree * x
+    out[1:] -= p[:-1]
+    out[:-1] -= p[1:]
+    out[:, 1:] -= p[:, :-1]
+    out[:, :-1] -= p[:, 1:]
+    return out
 
 
 def _degree(there: np.ndarray) -> np.ndarray:
@@ -110,6 +119,22 @@ class Tiling:
         scale = np.where(inner, 1 / np.maximum(degree, 1), 0.0)
         return x + _conjugate(lambda p: np.where(inner, _matvec(p, there, degree), 0.0), r, np.zeros_like(x), scale, 12 * self.side, least)
 
+    def alone(self, x: np.ndarray, there: np.ndarray, free: np.ndarray, rhs: np.ndarray, least: float, rounds: int) -> tuple[np.ndarray, float]:
+        """All free cells of a group that nothing lies around, and the largest residual that is left."""
+        degree = _degree(there)
+        scale = np.where(free, 1 / np.maximum(degree, 1), 0.0)
+        left = lambda x: np.where(free, rhs - _matvec(x, there, degree), 0.0)
+        before = np.inf
+        for _ in range(rounds):  # anew from the true residual, which drifts from the one carried along
+            r = left(x)
+            most = np.abs(r).max()
+            if not least < most < before:
+                break
+            before = most
+            x = x + _conjugate(lambda p: np.where(free, _matvec(p, there, degree), 0.0), r, np.zeros_like(x), scale, max(12 * max(x.shape), int(free.sum())), least / 4)
+        x = self.settled(x, there, free, rhs)
+        return x, float(np.nan_to_num(np.abs(left(x)), nan=np.inf).max())
+
     def settled(self, x: np.ndarray, there: np.ndarray, free: np.ndarray, rhs: np.ndarray) -> np.ndarray:
         """Regions of free cells that known ones enclose within the block and its rim, to the last bits.
 
@@ -123,13 +148,16 @@ class Tiling:
             reached = left & (p[:-2, 1:-1] | p[2:, 1:-1] | p[1:-1, :-2] | p[1:-1, 2:])
             left &= ~reached
         degree = np.maximum(_degree(there), 1)
+        p = np.pad(np.where(there, x, 0.0), 1)
         for _ in range(SWEEPS if left.any() else 0):
-            p = np.pad(np.where(there, x, 0.0), 1)
-            new = np.where(left, (p[1:-1, :-2] + p[1:-1, 2:] + p[:-2, 1:-1] + p[2:, 1:-1] + rhs) / degree, x)
-            if np.array_equal(new, x):
+            new = p[1:-1, :-2] + p[1:-1, 2:]
+            for part in (p[:-2, 1:-1], p[2:, 1:-1], rhs):
+                new += part
+            new /= degree
+            if np.array_equal(new[left], p[1:-1, 1:-1][left]):
                 break
-            x = new
-        return x
+            np.copyto(p[1:-1, 1:-1], new, where=left)
+        return np.where(left, p[1:-1, 1:-1], x)
 
 
 def _coarse_solve(blocks: pd.DataFrame) -> dict[tuple[int, int], float]:
@@ -154,41 +182,63 @@ def _coarse_solve(blocks: pd.DataFrame) -> dict[tuple[int, int], float]:
     return {k: float(x[v]) for k, v in names.items()}
 
 
-def solve(cells: DataFrame, by: str = "raster_id", rhs: str = "rhs", fixed: str = "fixed", block: int = BLOCK, rim: int = RIM, tolerance: float = 1e-9, rounds: int = 100) -> DataFrame:
+def solve(cells: DataFrame, by: str = "raster_id", rhs: str = "rhs", fixed: str = "fixed", block: int = BLOCK, rim: int = RIM, tolerance: float = 1e-9, rounds: int = 100, group: int = GROUP) -> DataFrame:
     """(by, v, u, value): cells with ``fixed`` keep it, the others satisfy the equation to ``tolerance``.
 
     ``cells(by, v >= 0, u >= 0, rhs, fixed)``: a cell where fixed is null is unknown, a null rhs is zero. Neighbours that
     are not there drop out, so a border without fixed cells is free. The largest residual is at most ``tolerance`` times
     the largest of 1, rhs and fixed; regions that fixed cells enclose within a block and its rim settle to the last bits.
     Should ``rounds`` not do, as where some region has no fixed cell and a rhs that allows no answer, this raises. A task
-    holds a block, or one number for each block of a raster.
+    holds a group of ``group`` by ``group`` blocks at most, or one number for each block of a raster that has more.
     """
     t = Tiling(block, rim)
     kind = cells.schema[by].dataType.simpleString()
     key = [by, "ty", "tx"]
     rows = cells.select(by, "v", "u", F.coalesce(F.col(rhs), F.lit(0.0)).cast("double").alias("rhs"), F.col(fixed).cast("double").alias("fixed"))
-    size = float(rows.agg(F.greatest(F.lit(1.0), F.max(F.abs("rhs")), F.max(F.abs("fixed")))).first()[0] or 1.0)
-    least = tolerance * size
-    near = lambda c: F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - rim) / block)), F.floor((F.col(c) + rim) / block))
-    dealt = rows.withColumn("ty", F.explode(near("v"))).withColumn("tx", F.explode(near("u")))
+    wide = block * group
+    near = lambda c: F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - rim) / wide)), F.floor((F.col(c) + rim) / wide))
+    dealt = rows.withColumn("gy", F.explode(near("v"))).withColumn("gx", F.explode(near("u")))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        ty, tx = int(pdf["ty"].iloc[0]), int(pdf["tx"].iloc[0])
-        i, j = pdf["v"].to_numpy() - ty * block + rim, pdf["u"].to_numpy() - tx * block + rim
-        x, b, there, free = np.zeros((t.side, t.side)), np.zeros((t.side, t.side)), np.zeros((t.side, t.side), bool), np.zeros((t.side, t.side), bool)
-        given = pdf["fixed"].to_numpy(np.float64)
-        x[i, j], b[i, j], there[i, j], free[i, j] = np.nan_to_num(given), pdf["rhs"], True, np.isnan(given)
-        if not there[t.own].any():  # a block beyond the raster
-            return pd.DataFrame({c: [] for c in (*key, "x", "rhs", "there", "free", "matrix")})
-        m = t.coarse_matrix(there, free, ty, tx)
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "ty": ty, "tx": tx, "x": [x.tobytes()], "rhs": [b.tobytes()], "there": [there.tobytes()], "free": [free.tobytes()], "matrix": [m.tobytes()]})
+        gy, gx = int(pdf["gy"].iloc[0]), int(pdf["gx"].iloc[0])
+        i, j = pdf["v"].to_numpy() - gy * wide + rim, pdf["u"].to_numpy() - gx * wide + rim
+        h, w = (min(group, int(k.max() - rim) // block + 1) for k in (i, j))  # blocks down to the last cell
+        shape = h * block + 2 * rim, w * block + 2 * rim
+        x, b, there, free = np.zeros(shape), np.zeros(shape), np.zeros(shape, bool), np.zeros(shape, bool)
+        given, right = pdf["fixed"].to_numpy(np.float64), pdf["rhs"].to_numpy()
+        x[i, j], b[i, j], there[i, j], free[i, j] = np.nan_to_num(given), right, True, np.isnan(given)
+        size = max(float(np.abs(c[np.isfinite(c)]).max(initial=1.0)) for c in (given, right))
+        inside = (slice(rim, rim + h * block), slice(rim, rim + w * block))
+        alone = there[inside].sum() == there.sum()
+        most = 0.0
+        if alone:
+            part = (slice(i.min() - 1, i.max() + 2), slice(j.min() - 1, j.max() + 2))
+            x[part], most = t.alone(x[part], there[part], free[part], b[part], tolerance * size, rounds)
+        out = []
+        for y, z in itertools.product(range(h), range(w)):
+            ty, tx = gy * group + y, gx * group + z
+            cells = (slice(y * block, y * block + t.side), slice(z * block, z * block + t.side))
+            if not there[cells][t.own].any():  # a block beyond the raster
+                continue
+            if alone:
+                row = (x[cells][t.own].tobytes(), None, there[cells][t.own].tobytes(), None, None)
+            else:
+                row = (*(k[cells].tobytes() for k in (x, b, there, free)), t.coarse_matrix(there[cells], free[cells], ty, tx).tobytes())
+            out.append((pdf[by].iloc[0], ty, tx, *row, most, size))
+        return pd.DataFrame(out, columns=[*columns, "most", "size"])
 
     fields = f"{by} {kind}, ty long, tx long, x binary"
     static = f"{fields}, rhs binary, there binary, free binary, matrix binary"
     array = lambda data, kind=np.float64: np.frombuffer(data, kind).reshape(t.side, t.side).copy()
-    state = cut(dealt.groupBy(*key).applyInPandas(pack, static))
-
     columns = [*key, "x", "rhs", "there", "free", "matrix"]
+    state = cut(dealt.groupBy(by, "gy", "gx").applyInPandas(pack, f"{static}, most double, size double"))
+    size, most, waiting = state.agg(F.max("size"), F.max("most"), F.count("free")).first()
+    least = tolerance * (size or 1.0)
+    if (most or 0.0) > least:
+        raise RuntimeError(f"a residual of {most} is left after {rounds} rounds; {least} is asked")
+    done = state.where("free IS NULL").select(*columns)
+    state = state.where("free IS NOT NULL").select(*columns)
+
     none = [F.lit(None).cast(k).alias(c) for c, k in (("dy", "int"), ("dx", "int"), ("part", "binary"))]
     empty = [F.lit(None).cast("binary").alias(c) for c in columns[3:]]
 
@@ -223,13 +273,14 @@ def solve(cells: DataFrame, by: str = "raster_id", rhs: str = "rhs", fixed: str
 
     # Blocks and what is sent to them meet as one table grouped by block: sizes of joins in rounds would be estimated as
     # products of products.
-    for done in range(rounds + 1):
+    for turn in range(rounds + 1 if waiting else 0):
         sent = state.mapInPandas(strips, f"{by} {kind}, ty long, tx long, dy int, dx int, part binary").select(*key, *empty, "dy", "dx", "part")
         met = cut(state.select(*columns, *none).union(sent).groupBy(*key).applyInPandas(meet, f"{static}, most double, sums binary"))
         most = met.agg(F.max("most")).first()[0]
-        if most is None or most <= least:
+        if most <= least:
+            done = done.union(met.select(*columns))
             break
-        if done == rounds:
+        if turn == rounds:
             raise RuntimeError(f"a residual of {most} is left after {rounds} rounds; {least} is asked")
         nodes = met.select(*key, "matrix", "sums").groupBy(by).applyInPandas(coarse, f"{by} {kind}, ty long, tx long, part binary").select(*key, *empty, "part")
         state = cut(met.select(*columns, none[2]).union(nodes).groupBy(*key).applyInPandas(step, static))
@@ -237,12 +288,15 @@ def solve(cells: DataFrame, by: str = "raster_id", rhs: str = "rhs", fixed: str
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for r in pdf.to_dict("records"):
-                there = array(r["there"], bool)
-                x = t.settled(array(r["x"]), there, array(r["free"], bool), array(r["rhs"]))
-                i, j = np.nonzero(there[t.own])
-                yield pd.DataFrame({by: r[by], "v": (i + r["ty"] * block).astype(np.int32), "u": (j + r["tx"] * block).astype(np.int32), "value": x[t.own][i, j]})
+                if r["free"] is None:  # solved alone, without a rim
+                    x, there = (np.frombuffer(r[c], k).reshape(block, block) for c, k in (("x", np.float64), ("there", bool)))
+                else:
+                    there = array(r["there"], bool)
+                    x, there = t.settled(array(r["x"]), there, array(r["free"], bool), array(r["rhs"]))[t.own], there[t.own]
+                i, j = np.nonzero(there)
+                yield pd.DataFrame({by: r[by], "v": (i + r["ty"] * block).astype(np.int32), "u": (j + r["tx"] * block).astype(np.int32), "value": x[i, j]})
 
-    return met.mapInPandas(unpack, f"{by} {kind}, v int, u int, value double")
+    return done.mapInPandas(unpack, f"{by} {kind}, v int, u int, value double")
 
 
 def fill(rasters: DataFrame, by: str, value: str, known: str, **kw) -> DataFrame:
@@ -257,7 +311,7 @@ def bordered(rasters: DataFrame, by: str, rhs: str, border: str, **kw) -> DataFr
     from skyloom.operators.stencils import along
 
     edge = F.lit(False)
-    for axis in ("u", "v"):
+    for axis in ("v", "u"):
         w = along(axis, (by,))
         edge |= F.coalesce(F.lag(axis).over(w) != F.col(axis) - 1, F.lit(True)) | F.coalesce(F.lead(axis).over(w) != F.col(axis) + 1, F.lit(True))
     cells = rasters.withColumn("_edge", edge).select(by, "v", "u", F.col(rhs).alias("rhs"), F.when(F.col("_edge"), F.col(border)).alias("fixed"))
