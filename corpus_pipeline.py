@@ -32,8 +32,13 @@ def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """With a key that only rows of one id and one text share."""
-    return docs.select(*COLUMNS, F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("row_key"))
+    """With a key that only rows of one id and one text share.
+
+    Its fields may be null, as those of keys that come back from Python: a join of two kinds of keys would cast one, and
+    what groups by the key after it would shuffle the texts again.
+    """
+    kind = f"struct<doc_id:{docs.schema['doc_id'].dataType.simpleString()},text_hash:bigint>"
+    return docs.select(*COLUMNS, F.struct("doc_id", F.xxhash64("text").alias("text_hash")).cast(kind).alias("row_key"))
 
 
 def _first_of_key(docs: DataFrame) -> DataFrame:

@@ -55,5 +55,16 @@ def test_pipeline_drops_planted_near_copies(spark, sf):
     assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, d, sf).collect()} == {0, 2}
 
 
+@pytest.mark.parametrize("stage", [corpus_pipeline.drop_near_copies, corpus_pipeline.mix_sources])
+def test_texts_are_shuffled_once(spark, sf, stage):
+    """Rows that met by their key are not dealt anew to be numbered within it."""
+    rows = [(i % 20, f"a b c d e f g{i % 20} h", "en", "s", 20) for i in range(40)]
+    out = stage(spark, spark.createDataFrame(rows, table(spark, sf, "documents").schema), sf)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    window = plan.index("Window [")
+    assert "Exchange" not in plan[window : plan.index("Join", window)]
+    assert {r.doc_id for r in out.collect()} <= set(range(20))
+
+
 def test_folds():
     assert zlib.crc32(b"17") % 3 in (0, 1, 2)
